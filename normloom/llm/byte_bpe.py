@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from normloom.llm.shared import bounded_batches, column, packed, unpacked
 
-#: Encoded words that a Python worker keeps; beyond it the store is emptied.
-KEPT_WORDS = 500_000
+#: Encoded words and token pairs that a Python worker keeps; beyond it a store is emptied.
+KEPT_WORDS, KEPT_PAIRS = 300_000, 300_000
+#: Characters whose words are split at once (one text at least), and new words replayed at once.
+CHUNK_CHARS, CHUNK_WORDS = 1 << 19, 20_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -54,8 +56,9 @@ class Replay:
         found = self.merged.get(pair)
         if found is None:
             found = self.rank.get(self.tokens[left] + self.tokens[right], -1)
-            if len(self.merged) < 2_000_000:
-                self.merged[pair] = found
+            if len(self.merged) >= KEPT_PAIRS:
+                self.merged.clear()
+            self.merged[pair] = found
         return found
 
     def replay(self, words: list[str]) -> None:
@@ -107,15 +110,27 @@ class Replay:
             self.done[word] = flat[at:end].tobytes()
             at = end + 1
 
-    def encode(self, texts: list[str | None]) -> pa.ListArray:
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as packed 32-bit numbers."""
         if len(self.done) > self.kept:
-            self.done = {}
-        split = [self.find(t) if t else [] for t in texts]
-        new = set().union(*split).difference(self.done) if split else set()
-        if new:
-            self.replay(list(new))
+            self.done.clear()
+        split = [self.find(t) for t in texts]
+        new = list(set().union(*split).difference(self.done))
+        for at in range(0, len(new), CHUNK_WORDS):
+            self.replay(new[at : at + CHUNK_WORDS])
         done = self.done.__getitem__
-        parts = [b"".join(map(done, words)) for words in split]
+        return [b"".join(map(done, found)) for found in split]
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        parts: list[bytes] = []
+        held, size = [], 0
+        for text in texts:
+            held.append(text.as_py() or "")
+            size += len(held[-1])
+            if size >= CHUNK_CHARS:
+                parts += self._encoded(held)
+                held, size = [], 0
+        parts += self._encoded(held)
         offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
@@ -155,7 +170,7 @@ class ByteBpe:
 
         @F.arrow_udf("array<int>")
         def ids(texts: pa.Array) -> pa.Array:
-            return _replay(tokens, pattern).encode(texts.to_pylist())
+            return _replay(tokens, pattern).encode(texts)
 
         return unpacked(packed(docs, text=F.coalesce(column(text).cast("string"), F.lit(""))).select("row", ids("text").alias(to)), docs.columns, [to])
 

@@ -9,10 +9,10 @@ template words that its votes cover, each template position counting once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normloom.llm.shared import column, packed, unpacked
+from normloom.llm.shared import column, packed, unpacked, words
 
 # Base phrases and labels, then phrases that license notices share.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -27,23 +27,10 @@ NOTICES = {
     "licensed under cc by nc": "cc-by-nc",
     "creative commons attribution": "cc",
 }
-#: Everything in ASCII but letters and digits parts words.
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Diagonals this near each other belong to one span; share of template words that a span must cover.
 NEAR, COVERED = 2, 0.8
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def words(text: Column) -> Column:
-    """The words of a text in order, A-Z in lower case; a null text has none."""
-    parts = F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS)
-    head, tail = (F.get(parts, F.lit(0)) == "").cast("int"), (F.element_at(parts, -1) == "").cast("int")
-    return F.slice(parts, head + 1, F.greatest(F.size(parts) - head - tail, F.lit(0)))
-
-
 def _templates(spark) -> DataFrame:
     """``template, label, base, length, at, pair``: a row for each word pair of each template."""
     rows, phrases = [], [*((p, n, True) for p, n in BASE.items()), *((p, n, False) for p, n in NOTICES.items())]

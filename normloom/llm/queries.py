@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normloom.llm import byte_bpe, exact_dedup, license_scan, sharding, simhash
+from normloom.llm import byte_bpe, decontaminate, exact_dedup, license_scan, sharding, simhash
 from normloom.llm.shared import table
 
 
@@ -36,6 +36,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("mark").withColumnRenamed("key", "doc_id")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_jump_sharding": op4_jump_sharding,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_decontamination": op8_decontamination,
     "op10_license_scan": op10_license_scan,
 }
 
