@@ -6,24 +6,27 @@ benchmark are joined to those of every text. A window hit puts a benchmark item
 text (text position less item position); around each such diagonal item and text are compared word
 by word, and the overlap counts if it is long and nearly everywhere equal.
 
-Before the join two fixed-size bitmaps, of the benchmark's words and of its window hashes, leave
-out text windows that cannot hit. They are filters only: more benchmark items set more bits and let
+Before the join two tables of bounded size, flags of the benchmark's words and a bitmap of its
+window hashes, leave out text windows that cannot hit. They are filters only: more benchmark items set more bits and let
 more windows through to the join, with the same result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normloom.llm.shared import column, packed, reliable, unpacked, words
+from normloom.llm.shared import column, let, packed, reliable, unpacked, words
 
 # Masks of eleven words; a 1 is a word that must agree. All begin and end with 1.
 SEEDS = ("11101001101", "10110110011", "11010110101")
 SPAN = 11
 #: An overlap counts if it has MIN_WORDS equal words in a stretch, or covers the item, with this share of equal words.
 MIN_WORDS, SHARE = 13, 0.8
-#: Bounds of the bitmaps, in 64-bit parts: 1 MB at most.
+#: Bounds of the bitmap in 64-bit parts (1 MB at most), and the most word flags.
 MIN_PARTS, MAX_PARTS = 64, 1 << 17
 
 
@@ -54,6 +57,13 @@ def _has(bitmap: Column, value: Column, parts: int, probes: int) -> Column:
     return held
 
 
+def _word_flags(items: DataFrame, slots: int) -> Column:
+    """A constant array of ``slots`` booleans: whether a word of the benchmark falls into the slot."""
+    at = F.col("h").bitwiseAND(F.lit(slots - 1).cast("long")).cast("int")
+    used = {r.at for r in items.select(F.explode("item").alias("h")).select(at.alias("at")).distinct().collect()}  # at most ``slots`` numbers
+    return F.split(F.lit(",".join("1" if i in used else "0" for i in range(slots))), ",").cast("array<boolean>")
+
+
 def _parts(n: int, per_value: int) -> int:
     """A power of two of 64-bit parts with at least ``per_value`` bits a value, within the bounds."""
     return min(MAX_PARTS, max(MIN_PARTS, 1 << max(0, (n * per_value // 64)).bit_length()))
@@ -81,28 +91,30 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         F.explode(F.array(*[F.when((F.size("item") - len(s) >= F.col("at")) & ((F.size("item") == len(s)) | F.lit(len(s) == SPAN)), _window(F.col("item"), F.col("at"), i, s)) for i, s in enumerate(seeds)])).alias("h"),
     )
     windows = windows.where("h is not null")
-    parts, word_parts = _parts(windows.count(), 96), _parts(items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0], 16)
-    window_map, word_map = _bitmap(windows.select("h"), parts, 3), _bitmap(items.select(F.explode("item").alias("h")).distinct(), word_parts, 1)
-
-    hashed = docs.select(column(key).alias("key"), F.xxhash64(column(text)).alias("mark"), words(column(text)).alias("words"))
-    hashed = hashed.select("key", "mark", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    known = F.flatten(F.transform(F.array(word_map), lambda held: F.transform(F.col("hashes"), lambda h: _has(held, h, word_parts, 1))))
-    known = hashed.select("key", "mark", "hashes", known.alias("known"))
-
-    def starts(width: int) -> Column:
-        every = F.when(F.size("known") >= width, F.sequence(F.lit(0), F.size("known") - width)).otherwise(F.array().cast("array<int>"))
-        return F.filter(every, lambda i: F.get(F.col("known"), i) & F.get(F.col("known"), i + (width - 1)))
+    parts, slots = _parts(windows.count(), 96), min(MAX_PARTS, 64 * _parts(items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0], 16))
+    window_map, word_map = _bitmap(windows.select("h"), parts, 3), _word_flags(items, slots)
 
     widths = sorted({len(s) for s in seeds})
-    spots = known.select("key", "mark", "hashes", *[starts(w).alias(f"starts{w}") for w in widths])
 
-    def hits(held: Column, number: int, seed: str) -> Column:
-        made = F.transform(f"starts{len(seed)}", lambda i: F.struct(i.alias("at"), _window(F.col("hashes"), i, number, seed).alias("h")))
+    def starts(known: Column, width: int) -> Column:
+        every = F.when(F.size(known) >= width, F.sequence(F.lit(0), F.size(known) - width)).otherwise(F.array().cast("array<int>"))
+        return F.filter(every, lambda i: F.get(known, i) & F.get(known, i + (width - 1)))
+
+    def hits(hashes: Column, known: Column, begun: Column, held: Column, number: int, seed: str) -> Column:
+        all_known = lambda i: reduce(and_, [F.get(known, i + k) for k, c in enumerate(seed) if c == "1" and 0 < k < len(seed) - 1], F.lit(True))
+        made = F.transform(F.filter(begun, all_known), lambda i: F.struct(i.alias("at"), _window(hashes, i, number, seed).alias("h")))
         return F.filter(made, lambda x: _has(held, x["h"], parts, 3))
 
-    # The one-element array gives the bitmap a name inside, so that the plan holds it once.
-    found = F.flatten(F.transform(F.array(window_map), lambda held: F.concat(*[hits(held, i, s) for i, s in enumerate(seeds)])))
-    likely = reliable(spots.select("key", "mark", "hashes", found.alias("hits")).where("size(hits) > 0"))
+    def all_hits(hashes: Column) -> Column:
+        last = F.lit(slots - 1).cast("long")
+        known = let(word_map, lambda held: F.transform(hashes, lambda h: F.get(held, h.bitwiseAND(last).cast("int"))))
+        each = lambda held, k, begun: F.concat(*[hits(hashes, k, F.get(begun, F.lit(widths.index(len(s)))), held, n, s) for n, s in enumerate(seeds)])
+        return let(known, lambda k: let(F.array(*[starts(k, w) for w in widths]), lambda begun: let(window_map, lambda held: each(held, k, begun))))
+
+    hashed = F.transform(words(column(text)), lambda w: F.xxhash64(w))
+    probed = let(hashed, lambda hashes: F.struct(hashes.alias("hashes"), all_hits(hashes).alias("hits")))
+    likely = docs.select(column(key).alias("key"), F.xxhash64(column(text)).alias("mark"), F.explode(F.array(probed)).alias("probed"))
+    likely = reliable(likely.select("key", "mark", "probed.hashes", "probed.hits").where("size(hits) > 0"))
     joined = likely.select("key", "mark", F.explode("hits").alias("hit")).select("key", "mark", F.col("hit.at").alias("text_at"), F.col("hit.h").alias("h")).join(windows, "h")
     lines = joined.select(F.col("key").alias("line_key"), F.col("mark").alias("line_mark"), "item_id", (F.col("text_at") - F.col("at")).alias("diagonal")).distinct()
     pairs = likely.select("key", "mark", "hashes").dropDuplicates(["key", "mark"]).join(lines, [F.col("mark") == F.col("line_mark"), F.col("key").eqNullSafe(F.col("line_key"))]).join(items, "item_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,15 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once a row however often the body names it.
+
+    The optimizer may merge projections and copy a column's expression to each of its uses; inside
+    a lambda that would compute it again for every element. A lambda's variable is not copied.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def packed(df: DataFrame, **computed: Column) -> DataFrame:
     """The input row as one struct ``row`` beside computed columns, so that no name can clash."""
     return df.select(F.struct(*[column(c) for c in df.columns]).alias("row"), *[c.alias(n) for n, c in computed.items()])
