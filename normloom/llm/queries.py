@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normloom.llm import byte_bpe, decontaminate, exact_dedup, license_scan, sharding, simhash
+from normloom.llm import byte_bpe, chat_format, decontaminate, exact_dedup, license_scan, sharding, simhash
 from normloom.llm.shared import table
 
 
@@ -27,6 +27,17 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample = "\\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame([(-7, 0, "user", sample), (-7, 1, "assistant", sample)], turns.schema))
+    made = chat_format.format_conversations(turns)
+    said = F.array_join(F.transform(chat_format.read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    read = made.select("conv_id", F.size(chat_format.read_back(F.col("formatted"))).cast("long").alias("n_turns"), said.alias("said"), chat_format.loss_text(F.col("segments")).alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return read.select("conv_id", "n_turns", digest("said").alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), digest("learned").alias("loss_sha256"), "formatted_chars")
+
+
 def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.assign_shards(docs, shards=40).drop("text")
@@ -48,6 +59,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_chat_format": op3_chat_format,
     "op4_jump_sharding": op4_jump_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_decontamination": op8_decontamination,
