@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normloom.llm import byte_bpe, chat_format, decontaminate, exact_dedup, license_scan, sharding, simhash
+from normloom.llm import byte_bpe, chat_format, decontaminate, exact_dedup, language_id, license_scan, sharding, simhash
 from normloom.llm.shared import table
 
 
@@ -47,6 +47,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("mark").withColumnRenamed("key", "doc_id")
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_jump_sharding": op4_jump_sharding,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_language_id": op6_language_id,
     "op8_decontamination": op8_decontamination,
     "op10_license_scan": op10_license_scan,
 }
