@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normloom.llm import byte_bpe, chat_format, decontaminate, exact_dedup, language_id, license_scan, sharding, simhash, toxicity
+from normloom.llm import byte_bpe, chat_format, decontaminate, exact_dedup, language_id, license_scan, secret_scan, sharding, simhash, toxicity
 from normloom.llm.shared import table
 
 
@@ -51,6 +51,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secret_scan.train(secret_scan.generated_findings(spark))
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"), forest)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("mark").withColumnRenamed("key", "doc_id")
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jump_sharding": op4_jump_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
+    "op7_secret_scan": op7_secret_scan,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,

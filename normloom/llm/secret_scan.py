@@ -1,0 +1,117 @@
+"""Secret scans: long mixed tokens are candidates, a random forest removes the false positives.
+
+Only DataFrame functions and Spark's own machine learning are used. The forest reads the candidate's
+length and shape, the transitions between its character classes, how much of it dictionary words
+cover, where it stands and the words beside it. It is trained from labelled findings, by default
+from a generated set that states the shapes of secrets and of their look-alikes.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from normloom.llm.shared import column, let
+
+#: A candidate has this many characters at least, one of them a digit, and only characters of keys and assignments.
+MIN_CHARS = 12
+_SHAPE = r"^[\"'(]*[A-Za-z0-9_+/=.:~-]*[0-9][A-Za-z0-9_+/=.:~-]*[^A-Za-z0-9]*$"
+#: Forest: trees, depth, seed; generated labelled findings; probability from which a finding is kept.
+TREES, DEPTH, SEED, LABELLED, KEPT = 20, 6, 7, 4000, 0.5
+# Words that vouch for a secret, words that speak against one, dictionary words, paths of samples.
+VOUCHING = "pass|pwd|secret|token|apikey|api_key|key|auth|credential|bearer|private"
+AGAINST = "sha|md5|hash|commit|checksum|uuid|guid|order|invoice|phone|isbn|card|version|date|digest|revision|http|www"
+DICTIONARY = "example|sample|test|dummy|placeholder|changeme|password|your|here|insert|value|string|number|document|article|version|release|image|file|page|item|user|name|the|and|with|from|this"
+SAMPLE_PATHS = "test|example|sample|fixture|mock|demo|docs"
+FEATURES = ["chars", "digits", "uppers", "lowers", "marks", "kinds", "transitions", "repeats", "hexadecimal", "covered", "assigned", "vouched", "spoken_against", "sample_path"]
+
+
+def find_candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
+    """``key, word_index, finding, before, after, path``: a row for each candidate token of each whole text.
+    ``before`` holds the two words before it, ``after`` the next."""
+    split = F.split(F.coalesce(column(text), F.lit("")), r"\s+")
+    is_candidate = lambda w: (F.length(w) >= MIN_CHARS) & w.rlike(_SHAPE)
+    found = let(
+        split,
+        lambda ws: F.transform(
+            F.filter(F.transform(ws, lambda w, i: F.struct(w.alias("finding"), i.alias("word_index"))), lambda x: is_candidate(x["finding"])),
+            lambda x: F.struct(x["finding"].alias("finding"), x["word_index"].alias("word_index"), F.array_join(F.slice(ws, F.greatest(x["word_index"] - 1, F.lit(1)), F.least(x["word_index"], F.lit(2))), " ").alias("before"), F.coalesce(F.get(ws, x["word_index"] + 1), F.lit("")).alias("after")),
+        ),
+    )
+    where = F.coalesce(column(path).cast("string"), F.lit("")) if path and path in docs.columns else F.lit("")
+    return docs.select(column(key).alias("key"), where.alias("path"), F.explode(found).alias("x")).select("key", "x.word_index", "x.finding", "x.before", "x.after", "path")
+
+
+def with_features(found: DataFrame) -> DataFrame:
+    """``found`` plus the columns in ``FEATURES``; shares refer to the characters of the candidate's value,
+    what follows an equals sign or a colon if it is an assignment."""
+    share = lambda of, pattern: F.coalesce(F.regexp_count(of, F.lit(pattern)) / F.greatest(F.length(of), F.lit(1)), F.lit(0.0))
+    parts = found.select("*", F.regexp_extract("finding", r"^[\"'(]*(?:([A-Za-z_.-]+)[=:])?(.*?)[^A-Za-z0-9=]*$", 1).alias("name"), F.regexp_extract("finding", r"^[\"'(]*(?:([A-Za-z_.-]+)[=:])?(.*?)[^A-Za-z0-9=]*$", 2).alias("value"))
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("value"), "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "0")
+    about = F.lower(F.concat_ws(" ", "before", "name", "after"))
+    flag = lambda c: c.cast("double")
+    value = F.col("value")
+    covered = F.length(value) - F.length(F.regexp_replace(F.lower(value), DICTIONARY, ""))
+    return parts.select(
+        *found.columns,
+        F.length(value).cast("double").alias("chars"),
+        share(value, "[0-9]").alias("digits"),
+        share(value, "[A-Z]").alias("uppers"),
+        share(value, "[a-z]").alias("lowers"),
+        share(value, "[^A-Za-z0-9]").alias("marks"),
+        F.size(F.array_distinct(F.split(value, ""))).cast("double").alias("kinds"),
+        ((F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1) / F.greatest(F.length(value), F.lit(1))).alias("transitions"),
+        share(value, r"(.)\1\1").alias("repeats"),
+        flag(value.rlike("^[0-9a-fA-F]+$")).alias("hexadecimal"),
+        (covered / F.greatest(F.length(value), F.lit(1))).alias("covered"),
+        flag(F.col("name") != "").alias("assigned"),
+        flag(about.rlike(VOUCHING)).alias("vouched"),
+        flag(about.rlike(AGAINST)).alias("spoken_against"),
+        flag(F.lower("path").rlike(SAMPLE_PATHS)).alias("sample_path"),
+    )
+
+
+def generated_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
+    """``finding, before, after, path, label``: secrets and look-alikes by rule, each from a hash of its number."""
+    draw = lambda salt: F.sha2(F.concat(F.col("id").cast("string"), F.lit(salt)), 512)
+    upper = lambda salt, size: F.substring(F.translate(F.upper(F.base64(F.unhex(draw(salt)))), "+/=018", "XYZ"), 1, size)
+    mixed = lambda salt, size: F.substring(F.regexp_replace(F.base64(F.unhex(draw(salt))), "[+/=]", ""), 1, size)
+    hexed = lambda salt, size: F.substring(draw(salt), 1, size)
+    digits = lambda salt, size: F.substring(F.translate(draw(salt), "abcdef", "123456"), 1, size)
+    word = F.element_at(F.split(F.lit("the of on and with report note value entry was in for to text line see"), " "), (F.xxhash64("id") % 8 + 8).cast("int"))
+    secrets = [
+        (F.concat(F.lit("AKIA"), upper("a", 16)), word), (F.concat(F.lit("password="), hexed("b", 18)), word), (F.concat(F.lit("token="), mixed("c", 24)), word),
+        (F.concat(F.lit("ghp_"), mixed("d", 36)), word), (F.concat(F.lit("secret:"), mixed("e", 32)), word), (mixed("f", 40), F.lit("api_key")),
+        (F.concat(F.lit("sk-"), mixed("g", 32)), word), (F.concat(F.lit("api_key="), hexed("h", 32)), word), (F.concat(F.lit('"'), hexed("y", 40), F.lit('"')), F.lit("token =")),
+    ]
+    others = [
+        (digits("i", 16), word), (hexed("j", 40), F.lit("commit")), (F.concat_ws("-", hexed("k", 8), hexed("l", 4), hexed("m", 4), hexed("n", 4), hexed("o", 12)), F.lit("uuid")),
+        (F.concat(F.lit("https://www.site.example/page"), digits("p", 6)), word), (F.concat(F.lit("version-release-"), digits("q", 3)), word), (F.concat(F.lit("AKIAEXAMPLE"), F.lit("SAMPLE000")), word),
+        (F.concat(F.lit("document_number_"), digits("r", 4)), word), (F.concat(F.lit("password=yourpassword"), digits("s", 1)), word), (F.concat_ws("-", digits("t", 4), digits("u", 2), digits("v", 6)), F.lit("phone")),
+        (F.concat(F.lit("sha256:"), hexed("w", 64)), F.lit("digest")), (F.concat(F.lit("000000000000"), digits("x", 4)), word),
+        (F.concat_ws(".", digits("z", 3), digits("A", 3), digits("B", 2), digits("C", 3)), word), (hexed("D", 40), word), (F.concat(digits("E", 16), F.lit("###")), word), (F.concat_ws("@", digits("F", 4), F.lit("mail")), word),
+    ]
+    rows = [F.struct(f.alias("finding"), b.alias("before"), word.alias("after"), F.lit(1.0 if k < len(secrets) else 0.0).alias("label")) for k, (f, b) in enumerate([*secrets, *others])]
+    made = spark.range(n, numPartitions=4).select(F.element_at(F.array(*rows), (F.col("id") % len(rows) + 1).cast("int")).alias("x"), "id")
+    return made.select("x.*", F.when(F.col("id") % 5 == 0, F.lit("docs/sample")).otherwise(F.lit("src")).alias("path"))
+
+
+def train(labelled: DataFrame) -> RandomForestClassificationModel:
+    """A forest from ``finding, before, after, path, label`` rows; a null label is left out."""
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(labelled.where("label is not null")))
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(rows.select("features", "label"))
+
+
+def scan_secrets(docs: DataFrame, model: RandomForestClassificationModel, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
+    """``doc_id, word_index, finding, score, kept``: every candidate with its probability of being a secret.
+
+    ``kept`` is false for removed false positives; ``word_index`` counts white-space parted words from 0. Texts
+    without a candidate (null and empty ones too) have no row; repeated rows repeat theirs.
+    """
+    rows = with_features(find_candidates(docs, key, text, path))
+    scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
+    score = F.round(F.get(vector_to_array("probability"), F.lit(1)), 9)
+    return scored.select(F.col("key").alias("doc_id"), "word_index", "finding", score.alias("score"), (score >= KEPT).alias("kept"))
