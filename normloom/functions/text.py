@@ -10,6 +10,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values of the domain.
 ACTORS = ["operator", "essential entity", "important entity", "competent authority", "CSIRT", "manufacturer", "provider"]
@@ -26,7 +27,7 @@ RELATIVE = r"(?i)within\s+(\d+)\s+(hour|day|month|year)s?"
 ACTION_CHARS = 200
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _nfc(texts: pa.Array) -> pa.Array:
     return pa.array([unicodedata.normalize("NFC", t) if t is not None else None for t in texts.to_pylist()], pa.string())
 

@@ -7,12 +7,13 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Least Ratcliff-Obershelp ratio of a fuzzy match.
 SIMILAR = 0.6
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def similarity(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array([SequenceMatcher(None, a, b).ratio() if a is not None and b is not None else None for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.float64())
 
