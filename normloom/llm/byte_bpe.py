@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normloom.llm.shared import bounded_batches, column, packed, unpacked
+from normloom.llm.shared import bounded_batches, column, held_by_worker, packed, unpacked
 
 #: Encoded words and token pairs that a Python worker keeps; beyond it a store is emptied.
 KEPT_WORDS, KEPT_PAIRS = 300_000, 300_000
@@ -145,42 +145,32 @@ class Replay:
         return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(self.flat[source]))])
 
 
-_REPLAYS: dict[int, Replay] = {}
-
-
-def _replay(tokens, pattern: str) -> Replay:
-    """The worker's own replay for a broadcast list of tokens."""
-    if tokens.value is not None and (key := hash((pattern, len(tokens.value), tokens.value[-1]))) not in _REPLAYS:
-        _REPLAYS[key] = Replay(tokens.value, pattern)
-    return _REPLAYS[key]
-
-
 class ByteBpe:
     """Encoder and decoder for a rank file. The file is read once, by the driver, and broadcast:
     its size is that of the vocabulary, whatever the corpus."""
 
     def __init__(self, spark, path: str, pattern: str):
-        self.spark, self.pattern = spark, pattern
+        self.pattern, self.name = pattern, f"bpe {path} {pattern}"
         self.tokens = spark.sparkContext.broadcast(read_ranks(path))
         bounded_batches(spark)
 
     def encode(self, docs: DataFrame, text: str = "text", to: str = "ids") -> DataFrame:
         """``docs`` plus the token ids of each whole text, ``array<int>``; a null text counts as empty."""
-        tokens, pattern = self.tokens, self.pattern
+        tokens, pattern, name = self.tokens, self.pattern, self.name
 
         @F.arrow_udf("array<int>")
         def ids(texts: pa.Array) -> pa.Array:
-            return _replay(tokens, pattern).encode(texts)
+            return held_by_worker(name, lambda: Replay(tokens.value, pattern)).encode(texts)
 
         return unpacked(packed(docs, text=F.coalesce(column(text).cast("string"), F.lit(""))).select("row", ids("text").alias(to)), docs.columns, [to])
 
     def decode(self, docs: DataFrame, ids: str = "ids", to: str = "decoded") -> DataFrame:
         """``docs`` plus the bytes of each list of ids, ``binary``; a null list counts as empty."""
-        tokens, pattern = self.tokens, self.pattern
+        tokens, pattern, name = self.tokens, self.pattern, self.name
 
         @F.arrow_udf("binary")
         def back(lists: pa.Array) -> pa.Array:
-            return _replay(tokens, pattern).decode(lists)
+            return held_by_worker(name, lambda: Replay(tokens.value, pattern)).decode(lists)
 
         given = F.coalesce(column(ids), F.array().cast("array<int>"))
         return unpacked(packed(docs, ids=given).select("row", back("ids").alias(to)), docs.columns, [to])

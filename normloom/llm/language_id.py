@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normloom.llm.shared import bounded_batches, column, packed, unpacked
+from normloom.llm.shared import bounded_batches, column, held_by_worker, packed, unpacked
 
 #: Labelled texts for each language (about; drawn by hash over all labelled rows), and their longest size.
 TRAINING_TEXTS, TRAINING_CHARS = 400, 20_000
@@ -77,19 +77,30 @@ def fit(samples: dict[str, list[bytes]]) -> Trees:
     return Trees(languages, symbol, tuple(np.unique(gram_numbers(samples[name], symbol, order)[0], return_counts=True) for name in languages), order)
 
 
+def _coded(seen: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Probabilities of each symbol (a column) in each context (a row) from counts and those of the shorter contexts."""
+    total, kinds = seen.sum(axis=1, keepdims=True), (seen > 0).sum(axis=1, keepdims=True)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        coded = np.where(seen > 0, seen / (total + kinds), kinds / (total + kinds) * lower)
+    return np.where(total > 0, coded, lower)
+
+
 def code_lengths(trees: Trees) -> np.ndarray:
     """Bits of each (context, symbol) number, a column a language."""
     size = trees.size
     out = np.empty((size ** (trees.order + 1), len(trees.languages)), np.float32)
     for k, (grams, counts) in enumerate(trees.grams):
-        shorter = np.full(size, 1 / size)
-        for order in range(trees.order + 1):
-            seen = np.bincount(grams % size ** (order + 1), weights=counts, minlength=size ** (order + 1)).reshape(-1, size)
-            total, kinds = seen.sum(axis=1, keepdims=True), (seen > 0).sum(axis=1, keepdims=True)
-            lower = np.tile(shorter.reshape(-1, size), (size if order else 1, 1))
-            with np.errstate(invalid="ignore", divide="ignore"):
-                coded = np.where(seen > 0, seen / (total + kinds), kinds / (total + kinds) * lower)
-            shorter = np.where(total > 0, coded, lower)
+        shorter = _coded(np.bincount(grams % size, weights=counts, minlength=size).reshape(1, -1), np.full((1, size), 1 / size))
+        for order in range(1, trees.order + 1):
+            # Contexts that begin with the same symbol fall back on the whole table of the order below.
+            width = size**order
+            numbers = grams % (width * size)
+            longer = np.empty((width, size), np.float32)
+            for first in range(size):
+                own = (numbers >= first * width) & (numbers < (first + 1) * width)
+                seen = np.bincount(numbers[own] - first * width, weights=counts[own], minlength=width).reshape(-1, size)
+                longer[first * len(seen) : (first + 1) * len(seen)] = _coded(seen, shorter)
+            shorter = longer
         out[:, k] = -np.log2(shorter).reshape(-1)
     return out
 
@@ -113,17 +124,6 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def _scorer(name: str, shared) -> Scorer:
-    """The worker's scorer for a broadcast model; one is held at a time."""
-    if name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[name] = Scorer(shared.value)
-    return _SCORERS[name]
-
-
 def held_out(key: Column, parts: int, part: int) -> Column:
     """Rows that training must not see: ``crc32`` of the id as text has this remainder (a null id counts as empty text)."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % parts == part
@@ -150,7 +150,7 @@ def predict_language(docs: DataFrame, trees: Trees, text: str = "text") -> DataF
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def best(texts: pa.Array) -> pa.Array:
-        scorer = _scorer(name, shared)
+        scorer = held_by_worker(name, lambda: Scorer(shared.value))
         bits = scorer.bits([(t.as_py() or "").encode() for t in texts])
         chosen = bits.argmin(axis=1)
         score = 1 / np.exp2(np.minimum(0, bits.min(axis=1, keepdims=True) - bits)).sum(axis=1)

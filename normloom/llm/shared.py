@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,18 @@ def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes * 2**20))
 
 
+_HELD: dict[str, Any] = {}
+
+
+def held_by_worker(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between batches under ``name``. Workers outlive a query, so a new name
+    drops what the last one held."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def column(name: str) -> Column:
     """A column by its exact name, dots and spaces included."""
     return F.col("`" + name.replace("`", "``") + "`")

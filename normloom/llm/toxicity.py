@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from normloom.llm.language_id import held_out
-from normloom.llm.shared import bounded_batches, column, packed, unpacked
+from normloom.llm.shared import bounded_batches, column, held_by_worker, packed, unpacked
 
 #: Kernel: weight of a letter spanned, and the widest span of three letters.
 DECAY, SPAN = 0.7, 7
@@ -236,17 +236,6 @@ class Scorer:
         return self.machine.score(np.maximum(worst, self.machine.floor))
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def _scorer(name: str, shared) -> Scorer:
-    """The worker's scorer for a broadcast machine; one is held at a time."""
-    if name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[name] = Scorer(shared.value)
-    return _SCORERS[name]
-
-
 def training_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, texts: int = TRAINING_TEXTS) -> tuple[list[str], list[int]]:
     """About ``texts`` labelled whole texts of each class, drawn by a hash of the id; repeated labels count as toxic if one is."""
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id"), 3, 1))
@@ -266,7 +255,7 @@ def score_toxicity(docs: DataFrame, machine: Machine, text: str = "text") -> Dat
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(_scorer(name, shared).scores(texts))
+        return pa.array(held_by_worker(name, lambda: Scorer(shared.value)).scores(texts))
 
     rows = packed(docs, text=column(text).cast("string")).select("row", score("text").alias("score"))
     return unpacked(rows.select("row", "score", (F.col("score") >= TOXIC).cast("int").alias("predicted")), docs.columns, ["score", "predicted"])
