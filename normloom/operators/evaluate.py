@@ -35,3 +35,33 @@ def span_overlap(a: Column, b: Column) -> Column:
     """Intersection over union of two ``start, end`` spans."""
     shared = F.greatest(F.lit(0), F.least(a["end"], b["end"]) - F.greatest(a["start"], b["start"]))
     return shared / F.greatest(F.lit(1), F.greatest(a["end"], b["end"]) - F.least(a["start"], b["start"]))
+
+
+def core_field_accuracy(rows: DataFrame, *by: str) -> DataFrame:
+    """Shares of ``rows`` whose actor sets meet (in lower case) and whose action, object and deadline equal the expected ones,
+    and the mean of actor, action and object. Columns: ``actor, action, object, deadline`` and each with ``expected_`` before it."""
+    low = lambda c: F.transform(c, lambda x: F.lower(x))
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("int")), 6)
+    made = rows.groupBy(*by).agg(
+        share(F.arrays_overlap(low("actor"), low("expected_actor"))).alias("actor"), share(plain("action") == plain("expected_action")).alias("action"),
+        share(plain("object") == plain("expected_object")).alias("object"), share(F.col("deadline").eqNullSafe(F.col("expected_deadline"))).alias("deadline"),
+    )
+    return made.withColumn("core", F.round((F.col("actor") + F.col("action") + F.col("object")) / 3, 6))
+
+
+def competency(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """``query_id, correct``: a query is right if its count, status, path length and text presence are as expected.
+
+    ``results(query_id, review_status, path_length, verbatim_text)`` has a row for each path found.
+    """
+    got = results.groupBy("query_id").agg(F.count("*").alias("n"), F.min("review_status").alias("status"), F.min("path_length").alias("length"), F.bool_and(F.coalesce("verbatim_text", F.lit("")) != "").alias("text"))
+    joined = expected.join(got, "query_id", "left")
+    right = (F.coalesce("n", F.lit(0)) == F.col("count")) & ((F.col("count") == 0) | (F.col("status").eqNullSafe(F.col("review_status")) & F.col("length").eqNullSafe(F.col("path_length")) & F.col("text").eqNullSafe(F.col("verbatim_text_nonempty"))))
+    return joined.select("query_id", right.alias("correct"))
+
+
+def chain_rates(rows: DataFrame, *by: str) -> DataFrame:
+    """Of ``rows(passed, resolved)``: attempts, the share that passed, resolved, and the integrity rate, the lesser of the two."""
+    made = rows.groupBy(*by).agg(F.count("*").alias("attempts"), F.round(F.avg(F.col("passed").cast("int")), 6).alias("success"), F.round(F.avg(F.col("resolved").cast("int")), 6).alias("resolves"))
+    return made.withColumn("integrity", F.least("success", "resolves"))

@@ -209,3 +209,28 @@ def export(nodes: DataFrame, edges: DataFrame, latest: DataFrame, chain: DataFra
 
 def least_confidence(confidences: Column) -> Column:
     return F.coalesce(F.array_min(F.map_values(confidences)), F.lit(1.0))
+
+
+def article_history(anchors: DataFrame, supersedes: DataFrame, max_hops: int = 16) -> DataFrame:
+    """``anchor_id, hops, older_anchor_id``: the same structural path in each version that a version supersedes.
+
+    ``anchors(instrument, source_version, path, anchor_id)``, ``supersedes(instrument, source_version, older_version)``. A walk ends
+    where a version has no such path, at a version met before, or after ``max_hops``.
+    """
+    step = anchors.join(supersedes, ["instrument", "source_version"])
+    older = anchors.select("instrument", F.col("source_version").alias("older_version"), "path", F.col("anchor_id").alias("older_anchor_id"))
+    links = step.join(older, ["instrument", "older_version", "path"]).select(F.col("anchor_id").alias("from_id"), "older_anchor_id")
+    at = links.select(F.col("from_id").alias("anchor_id"), F.lit(1).alias("hops"), "older_anchor_id", F.array("from_id", "older_anchor_id").alias("walk"))
+    out = at
+    for hop in range(2, max_hops + 1):
+        at = at.withColumnRenamed("older_anchor_id", "from_id").join(links, "from_id").where(~F.array_contains("walk", F.col("older_anchor_id")))
+        at = at.select("anchor_id", F.lit(hop).alias("hops"), "older_anchor_id", F.concat("walk", F.array("older_anchor_id")).alias("walk"))
+        out = out.unionByName(at)
+    return out.drop("walk")
+
+
+def type_sets(nodes: DataFrame, edges: DataFrame, key: str = "snapshot_id") -> DataFrame:
+    """The sets of node and edge types that stand under each key, for mapping scores."""
+    a = nodes.groupBy(key).agg(F.array_sort(F.collect_set("type")).alias("node_types"))
+    b = edges.groupBy(key).agg(F.array_sort(F.collect_set("type")).alias("edge_types"))
+    return a.join(b, key, "left").withColumn("edge_types", F.coalesce("edge_types", F.array().cast("array<string>")))

@@ -38,3 +38,21 @@ def source_pane(text: Column, start: Column, end: Column) -> Column:
 
 def validation_panel(checks: Column) -> Column:
     return F.array_join(F.transform(checks, lambda c: F.concat(F.lit("["), c["status"], F.lit("] "), c["check_name"])), "\n")
+
+
+def field_rows(record: Column, fields: list[str]) -> Column:
+    """``field, value`` rows of a struct, for an editor; arrays are joined by commas."""
+    return F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(record[f].cast("string"), F.lit("")).alias("value")) for f in fields])
+
+
+def diff_preview(nodes: Column, edges: Column) -> Column:
+    """Added nodes ``id, type`` and edges ``from, type, to`` as lines under their counts."""
+    head = lambda what, items: F.concat(F.size(items).cast("string"), F.lit(f" {what}"))
+    node = F.transform(nodes, lambda n: F.concat(F.lit("+ "), n["type"], F.lit(" "), n["id"]))
+    edge = F.transform(edges, lambda e: F.concat(F.lit("+ "), e["from"], F.lit(" -"), e["type"], F.lit("-> "), e["to"]))
+    return F.array_join(F.concat(F.array(head("nodes", nodes)), node, F.array(head("edges", edges)), edge), "\n")
+
+
+def history_view(log: Column) -> Column:
+    """A line for each decision ``at, actor, action, rationale`` of an ordered log."""
+    return F.array_join(F.transform(log, lambda d: F.concat_ws(" | ", d["at"].cast("string"), d["actor"], d["action"], d["rationale"])), "\n")

@@ -49,3 +49,21 @@ def match_entities(names: DataFrame, known: DataFrame, least: float = SIMILAR) -
         F.when(F.col("k").isNotNull(), "exact").when(F.col("b").isNotNull(), "fuzzy").otherwise("none").alias("match_type"),
         F.when(F.col("k").isNotNull(), 1.0).otherwise(F.coalesce("b.ratio", F.lit(0.0))).alias("confidence"),
     )
+
+
+def reference_candidates(mentions: DataFrame, terms: DataFrame) -> DataFrame:
+    """``mention, target_id, confidence``: a term equal to the mention (1.0), else the first term that contains it in
+    lower case (0.6); other mentions are dropped. ``terms(term, target_id, ordinal)``.
+
+    A containing term shares the mention's first three characters somewhere, so terms meet mentions on those.
+    """
+    wanted = mentions.select("mention").where("mention is not null").distinct()
+    exact = wanted.join(terms.groupBy(F.col("term").alias("mention")).agg(F.min_by("target_id", "ordinal").alias("target_id")), "mention")
+    rest = wanted.join(exact, "mention", "left_anti").select("mention", F.lower("mention").alias("low"))
+    held = terms.select("target_id", "ordinal", F.lower("term").alias("text"))
+    gram = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 2, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(3)))
+    long = rest.where("length(low) >= 3").withColumn("gram", F.substring("low", 1, 3)).join(held.withColumn("gram", F.explode(F.array_distinct(gram))), "gram").where(F.contains("text", "low"))
+    letter = F.explode(F.array_distinct(F.split("text", "")))
+    short = rest.where("length(low) in (1, 2)").withColumn("gram", F.substring("low", 1, 1)).join(held.withColumn("gram", letter), "gram").where(F.contains("text", "low"))
+    part = long.unionByName(short).groupBy("mention").agg(F.min_by("target_id", "ordinal").alias("target_id"))
+    return exact.withColumn("confidence", F.lit(1.0)).unionByName(part.withColumn("confidence", F.lit(0.6)))

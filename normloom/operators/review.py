@@ -57,3 +57,46 @@ def rate_limited(hits: DataFrame, limit: int = 120, seconds: int = 60) -> DataFr
     """``hits(client, ts)`` plus the hits of the client in the window up to each, itself and refused ones included."""
     counted = hits.selectExpr("*", f"count(*) over (partition by client order by ts range between interval {seconds} seconds preceding and current row) as hits")
     return counted.withColumn("allowed", F.col("hits") <= limit)
+
+
+def apply_edits(records: DataFrame, edits: DataFrame, editable: list[str], key: str = "clause_id") -> DataFrame:
+    """``records`` with the last edit of each field applied; ``edits(key, seq, field, value)``.
+
+    Fields outside ``editable`` are left alone. An edited ``verbatim_text`` gets a new ``evidence_hash`` unless the hash is edited too.
+    """
+    last = edits.where(F.col("field").isin(editable)).groupBy(key).agg(*[F.max_by(F.when(F.col("field") == f, F.struct("value")), F.when(F.col("field") == f, F.col("seq"))).alias(f"new_{f}") for f in editable])
+    joined = records.join(last, key, "left")
+    new = {f: F.when(F.col(f"new_{f}").isNotNull(), F.col(f"new_{f}.value")).otherwise(F.col(f)) for f in editable if f in records.columns}
+    if "verbatim_text" in new and "evidence_hash" in records.columns:
+        given = F.col("new_evidence_hash.value") if "evidence_hash" in editable else F.lit(None).cast("string")
+        new["evidence_hash"] = F.when(F.col("new_verbatim_text").isNotNull(), F.coalesce(given, F.sha2(F.col("new_verbatim_text.value").cast("binary"), 256))).otherwise(new.get("evidence_hash", F.col("evidence_hash")))
+    return joined.select(*[new.get(c, F.col(c)).alias(c) for c in records.columns])
+
+
+#: What each event makes of each state; any other pair leaves the state. ``published`` and ``rejected`` are final.
+TRANSITIONS = {
+    ("draft", "pass"): "validated", ("draft", "fail"): "rejected", ("validated", "fail"): "rejected", ("validated", "approve"): "approved",
+    ("approved", "fail"): "rejected", ("approved", "publish"): "published",
+}
+
+
+def changeset_states(events: DataFrame) -> DataFrame:
+    """``key, state, refused``: the state after all ``events(key, seq, event)`` in order, and how many events did not
+    apply. A change set's few events are folded in one row."""
+    ordered = events.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("seq", "event"))).alias("log"))
+
+    def step(s: Column, x: Column) -> Column:
+        new = F.lit(None).cast("string")
+        for (state, event), to in TRANSITIONS.items():
+            new = F.when((s["state"] == state) & (x["event"] == event), F.lit(to)).otherwise(new)
+        repeat = (x["event"] == "pass") & s["state"].isin("validated", "approved")
+        return F.struct(F.coalesce(new, s["state"]).alias("state"), (s["refused"] + F.when(new.isNull() & ~repeat, 1).otherwise(0)).alias("refused"))
+
+    folded = F.aggregate("log", F.struct(F.lit("draft").alias("state"), F.lit(0).alias("refused")), step)
+    return ordered.select("key", folded.alias("s")).select("key", "s.state", "s.refused")
+
+
+def call_records(calls: DataFrame) -> DataFrame:
+    """Append-only records of agent calls: ``calls(agent_role, context, output, clause_id)`` with hashes of input, context and output."""
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return calls.select("agent_role", "clause_id", digest("context").alias("input_hash"), digest("context").alias("context_hash"), digest("output").alias("output_hash"))

@@ -206,15 +206,15 @@ def ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _path_sql(tail: str, typed: bool) -> str:
-    kind = lambda a, t: f"{tail} JOIN nodes {a}n ON {a}n.snapshot_id = {a}.snapshot_id AND {a}n.node_id = {a}.to_node_id AND {a}n.type = '{t}'" if typed else ""
-    return GRAPH + f"""o AS (SELECT d.snapshot_id, d.from_node_id AS obligation_id, d.to_node_id AS provision_id, m.to_node_id AS control_id FROM edges d
-        JOIN nodes n1 ON n1.snapshot_id = d.snapshot_id AND n1.node_id = d.from_node_id AND n1.type = 'Obligation' JOIN nodes n2 ON n2.snapshot_id = d.snapshot_id AND n2.node_id = d.to_node_id AND n2.type = 'Provision'
-        JOIN edges m ON m.snapshot_id = d.snapshot_id AND m.from_node_id = d.from_node_id AND m.type = 'MAPS_TO_CONTROL' JOIN nodes n3 ON n3.snapshot_id = m.snapshot_id AND n3.node_id = m.to_node_id AND n3.type = 'Control' WHERE d.type = 'DERIVED_FROM')
-      SELECT o.snapshot_id, provision_id, obligation_id, control_id, a.to_node_id AS asset_id, s.to_node_id AS evidence_id, t.to_node_id AS test_asset_id,
-        (3 + (a.to_node_id IS NOT NULL)::INT + (s.to_node_id IS NOT NULL)::INT + (t.to_node_id IS NOT NULL)::INT)::INT AS path_length FROM o
-      {tail} JOIN edges a ON a.snapshot_id = o.snapshot_id AND a.from_node_id = o.control_id AND a.type = 'AFFECTS_ASSET' {kind("a", "Asset")}
-      {tail} JOIN edges s ON s.snapshot_id = o.snapshot_id AND s.from_node_id = o.control_id AND s.type = 'SATISFIED_BY' {kind("s", "EvidenceRequirement")}
-      {tail} JOIN edges t ON t.snapshot_id = o.snapshot_id AND t.from_node_id = s.to_node_id AND t.type = 'EVIDENCED_BY' {kind("t", "TestAsset")}"""
+    kind = lambda t: f"JOIN nodes n ON n.snapshot_id = e.snapshot_id AND n.node_id = e.to_node_id AND n.type = '{t}'" if typed else ""
+    rel = lambda r, t: f"(SELECT e.snapshot_id, e.from_node_id AS f, e.to_node_id AS t FROM edges e {kind(t)} WHERE e.type = '{r}')"
+    of = lambda t: f"(SELECT snapshot_id, node_id FROM nodes WHERE type = '{t}')"
+    return GRAPH + f"""d AS (SELECT e.snapshot_id, from_node_id AS obligation_id, to_node_id AS provision_id FROM edges e JOIN {of("Obligation")} o ON o.snapshot_id = e.snapshot_id AND o.node_id = from_node_id JOIN {of("Provision")} p ON p.snapshot_id = e.snapshot_id AND p.node_id = to_node_id WHERE e.type = 'DERIVED_FROM'),
+      m AS (SELECT e.snapshot_id, from_node_id, to_node_id AS control_id FROM edges e JOIN {of("Control")} c ON c.snapshot_id = e.snapshot_id AND c.node_id = to_node_id WHERE e.type = 'MAPS_TO_CONTROL'),
+      o AS MATERIALIZED (SELECT d.*, control_id FROM d JOIN m ON m.snapshot_id = d.snapshot_id AND m.from_node_id = obligation_id)
+      SELECT o.snapshot_id, provision_id, obligation_id, control_id, a.t AS asset_id, s.t AS evidence_id, x.t AS test_asset_id, (3 + (a.t IS NOT NULL)::INT + (s.t IS NOT NULL)::INT + (x.t IS NOT NULL)::INT)::INT AS path_length FROM o
+      {tail} JOIN {rel("AFFECTS_ASSET", "Asset")} a ON a.snapshot_id = o.snapshot_id AND a.f = control_id {tail} JOIN {rel("SATISFIED_BY", "EvidenceRequirement")} s ON s.snapshot_id = o.snapshot_id AND s.f = control_id
+      {tail} JOIN {rel("EVIDENCED_BY", "TestAsset")} x ON x.snapshot_id = o.snapshot_id AND x.f = s.t"""
 
 
 @query("j8_proof_paths", _path_sql("", True))
@@ -340,3 +340,140 @@ def panes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("f28_scoring_form", r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS form FROM {documents}")
 def scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return make(spark, sf_dir, "SELECT * FROM {documents}").select("doc_id", F.md5(T.scoring_form(F.col("text")).cast("binary")).alias("form"))
+
+
+TERMS = "SELECT p_type AS term, cast(p_partkey AS STRING) AS target_id, p_partkey AS ordinal FROM {part}"
+MENTIONS = "SELECT DISTINCT substr(p_type, 3, 1 + cast(p_size % 9 AS INT)) AS mention FROM {part} UNION SELECT p_type FROM {part} UNION SELECT o_orderpriority FROM {orders}"
+
+
+@query("f15_references", f"""WITH t AS ({TERMS}), m AS (SELECT DISTINCT mention FROM ({MENTIONS}) AS x), e AS (SELECT mention, arg_min(target_id, ordinal) AS target_id FROM m JOIN t ON term = mention GROUP BY 1),
+    u AS (SELECT lower(term) AS text, arg_min(target_id, ordinal) AS target_id, min(ordinal) AS ordinal FROM t GROUP BY 1), p AS (SELECT mention, arg_min(target_id, ordinal) AS target_id FROM m ANTI JOIN e USING (mention) JOIN u ON contains(text, lower(mention)) WHERE mention <> '' GROUP BY 1)
+    SELECT *, 1.0::DOUBLE AS confidence FROM e UNION ALL SELECT *, 0.6::DOUBLE FROM p""")
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.reference_candidates(make(spark, sf_dir, MENTIONS), make(spark, sf_dir, TERMS))
+
+
+RECORDS = "SELECT doc_id AS clause_id, text AS verbatim_text, md5(text) AS evidence_hash, lang AS object, source AS review_status FROM {documents}"
+EDITS = """SELECT doc_id AS clause_id, quality AS seq, 'verbatim_text' AS field, 'edited ' || cast(doc_id AS STRING) AS value FROM {labels} UNION ALL SELECT doc_id, toxic, 'object', CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'x' END FROM {labels} WHERE toxic = 1
+    UNION ALL SELECT doc_id, 1, 'review_status', 'accepted' FROM {labels}"""
+
+
+@query("f21_apply_edits", f"""WITH r AS ({RECORDS}), e AS ({EDITS}), v AS (SELECT clause_id, value FROM e WHERE field = 'verbatim_text'), o AS (SELECT clause_id, value FROM e WHERE field = 'object')
+    SELECT r.clause_id, coalesce(v.value, verbatim_text) AS verbatim_text, CASE WHEN v.clause_id IS NOT NULL THEN sha256(v.value) ELSE evidence_hash END AS evidence_hash, CASE WHEN o.clause_id IS NOT NULL THEN o.value ELSE object END AS object, review_status
+    FROM r LEFT JOIN v ON v.clause_id = r.clause_id LEFT JOIN o ON o.clause_id = r.clause_id""")
+def apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.apply_edits(make(spark, sf_dir, RECORDS), make(spark, sf_dir, EDITS), ["verbatim_text", "object"])
+
+
+CS_EVENTS = "SELECT cast(user_id AS STRING) || '-' || cast(year(ts) * 1000 + dayofyear(ts) AS STRING) AS key, event_id AS seq, CASE event_type WHEN 'click' THEN 'pass' WHEN 'view' THEN 'approve' WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'publish' ELSE 'pass' END AS event FROM {events}"
+
+
+@query("m4_changeset_states", f"""WITH l AS (SELECT key, list('#' || event ORDER BY seq) AS log FROM ({CS_EVENTS}) AS e GROUP BY 1)
+    SELECT key, list_reduce(list_concat(['draft'], log), lambda s, x: CASE WHEN s = 'draft' AND x = '#pass' THEN 'validated' WHEN s IN ('draft', 'validated', 'approved') AND x = '#fail' THEN 'rejected' WHEN s = 'validated' AND x = '#approve' THEN 'approved' WHEN s = 'approved' AND x = '#publish' THEN 'published' ELSE s END) AS state FROM l""")
+def changeset_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.changeset_states(make(spark, sf_dir, CS_EVENTS)).select("key", "state")
+
+
+CALLS = "SELECT role AS agent_role, concat_ws(':', cast(conv_id AS STRING), cast(turn AS STRING)) AS clause_id, text AS context, lower(text) AS output FROM {conversations}"
+
+
+@query("f22_call_log", f"SELECT agent_role, clause_id, sha256(context) AS input_hash, sha256(context) AS context_hash, sha256(output) AS output_hash FROM ({CALLS}) AS c")
+def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.call_records(make(spark, sf_dir, CALLS))
+
+
+FIELDS = "SELECT p_brand, split_it(p_name) AS actor, split_it(p_type) AS expected_actor, upper(p_name) AS action, p_name AS expected_action, p_brand AS object, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE p_type END AS expected_object, CASE WHEN p_size % 2 = 0 THEN 'P1D' END AS deadline, CASE WHEN p_size % 5 < 3 THEN 'P1D' END AS expected_deadline FROM {part}"
+
+
+@query("a9_core_fields", f"""WITH r AS ({FIELDS.replace("split_it(p_name)", "string_split(lower(p_name), ' ')").replace("split_it(p_type)", "string_split(lower(p_type), ' ')")}),
+    s AS (SELECT p_brand, round(avg(list_has_any(actor, expected_actor)::INT), 6) AS actor, round(avg((lower(action) = lower(expected_action))::INT), 6) AS action, round(avg((object = expected_object)::INT), 6) AS object, round(avg((deadline IS NOT DISTINCT FROM expected_deadline)::INT), 6) AS deadline FROM r GROUP BY 1)
+    SELECT *, round((actor + action + object) / 3, 6) AS core FROM s""")
+def core_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = make(spark, sf_dir, FIELDS.replace("split_it(p_name)", "split(p_name, ' ')").replace("split_it(p_type)", "split(p_type, ' ')"))
+    return evaluate.core_field_accuracy(rows, "p_brand")
+
+
+@query("a12_mapping_sets", GRAPH + "n AS (SELECT snapshot_id, string_agg(DISTINCT type, '|' ORDER BY type) AS node_types FROM nodes GROUP BY 1), e AS (SELECT snapshot_id, string_agg(DISTINCT type, '|' ORDER BY type) AS edge_types FROM edges GROUP BY 1) SELECT n.snapshot_id, node_types, coalesce(edge_types, '') AS edge_types FROM n LEFT JOIN e ON e.snapshot_id = n.snapshot_id")
+def mapping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.type_sets(*_graph(spark, sf_dir)).select("snapshot_id", F.array_join("node_types", "|").alias("node_types"), F.array_join("edge_types", "|").alias("edge_types"))
+
+
+@query("a13_competency", f"""WITH q AS MATERIALIZED (SELECT obligation_id, count(*) AS n, min(path_length) AS m FROM ({_path_sql("LEFT", False)}) AS z GROUP BY 1)
+    SELECT 'obligation:' || cast(o_orderkey AS STRING) AS query_id, coalesce(n, 0) = o_orderkey % 5 AND (o_orderkey % 5 = 0 OR (o_orderstatus = 'O' AND m = 6)) AS correct FROM {{orders}} LEFT JOIN q ON obligation_id = 'obligation:' || cast(o_orderkey AS STRING)""")
+def competency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = make(spark, sf_dir, "SELECT 'obligation:' || cast(o_orderkey AS STRING) AS obligation_id, CASE WHEN o_orderstatus = 'O' THEN 'accepted' ELSE 'edited' END AS review_status FROM {orders}")
+    results = proof_paths_optional(spark, sf_dir).join(status, "obligation_id").select(F.col("obligation_id").alias("query_id"), "review_status", "path_length", F.lit("text").alias("verbatim_text"))
+    expected = make(spark, sf_dir, "SELECT 'obligation:' || cast(o_orderkey AS STRING) AS query_id, o_orderkey % 5 AS count, 'accepted' AS review_status, 6 AS path_length, true AS verbatim_text_nonempty FROM {orders}")
+    return evaluate.competency(results, expected)
+
+
+@query("a14_chain_rates", f"WITH p AS ({PROVENANCE}) SELECT o_orderpriority, count(*) AS attempts, round(avg((o_orderstatus <> 'P')::INT), 6) AS success, round(avg(resolved::INT), 6) AS resolves, least(round(avg((o_orderstatus <> 'P')::INT), 6), round(avg(resolved::INT), 6)) AS integrity FROM p JOIN {{orders}} ON clause_id = o_orderkey GROUP BY 1")
+def chain_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = provenance(spark, sf_dir).join(make(spark, sf_dir, "SELECT o_orderkey AS clause_id, o_orderpriority, o_orderstatus <> 'P' AS passed FROM {orders}"), "clause_id")
+    return evaluate.chain_rates(rows, "o_orderpriority")
+
+
+VERSIONS = "SELECT DISTINCT 'NIS2' AS instrument, 'v' || cast(year(o_orderdate) AS STRING) AS source_version, 'article-' || cast(o_custkey AS STRING) AS path, 'v' || cast(year(o_orderdate) AS STRING) || ':article-' || cast(o_custkey AS STRING) AS anchor_id FROM {orders}"
+OLDER = "SELECT DISTINCT 'NIS2' AS instrument, 'v' || cast(year(o_orderdate) AS STRING) AS source_version, 'v' || cast(year(o_orderdate) - 1 AS STRING) AS older_version FROM {orders}"
+
+
+@query("g5_article_history", f"""WITH RECURSIVE a AS ({VERSIONS}), s AS ({OLDER}), l AS (SELECT a.anchor_id AS from_id, b.anchor_id AS to_id FROM a JOIN s ON s.source_version = a.source_version JOIN a b ON b.source_version = s.older_version AND b.path = a.path),
+    w AS (SELECT from_id AS anchor_id, 1 AS hops, to_id AS older_anchor_id FROM l UNION ALL SELECT w.anchor_id, hops + 1, l.to_id FROM w JOIN l ON l.from_id = w.older_anchor_id) SELECT * FROM w""")
+def article_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.article_history(make(spark, sf_dir, VERSIONS), make(spark, sf_dir, OLDER))
+
+
+@query("src2_type_gate", "SELECT page_id, CASE WHEN lower(regexp_extract(url, '\\.[^./]+$')) IN ('.txt', '.xml', '.html', '.pdf') AND length(html) <= 26214400 THEN 'accepted' ELSE 'refused' END AS outcome FROM {pages}")
+def type_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from normloom.sources.store import ALLOWED_SUFFIXES, MAX_BYTES
+
+    ok = F.lower(F.regexp_extract("url", r"\.[^./]+$", 0)).isin(*ALLOWED_SUFFIXES) & (F.length("html") <= MAX_BYTES)
+    return make(spark, sf_dir, "SELECT * FROM {pages}").select("page_id", F.when(F.coalesce(ok, F.lit(False)), "accepted").otherwise("refused").alias("outcome"))
+
+
+@query("t17_joined_pages", "SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS checksum FROM {conversations} GROUP BY 1")
+def joined_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from normloom.sources.store import joined_pages as join
+
+    pages = make(spark, sf_dir, "SELECT conv_id, turn AS page_no, text FROM {conversations}")
+    return join(pages, "conv_id").select("conv_id", F.md5(F.col("text").cast("binary")).alias("checksum"))
+
+
+@query("r8_diff_preview", """SELECT l_orderkey, md5(concat_ws(chr(10), count(*) || ' nodes', string_agg('+ Control ' || l_suppkey, chr(10) ORDER BY l_suppkey, l_partkey), count(*) || ' edges', string_agg('+ ' || l_orderkey || ' -MAPS_TO_CONTROL-> ' || l_suppkey, chr(10) ORDER BY l_suppkey, l_partkey))) AS preview FROM {lineitem} GROUP BY 1""")
+def diff_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = make(spark, sf_dir, "SELECT l_orderkey, l_suppkey, l_partkey FROM {lineitem}").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_suppkey", "l_partkey"))).alias("x"))
+    nodes = F.transform("x", lambda x: F.struct(x["l_suppkey"].cast("string").alias("id"), F.lit("Control").alias("type")))
+    edges = F.transform("x", lambda x: F.struct(F.col("l_orderkey").cast("string").alias("from"), F.lit("MAPS_TO_CONTROL").alias("type"), x["l_suppkey"].cast("string").alias("to")))
+    return rows.select("l_orderkey", F.md5(render.diff_preview(nodes, edges).cast("binary")).alias("preview"))
+
+
+@query("r9_history_view", "SELECT user_id, md5(string_agg(event_id || ' | ' || user_id || ' | ' || event_type || ' | ' || 'because', chr(10) ORDER BY event_id)) AS view FROM {events} GROUP BY 1")
+def history_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = make(spark, sf_dir, "SELECT user_id, event_id, event_type FROM {events}").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("x"))
+    log = F.transform("x", lambda x: F.struct(x["event_id"].alias("at"), F.col("user_id").cast("string").alias("actor"), x["event_type"].alias("action"), F.lit("because").alias("rationale")))
+    return rows.select("user_id", F.md5(render.history_view(log).cast("binary")).alias("view"))
+
+
+@query("st1_sliding_windows", """SELECT user_id AS client, to_timestamp(epoch(ts)::BIGINT // 10800 * 10800 - 10800 * k)::TIMESTAMP AS window_start, count(*) AS hits, count(*) <= 2 AS allowed FROM {events}, (SELECT unnest(range(2)) AS k) GROUP BY 1, 2""")
+def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from normloom.streaming.requests import limited
+
+    return limited(make(spark, sf_dir, HITS), limit=2, length="6 hours", slide="3 hours")
+
+
+@query("st1_sessions")
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from normloom.streaming.requests import sessions
+
+    return sessions(make(spark, sf_dir, HITS), gap="6 hours")
+
+
+@query("w9_first_seen", "SELECT lang, source, arg_min(doc_id, doc_id) AS first_id, arg_max(doc_id, doc_id) AS last_id FROM {documents} GROUP BY 1, 2")
+def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return make(spark, sf_dir, "SELECT * FROM {documents}").groupBy("lang", "source").agg(F.min_by("doc_id", "doc_id").alias("first_id"), F.max_by("doc_id", "doc_id").alias("last_id"))
+
+
+@query("u3_label_sets", "SELECT p_partkey, list_sort(list_intersect(string_split(p_name, ' '), string_split(p_type, ' ')))::VARCHAR AS both_sets, len(list_distinct(list_concat(string_split(p_name, ' '), string_split(p_type, ' '))))::INT AS either FROM {part}")
+def label_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.split("p_name", " "), F.split("p_type", " ")
+    return make(spark, sf_dir, "SELECT * FROM {part}").select("p_partkey", F.concat(F.lit("["), F.array_join(F.array_sort(F.array_intersect(a, b)), ", "), F.lit("]")).alias("both_sets"), F.size(F.array_union(a, b)).alias("either"))

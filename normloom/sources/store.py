@@ -92,3 +92,25 @@ def signature(manifest: str, key: bytes) -> str:
 
 def verified(manifest: str, key: bytes, signed: str) -> bool:
     return hmac.compare_digest(signature(manifest, key), signed)
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """``path, label`` rows of a JSON file that holds one object of labels by structural path."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
+    return whole.select(F.explode("m").alias("path", "label"))
+
+
+def joined_pages(pages: DataFrame, key: str) -> DataFrame:
+    """One text of each document's ``pages(key, page_no, text)``, in order, an empty line between."""
+    held = pages.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("page_no", "text"))).alias("pages"))
+    return held.select(key, F.array_join("pages.text", "\n\n").alias("text"))
+
+
+class ToolPolicy:
+    """Which tools an agent may call: registered ones of read-only categories, from allowed providers."""
+
+    def __init__(self, categories: frozenset[str], providers: frozenset[str], tools: dict[str, str]):
+        self.categories, self.providers, self.tools = categories, providers, tools
+
+    def allows(self, tool: str, provider: str) -> bool:
+        return provider in self.providers and self.tools.get(tool) in self.categories
