@@ -23,9 +23,8 @@ def match_entities(names: DataFrame, known: DataFrame, least: float = SIMILAR) -
 
     ``known(node_id, name, ordinal)``. Names equal in trimmed lower case match exactly (the first known); any
     other takes the known name of the highest ratio of at least ``least``, ties to the first; else
-    ``none``. Fuzzy candidates meet on a shared character pair and similar length: two strings of ratio
-    0.6 or more share a matching run unless all runs are single characters, for which
-    single characters are tried where a name has no pair in common with any.
+    ``none``. A ratio above zero takes a common character, so names and known names of fitting
+    lengths meet on their characters; the known names are a vocabulary of entities, not a corpus.
     """
     form = F.lower(F.regexp_replace("name", r"(?U)^\s+|\s+\z", ""))
     wanted = names.select("name").distinct().withColumn("form", form)
@@ -34,7 +33,7 @@ def match_entities(names: DataFrame, known: DataFrame, least: float = SIMILAR) -
     exact = wanted.join(first, "form", "left")
     rest = exact.where("k is null").select("name", "form").where("form != ''")
     chars = lambda df, keep: df.select(*keep, F.length("form").alias("size"), F.explode(F.array_distinct(F.regexp_extract_all("form", F.lit("(?s)."), F.lit(0)))).alias("char"))
-    # A ratio of r means at least r / 2 of both lengths in common characters, so some share of their characters is shared.
+    # A ratio of r needs r * (a + b) / 2 matching characters, which neither length may fall short of.
     left, right = chars(rest, ["name", "form"]), chars(held.select("node_id", "ordinal", F.col("form"), F.col("name").alias("known_name")), ["node_id", "ordinal", F.col("form").alias("known_form"), "known_name"])
     right = right.withColumnRenamed("size", "known_size")
     fits = 2 * F.least("size", "known_size") >= least * (F.col("size") + F.col("known_size"))
