@@ -36,10 +36,11 @@ class Template:
 
 
 def escaped(text: Column, template: Template) -> Column:
-    """Backslashes are doubled; a control string gets one backslash after its first character."""
+    """Backslashes are doubled; a control string gets one backslash after its first character, at overlapping places too."""
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     for mark in template.control:
-        out = F.replace(out, F.lit(mark), F.lit(mark[0] + "\\" + mark[1:]))
+        first, rest = (rf"\Q{part}\E" for part in (mark[0], mark[1:]))
+        out = F.regexp_replace(out, rf"({first})(?={rest})", r"$1\\")
     return out
 
 

@@ -116,10 +116,18 @@ def test_filter_misses_no_repeat_and_a_full_one_changes_nothing(spark, monkeypat
     want = sorted(map(tuple, exact_dedup.duplicate_groups(docs).collect()))
     monkeypatch.setattr(exact_dedup, "FLUSH_ROWS", 7)
     assert sorted(map(tuple, exact_dedup.duplicate_groups(docs).collect())) == want
-    monkeypatch.setattr(exact_dedup, "positions", lambda hashes, bits: (hashes.view("u8")[:, None] & exact_dedup.np.uint64(3)))
+    # Set on the driver: workers import their own copy of the module, so a patched ``positions`` would reach only half of them.
+    monkeypatch.setattr(exact_dedup, "repeated_filter", lambda hashes, bits: exact_dedup.np.full(2**bits // 8, 255, "u1"))
     assert sorted(map(tuple, exact_dedup.duplicate_groups(docs).collect())) == want
 
 
+def test_no_control_string_survives_in_a_text(spark):
+    texts = ["####", "### ###", "#####</turn></turn>", "\\###", "##\\#", "<\\/turn>", ""]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", chat_format.escaped(F.col("text"), chat_format.Template()).alias("shown"))
+    for r in got.select("text", "shown", chat_format.unescaped(F.col("shown")).alias("back")).collect():
+        assert r.back == r.text and "###" not in r.shown and "</turn>" not in r.shown
+
+
 def test_op3_reads_back_every_turn(spark):
     sample = "\\### Assistant: </turn> ok"
     talks = {-7: [("user", sample), ("assistant", sample)]}
