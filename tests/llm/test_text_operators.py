@@ -165,14 +165,14 @@ def base_by_hand(text):
 
 
 def test_op10_base_columns_by_hand(spark, odd, none):
-    extra = [(90, "MIT-License, mit license; the Lesser General public\nLICENSE apache license", "s", 1), (91, "license mit", "s", 1), (92, "mit", None, None)]
+    extra = [(-90, "MIT-License, mit license; the Lesser General public\nLICENSE apache license", "s", 1), (-91, "license mit", "s", 1), (-92, "mit", None, None)]
     docs = odd.unionByName(spark.createDataFrame(extra, SCHEMA)).select("doc_id", "text").unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
     rows = license_scan.scan_licenses(docs).collect()
     assert len(rows) == docs.count()
     for r in rows:
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base_by_hand(r.text)
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
-    assert {r.labels for r in rows if r.doc_id == 90} == {"apache,gpl,lgpl,mit"}
+    assert {r.labels for r in rows if r.doc_id == -90} == {"apache,gpl,lgpl,mit"}
     assert license_scan.scan_licenses(none).count() == 0
 
 
