@@ -14,7 +14,7 @@ from normloom.llm.shared import table
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     bpe = byte_bpe.ByteBpe(spark, path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    coded = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

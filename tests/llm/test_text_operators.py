@@ -42,7 +42,7 @@ def reference_encoding():
 
 def test_replay_equals_tiktoken_on_odd_texts(reference_encoding):
     random.seed(3)
-    replay = byte_bpe.Replay(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, kept=50)
+    replay = byte_bpe.Replay(byte_bpe.vocabulary(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))), public_tokenizers.PATTERN, kept=50)
     texts = ["", "a" * 4000, "ab" * 3000, " " * 500 + "x", "I'll  don't\n\n\n  x", "À漢字😀👩‍👧\x00\x1f"]
     texts += ["".join(random.choice("aehinorst  .,'éß\n漢7") for _ in range(random.randrange(400))) for _ in range(60)]
     got = byte_bpe.pa.array(texts)
