@@ -4,8 +4,8 @@ For each language a variable-order tree over byte symbols holds how often each s
 context of up to three symbols in labelled texts. A symbol that a context has seen is coded with
 its share there; any other costs an escape and is coded in the next shorter context, down to a
 uniform one (escape method C). The statistics are frozen after training, so the code length of a
-symbol depends only on itself and its context; a worker spells the tree out once as a table and
-adds up its entries over the whole text. The language with the shortest code is predicted.
+symbol depends only on itself and its context; a worker spells out the seen contexts once as a
+table and adds up its entries over the whole text. The language with the shortest code is predicted.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from normloom.llm.shared import bounded_batches, column, held_by_worker, packed,
 
 #: Labelled texts for each language (about; drawn by hash over all labelled rows), and their longest size.
 TRAINING_TEXTS, TRAINING_CHARS = 400, 20_000
-#: Longest context. Entries of a worker's table (symbols ** (order + 1) * languages); with more languages the order falls.
+#: Longest context. Bound on symbols ** (order + 1) * languages; with more languages the order falls.
 ORDER, TABLE_ENTRIES = 3, 24_000_000
 #: Symbols: white space, digits and ASCII marks share one, the letters of a case share one, then the commonest other bytes, then all the rest.
 OTHER_BYTES = 20
@@ -85,29 +85,33 @@ def _coded(seen: np.ndarray, lower: np.ndarray) -> np.ndarray:
     return np.where(total > 0, coded, lower)
 
 
-def code_lengths(trees: Trees) -> np.ndarray:
-    """Bits of each (context, symbol) number, a column a language."""
-    size = trees.size
-    out = np.empty((size ** (trees.order + 1), len(trees.languages)), np.float32)
+def code_lengths(trees: Trees) -> tuple[np.ndarray, np.ndarray]:
+    """``row, bits``: the row of each context, and the bits of each (row, symbol), a column a language.
+
+    Contexts that no language has seen share the row of the context that is one symbol shorter, so
+    the table grows with the training texts and not with all possible contexts.
+    """
+    size, order = trees.size, trees.order
+    seen = np.unique(np.concatenate([np.zeros(0 if order else 1, np.int64), *(grams // size for grams, _ in trees.grams)]))
+    short = size ** max(order - 1, 0)
+    row = (np.arange(size**order) % short).astype(np.int32)
+    row[seen] = short + np.arange(len(seen), dtype=np.int32)
+    bits = np.empty(((short + len(seen)) * size, len(trees.languages)), np.float32)
     for k, (grams, counts) in enumerate(trees.grams):
-        shorter = _coded(np.bincount(grams % size, weights=counts, minlength=size).reshape(1, -1), np.full((1, size), 1 / size))
-        for order in range(1, trees.order + 1):
-            # Contexts that begin with the same symbol fall back on the whole table of the order below.
-            width = size**order
-            numbers = grams % (width * size)
-            longer = np.empty((width, size), np.float32)
-            for first in range(size):
-                own = (numbers >= first * width) & (numbers < (first + 1) * width)
-                seen = np.bincount(numbers[own] - first * width, weights=counts[own], minlength=width).reshape(-1, size)
-                longer[first * len(seen) : (first + 1) * len(seen)] = _coded(seen, shorter)
-            shorter = longer
-        out[:, k] = -np.log2(shorter).reshape(-1)
-    return out
+        lower = np.full((1, size), 1 / size)
+        for n in range(order):
+            followed = np.bincount(grams % size ** (n + 1), weights=counts, minlength=size ** (n + 1)).reshape(-1, size)
+            lower = _coded(followed, np.tile(lower, (len(followed) // len(lower), 1)))
+        own = np.searchsorted(seen, grams // size) * size + grams % size
+        longest = _coded(np.bincount(own, weights=counts, minlength=len(seen) * size).reshape(-1, size), lower[seen % short])
+        bits[:, k] = -np.log2(np.concatenate([lower, longest])).reshape(-1)
+    return row, bits
 
 
 class Scorer:
     def __init__(self, trees: Trees):
-        self.trees, self.table = trees, code_lengths(trees)
+        self.trees = trees
+        self.row, self.table = code_lengths(trees)
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text in each language."""
@@ -119,7 +123,8 @@ class Scorer:
                 numbers, starts = gram_numbers(held, self.trees.symbol, self.trees.order)
                 filled = np.array([len(t) > 0 for t in held])
                 if filled.any():
-                    out[first : i + 1][filled] = np.add.reduceat(self.table[numbers], starts[filled], axis=0, dtype=np.float64)
+                    context, symbol = np.divmod(numbers, self.trees.size)
+                    out[first : i + 1][filled] = np.add.reduceat(self.table[self.row[context] * self.trees.size + symbol], starts[filled], axis=0, dtype=np.float64)
                 held, size, first = [], 0, i + 1
         return out
 

@@ -36,7 +36,7 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:
+def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
     """Bound Arrow batches by bytes as well as rows, so that long texts cannot fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes * 2**20))
 
