@@ -210,7 +210,7 @@ class ByteBpe:
     def __init__(self, spark, path: str, pattern: str):
         self.pattern, self.name = pattern, f"bpe {path} {pattern}"
         self.words = spark.sparkContext.broadcast(vocabulary(read_ranks(path)))
-        bounded_batches(spark)
+        bounded_batches(spark, 4)  # the numbers and ids of a batch take several times its text
 
     def encode(self, docs: DataFrame, text: str = "text", to: str = "ids") -> DataFrame:
         """``docs`` plus the token ids of each whole text, ``array<int>``; a null text counts as empty."""
