@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from normloom.functions import text as T
+from normloom.llm.shared import reliable
 
 # Node types, and the allowed (from, to) types of each relationship.
 NODE_TYPES = [
@@ -158,18 +159,20 @@ def coverage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.where("type = 'Obligation'").select("snapshot_id", "node_id").join(proven, ["snapshot_id", "node_id"], "left").groupBy("snapshot_id").agg(F.count("*").alias("obligations"), F.count("proven").alias("proven"))
 
 
-def chains(links: DataFrame, max_hops: int = 64) -> DataFrame:
+def chains(links: DataFrame) -> DataFrame:
     """``node, root, hops``: the walk from each ``node`` of ``links(node, parent)`` along parents to where it ends.
 
-    A parent that is no node itself ends the walk and is its root, as does a cycle. Each round doubles the
-    distance looked ahead, so a walk of ``max_hops`` takes log2 of that many joins.
+    A parent that is no node itself ends the walk and is its root. A walk that enters a cycle never ends: its root
+    and hops are null. Each round doubles the distance looked ahead, so the longest walk takes log2 of its hops in
+    joins. Walks that have ended are not joined again, as many of them share a root.
     """
-    reach = links.select("node", F.coalesce("parent", "node").alias("root"), F.col("parent").isNotNull().cast("int").alias("hops"))
-    step, rounds = reach, max(1, (max_hops - 1).bit_length())
-    for _ in range(rounds):
-        ahead = step.select(F.col("node").alias("root"), F.col("root").alias("far"), F.col("hops").alias("more"))
-        step = step.join(ahead, "root", "left").select("node", F.coalesce("far", "root").alias("root"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
-    return step
+    step = reliable(links.select("node", F.coalesce("parent", "node").alias("root"), F.col("parent").isNotNull().cast("long").alias("hops"), F.col("parent").isNotNull().alias("open")))
+    nodes, ahead, parts = step.count(), 1, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while ahead < 2 * nodes and not step.where("open").isEmpty():
+        far = step.select(F.col("node").alias("root"), F.col("root").alias("far"), F.col("hops").alias("more"), F.col("open").alias("more_open"))
+        moved = step.where("open").join(far, "root", "left").select("node", F.coalesce("far", "root").alias("root"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.coalesce("more_open", F.lit(False)).alias("open"))
+        step, ahead = reliable(step.where("not open").unionByName(moved).coalesce(parts)), 2 * ahead
+    return step.select("node", F.when(~F.col("open"), F.col("root")).alias("root"), F.when(~F.col("open"), F.col("hops")).cast("int").alias("hops"))
 
 
 def provenance(clauses: DataFrame, revisions: DataFrame, documents: DataFrame, agent_calls: DataFrame, changesets: DataFrame) -> DataFrame:

@@ -75,6 +75,15 @@ def test_chains_end_at_dangling_parents(spark):
     assert {r.node: (r.root, r.hops) for r in graph.chains(links).collect()} == {"a": ("c", 2), "b": ("c", 1), "c": ("c", 0), "x": ("gone", 1)}
 
 
+def test_chains_of_any_length_and_cycles(spark):
+    long = [(f"n{i}", f"n{i + 1}" if i < 199 else None) for i in range(200)]
+    links = spark.createDataFrame([*long, ("a", "b"), ("b", "c"), ("c", "b"), ("s", "s")], "node string, parent string")
+    got = {r.node: (r.root, r.hops) for r in graph.chains(links).collect()}
+    assert got == {f"n{i}": ("n199", 199 - i) for i in range(200)} | dict.fromkeys("abcs", (None, None))
+    loop = spark.createDataFrame([("a", "b"), ("b", "a")], "node string, parent string")
+    assert {tuple(r) for r in graph.chains(loop).collect()} == {("a", None, None), ("b", None, None)} and graph.chains(loop.limit(0)).count() == 0
+
+
 def test_entities(spark):
     known = spark.createDataFrame([("n1", "Operator", 1), ("n2", "Operators", 2), ("n3", "CSIRT", 3)], "node_id string, name string, ordinal int")
     got = {r.name: (r.node_id, r.match_type, round(r.confidence, 6)) for r in resolve.match_entities(spark.createDataFrame([(" operator ",), ("operatorx",), ("zzz",), ("",)], "name string"), known).collect()}
