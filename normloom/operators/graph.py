@@ -214,21 +214,22 @@ def least_confidence(confidences: Column) -> Column:
     return F.coalesce(F.array_min(F.map_values(confidences)), F.lit(1.0))
 
 
-def article_history(anchors: DataFrame, supersedes: DataFrame, max_hops: int = 16) -> DataFrame:
+def article_history(anchors: DataFrame, supersedes: DataFrame) -> DataFrame:
     """``anchor_id, hops, older_anchor_id``: the same structural path in each version that a version supersedes.
 
     ``anchors(instrument, source_version, path, anchor_id)``, ``supersedes(instrument, source_version, older_version)``. A walk ends
-    where a version has no such path, at a version met before, or after ``max_hops``.
+    where a version has no such path, or at a version met before. Each round joins the longest walks to all walks from
+    their ends, so walks of n hops take log2 n joins.
     """
     step = anchors.join(supersedes, ["instrument", "source_version"])
     older = anchors.select("instrument", F.col("source_version").alias("older_version"), "path", F.col("anchor_id").alias("older_anchor_id"))
-    links = step.join(older, ["instrument", "older_version", "path"]).select(F.col("anchor_id").alias("from_id"), "older_anchor_id")
-    at = links.select(F.col("from_id").alias("anchor_id"), F.lit(1).alias("hops"), "older_anchor_id", F.array("from_id", "older_anchor_id").alias("walk"))
-    out = at
-    for hop in range(2, max_hops + 1):
-        at = at.withColumnRenamed("older_anchor_id", "from_id").join(links, "from_id").where(~F.array_contains("walk", F.col("older_anchor_id")))
-        at = at.select("anchor_id", F.lit(hop).alias("hops"), "older_anchor_id", F.concat("walk", F.array("older_anchor_id")).alias("walk"))
-        out = out.unionByName(at)
+    links = step.join(older, ["instrument", "older_version", "path"]).where("anchor_id != older_anchor_id").select("anchor_id", "older_anchor_id")
+    out, longest = reliable(links.select("anchor_id", F.lit(1).alias("hops"), "older_anchor_id", F.array("anchor_id", "older_anchor_id").alias("walk"))), 1
+    while not (ends := out.where(F.col("hops") == longest)).isEmpty():
+        more = out.select(F.col("anchor_id").alias("from_id"), F.col("hops").alias("more"), F.col("older_anchor_id").alias("far_id"), F.slice("walk", 2, F.col("hops")).alias("rest"))
+        further = ends.join(more, F.col("older_anchor_id") == F.col("from_id")).where(~F.arrays_overlap("walk", "rest"))
+        out = reliable(out.unionByName(further.select("anchor_id", (F.col("hops") + F.col("more")).alias("hops"), F.col("far_id").alias("older_anchor_id"), F.concat("walk", "rest").alias("walk"))))
+        longest *= 2
     return out.drop("walk")
 
 

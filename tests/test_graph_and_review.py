@@ -84,6 +84,15 @@ def test_chains_of_any_length_and_cycles(spark):
     assert {tuple(r) for r in graph.chains(loop).collect()} == {("a", None, None), ("b", None, None)} and graph.chains(loop.limit(0)).count() == 0
 
 
+def test_article_history_of_many_versions_and_cycles(spark):
+    anchors = [("NIS2", f"v{i}", "a1", f"v{i}:a1") for i in range(30) if i != 5] + [("DORA", v, "a1", f"{v}:a1") for v in "xyzs"]
+    older = [("NIS2", f"v{i}", f"v{i - 1}") for i in range(1, 30)] + [("DORA", a, b) for a, b in ("xy", "yz", "zx", "ss")]
+    rows = graph.article_history(spark.createDataFrame(anchors, "instrument string, source_version string, path string, anchor_id string"), spark.createDataFrame(older, "instrument string, source_version string, older_version string")).collect()
+    want = [(f"v{i}:a1", i - j, f"v{j}:a1") for low, high in ((0, 5), (6, 30)) for i in range(low, high) for j in range(low, i)]
+    want += [(f"{a}:a1", n, f"{b}:a1") for a, n, b in (("x", 1, "y"), ("x", 2, "z"), ("y", 1, "z"), ("y", 2, "x"), ("z", 1, "x"), ("z", 2, "y"))]
+    assert sorted((r.anchor_id, r.hops, r.older_anchor_id) for r in rows) == sorted(want)
+
+
 def test_entities(spark):
     known = spark.createDataFrame([("n1", "Operator", 1), ("n2", "Operators", 2), ("n3", "CSIRT", 3)], "node_id string, name string, ordinal int")
     got = {r.name: (r.node_id, r.match_type, round(r.confidence, 6)) for r in resolve.match_entities(spark.createDataFrame([(" operator ",), ("operatorx",), ("zzz",), ("",)], "name string"), known).collect()}
