@@ -13,6 +13,7 @@ more windows through to the join, with the same result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -26,6 +27,8 @@ SEEDS = ("11101001101", "10110110011", "11010110101")
 SPAN = 11
 #: An overlap counts if it has MIN_WORDS equal words in a stretch, or covers the item, with this share of equal words.
 MIN_WORDS, SHARE = 13, 0.8
+#: What an equal word's 1 is set against, so that stretches of ``SHARE`` have a sum of 0 or more.
+OTHER = -4
 #: Bounds of the bitmap in 64-bit parts (1 MB at most), and the most word flags.
 MIN_PARTS, MAX_PARTS = 64, 1 << 17
 
@@ -119,36 +122,62 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     lines = joined.select(F.col("key").alias("line_key"), F.col("mark").alias("line_mark"), "item_id", (F.col("text_at") - F.col("at")).alias("diagonal")).distinct()
     pairs = likely.select("key", "mark", "hashes").dropDuplicates(["key", "mark"]).join(lines, [F.col("mark") == F.col("line_mark"), F.col("key").eqNullSafe(F.col("line_key"))]).join(items, "item_id")
     same = pairs.select("key", "mark", "item_id", "diagonal", F.transform("item", lambda h, j: F.coalesce(F.when(j + F.col("diagonal") >= 0, F.get(F.col("hashes"), j + F.col("diagonal"))) == h, F.lit(False))).alias("same"))
-    verified = same.select("key", "mark", "item_id", "diagonal", F.size("same").alias("length"), F.explode(F.array(_best_stretch(F.col("same")), _whole(F.col("same")))).alias("found"))
+    verified = same.select("key", "mark", "item_id", "diagonal", F.size("same").alias("length"), F.explode(F.array(_best_stretch(F.col("same")))).alias("found"))
     share = F.col("found.equal") / (F.col("found.last") - F.col("found.first") + 1)
-    good = verified.select("key", "mark", "item_id", "diagonal", "length", "found", share.alias("share")).where((F.col("share") >= SHARE) & ((F.col("found.equal") >= MIN_WORDS) | (F.col("found.equal") >= F.col("length") * SHARE)))
+    good = verified.where("found is not null").select("key", "mark", "item_id", "diagonal", "length", "found", share.alias("share"))
     best = good.groupBy("key", "mark", "item_id").agg(F.max(F.struct(F.col("found.equal").alias("equal"), "share", (-F.col("diagonal")).alias("back"), F.col("found.first").alias("first"), F.col("found.last").alias("last"))).alias("best"))
     return best.select("key", "mark", "item_id", F.col("best.equal").alias("equal_words"), "best.share", (F.col("best.first") - F.col("best.back")).alias("first_word"), (F.col("best.last") - F.col("best.back")).alias("last_word"))
 
 
-def _whole(same: Column) -> Column:
-    """The whole item as one stretch, without equal words at its ends only."""
-    return F.struct(F.size(F.filter(same, lambda x: x)).alias("equal"), F.lit(0).alias("first"), (F.size(same) - 1).alias("last"))
+def _best_stretch(same: Column) -> Column:
+    """The stretch of the most equal words, then the fewest words, among all that count as overlap: ``equal, first, last``.
 
+    With 1 for an equal word and ``OTHER`` for any other, a stretch has ``SHARE`` if its sum is 0 or more. Such a stretch
+    of the most equal words begins where the sum so far is lower than at all earlier words and ends where the sum
+    from there on is lower than at all later ones, so one pass over both lists finds it. Null if there is none.
+    """
+    stretch = lambda equal, first, last: F.struct(equal.cast("int").alias("equal"), first.cast("int").alias("first"), last.cast("int").alias("last"))
 
-def _best_stretch(same: Column) -> Column:
-    """The stretch of the highest sum, an equal word counting 1 and any other -2: ``equal, first, last``."""
+    def scan(s: Column, n: Column) -> Column:
+        total = n + (F.size(s) - n) * OTHER
+        ends = F.reverse(F.transform(_lows(F.reverse(s)), lambda x: F.struct((F.size(s) - 1 - x["at"]).alias("at"), (total - x["sum"]).alias("sum"), (n - x["equal"]).alias("equal"))))
+        return let(F.struct(_lows(s).alias("starts"), ends.alias("ends")), lambda x: _widest(x["starts"], x["ends"], stretch))
+
+    def found(s: Column, n: Column) -> Column:
+        first, last = F.array_position(s, True) - 1, F.size(s) - F.array_position(F.reverse(s), True)
+        counts = lambda equal: (equal >= MIN_WORDS) | (equal >= F.size(s) * SHARE)
+        best = F.when(n + (last - first + 1 - n) * OTHER >= 0, stretch(n, first, last)).otherwise(scan(s, n))
+        return F.when((n > 0) & counts(n), let(best, lambda x: F.when(counts(x["equal"]), x)))
+
+    return let(same, lambda s: let(F.size(F.filter(s, lambda x: x)), lambda n: found(s, n)))
+
+
+def _lows(same: Column) -> Column:
+    """Equal words before which the sum is lower than before all earlier ones: ``at, sum, equal``, the last two up to the word."""
+    spot = lambda at, total, equal: F.struct(at.alias("at"), total.alias("sum"), equal.alias("equal"))
     zero = F.lit(0)
-    start = F.struct(*[zero.alias(n) for n in ("at", "sum", "equal", "first")], *[zero.alias(n) for n in ("best_sum", "best_equal", "best_first", "best_last")])
+    start = F.struct(spot(zero, zero, zero).alias("now"), F.lit(1).alias("least"), F.array().cast("array<struct<at:int,sum:int,equal:int>>").alias("lows"))
 
     def step(s: Column, x: Column) -> Column:
-        fresh = s["sum"] <= 0
-        total = F.when(fresh, zero).otherwise(s["sum"]) + F.when(x, F.lit(1)).otherwise(F.lit(-2))
-        equal = F.when(fresh, zero).otherwise(s["equal"]) + F.when(x, F.lit(1)).otherwise(zero)
-        first = F.when(fresh, s["at"]).otherwise(s["first"])
-        best = total > s["best_sum"]
-        return F.struct(
-            (s["at"] + 1).alias("at"), total.alias("sum"), equal.alias("equal"), first.alias("first"),
-            F.greatest(total, s["best_sum"]).alias("best_sum"), F.when(best, equal).otherwise(s["best_equal"]).alias("best_equal"),
-            F.when(best, first).otherwise(s["best_first"]).alias("best_first"), F.when(best, s["at"]).otherwise(s["best_last"]).alias("best_last"),
-        )
-
-    return F.aggregate(same, start, step, lambda s: F.struct(s["best_equal"].alias("equal"), s["best_first"].alias("first"), s["best_last"].alias("last")))
+        now = s["now"]
+        low = x & (now["sum"] < s["least"])
+        after = spot(now["at"] + 1, now["sum"] + F.when(x, F.lit(1)).otherwise(F.lit(OTHER)), now["equal"] + x.cast("int"))
+        return F.struct(after.alias("now"), F.when(low, now["sum"]).otherwise(s["least"]).alias("least"), F.when(low, F.concat(s["lows"], F.array(now))).otherwise(s["lows"]).alias("lows"))
+
+    return F.aggregate(same, start, step, lambda s: s["lows"])
+
+
+def _widest(starts: Column, ends: Column, stretch: Callable[[Column, Column, Column], Column]) -> Column:
+    """The best pair of a start and an end of no lower sum. Sums fall along both lists, so neither place goes back."""
+    start = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), stretch(F.lit(0), F.lit(0), F.lit(0)).alias("best"))
+
+    def step(s: Column, first: Column, last: Column) -> Column:
+        fits, equal, best = F.coalesce(last["sum"] >= first["sum"], F.lit(False)), last["equal"] - first["equal"], s["best"]
+        better = fits & ((equal > best["equal"]) | ((equal == best["equal"]) & (last["at"] - first["at"] <= best["last"] - best["first"])))
+        return F.struct((s["a"] + (~fits).cast("int")).alias("a"), (s["b"] + fits.cast("int")).alias("b"), F.when(better, stretch(equal, first["at"], last["at"])).otherwise(best).alias("best"))
+
+    steps = F.sequence(F.lit(1), F.size(starts) + F.size(ends))
+    return F.aggregate(steps, start, lambda s, _: step(s, F.get(starts, s["a"]), F.get(ends, s["b"])), lambda s: s["best"])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

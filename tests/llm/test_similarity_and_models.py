@@ -111,6 +111,30 @@ def test_decontamination_finds_whole_changed_and_short_passages(spark):
     assert decontaminate.find_overlaps(frame.limit(0), bench).count() == 0 and decontaminate.find_overlaps(frame, bench.limit(0)).count() == 0
 
 
+def best_stretch_by_hand(same):
+    best = None
+    for i in range(len(same)):
+        for j in range(i, len(same)):
+            equal = sum(same[i : j + 1])
+            if 5 * equal >= 4 * (j - i + 1) and (equal >= 13 or 5 * equal >= 4 * len(same)):
+                best = max(best or (0, 0, 0, 0), (equal, i - j - 1, i, j))
+    return best and (best[0], best[2], best[3])
+
+
+def test_every_stretch_of_a_diagonal_counts(spark):
+    random.seed(5)
+    runs = [i % 20 < 14 for i in range(74)]
+    cases = [runs, [], [True], [False] * 30, [True] * 30, [True, False] * 20]
+    cases += [[random.random() >= p for _ in range(random.randrange(1, 90))] for p in (0.1, 0.2, 0.25, 0.3, 0.6) for _ in range(60)]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "id int, same array<boolean>")
+    got = {r.id: r.x and tuple(r.x) for r in rows.select("id", decontaminate._best_stretch(F.col("same")).alias("x")).collect()}
+    assert got == {i: best_stretch_by_hand(c) for i, c in enumerate(cases)} and sum(v is not None for v in got.values()) > 100
+    item = [f"w{i}" for i in range(74)]
+    docs = spark.createDataFrame([(1, " ".join(w if s else "zzz" for w, s in zip(item, runs, strict=True)))], "doc_id long, text string")
+    (found,) = decontaminate.find_overlaps(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert (found.key, found.item_id, found.equal_words) == (1, 7, best_stretch_by_hand(runs)[0])
+
+
 def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
     docs, bench = documents(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
     want = sorted(map(tuple, decontaminate.find_overlaps(docs, bench).collect()))
