@@ -1,4 +1,4 @@
-"""Secret scans: long mixed tokens are candidates, a random forest removes the false positives.
+"""Secret scans: long mixed tokens and values of vouching names are candidates, a random forest removes the false positives.
 
 Only DataFrame functions and Spark's own machine learning are used. The forest reads the candidate's
 length and shape, the transitions between its character classes, how much of it dictionary words
@@ -16,13 +16,22 @@ from pyspark.sql import functions as F
 
 from normloom.llm.shared import column, let
 
-#: A candidate has this many characters at least, one of them a digit, and only characters of keys and assignments.
+#: A word is a candidate with this many characters at least, one of them a digit, and only characters of keys and assignments.
 MIN_CHARS = 12
 _SHAPE = r"^[\"'(]*[A-Za-z0-9_+/=.:~-]*[0-9][A-Za-z0-9_+/=.:~-]*[^A-Za-z0-9]*$"
 #: Forest: trees, depth, seed; generated labelled findings; probability from which a finding is kept.
 TREES, DEPTH, SEED, LABELLED, KEPT = 20, 6, 7, 4000, 0.5
 # Words that vouch for a secret, words that speak against one, dictionary words, paths of samples.
 VOUCHING = "pass|pwd|secret|token|apikey|api_key|key|auth|credential|bearer|private"
+# Parts of any other word: a vouching name with its value, user and password in an address, and a stretch without
+# quotes, brackets and separators, long and with a digit, or longer and with upper case in it.
+_NAMED = rf"(?i)([a-z_.-]*(?:{VOUCHING})[a-z_.-]*[\"'`]?[=:>][\"'`]?[^\s\"'`<>(){{}}\[\]&,;]{{4,}})"
+_LOGIN = r"://([^\s/:@]*:[^\s/@]{3,})@"
+_STRETCH = rf"[!#-%*+./0-9A-Z\\^_a-z|~-]{{{MIN_CHARS},}}"
+_MIXED = r"[0-9]|^(?=.{16})(?=.*([a-z][A-Z]|[A-Z]{4}))"
+#: Words before a value that stands apart from its name, and the header of a private key.
+_VOUCHED = rf"(?i)({VOUCHING})[\"'`]?\s?[=:]$"
+_HEADER = r"-----BEGIN (?:[A-Z]+ ){0,2}PRIVATE KEY-----"
 AGAINST = "sha|md5|hash|commit|checksum|uuid|guid|order|invoice|phone|isbn|card|version|date|digest|revision|http|www"
 DICTIONARY = "example|sample|test|dummy|placeholder|changeme|password|your|here|insert|value|string|number|document|article|version|release|image|file|page|item|user|name|the|and|with|from|this"
 SAMPLE_PATHS = "test|example|sample|fixture|mock|demo|docs"
@@ -30,15 +39,36 @@ FEATURES = ["chars", "digits", "uppers", "lowers", "marks", "kinds", "transition
 
 
 def find_candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """``key, word_index, finding, before, after, path``: a row for each candidate token of each whole text.
-    ``before`` holds the two words before it, ``after`` the next."""
+    """``key, word_index, finding, before, after, path``: a row for each candidate of each whole text.
+
+    A word of the right shape is one; of other words (JSON, code, addresses, several keys in one) each part that may be
+    a secret is. ``before`` holds the two words before it, ``after`` the next."""
     split = F.split(F.coalesce(column(text), F.lit("")), r"\s+")
-    is_candidate = lambda w: (F.length(w) >= MIN_CHARS) & w.rlike(_SHAPE)
+    whole = lambda w: (F.length(w) >= MIN_CHARS) & w.rlike(_SHAPE)
+    every = lambda w, pattern, group: F.regexp_extract_all(w, F.lit(pattern), F.lit(group))
+    before = lambda ws, i: F.array_join(F.slice(ws, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), " ")
+    none = F.array().cast("array<string>")
+
+    def parts(w: Column) -> Column:
+        stretches = F.filter(every(w, _STRETCH, 0), lambda p: p.rlike(_MIXED))
+        return let(F.array_union(every(w, _NAMED, 1), every(w, _LOGIN, 1)), lambda named: F.concat(named, F.filter(stretches, lambda p: ~F.exists(named, lambda n: F.contains(n, p)))))
+
+    def candidates(ws: Column, w: Column, i: Column) -> Column:
+        header = F.regexp_extract(F.array_join(F.slice(ws, i + 1, 5), " "), _HEADER, 0)
+        apart = (F.length(w) >= 4) & before(ws, i).rlike(_VOUCHED)
+        other = let(parts(w), lambda ps: F.when((F.size(ps) == 0) & apart, F.array(w)).otherwise(ps))
+        return F.when(F.contains(w, F.lit("-----BEGIN")), F.when(header != "", F.array(header)).otherwise(none)).when(whole(w), F.array(w)).when(F.length(w) >= 4, other).otherwise(none)
+
     found = let(
         split,
-        lambda ws: F.transform(
-            F.filter(F.transform(ws, lambda w, i: F.struct(w.alias("finding"), i.alias("word_index"))), lambda x: is_candidate(x["finding"])),
-            lambda x: F.struct(x["finding"].alias("finding"), x["word_index"].alias("word_index"), F.array_join(F.slice(ws, F.greatest(x["word_index"] - 1, F.lit(1)), F.least(x["word_index"], F.lit(2))), " ").alias("before"), F.coalesce(F.get(ws, x["word_index"] + 1), F.lit("")).alias("after")),
+        lambda ws: F.flatten(
+            F.transform(
+                ws,
+                lambda w, i: F.transform(
+                    candidates(ws, w, i),
+                    lambda x: F.struct(x.alias("finding"), i.alias("word_index"), before(ws, i).alias("before"), F.coalesce(F.get(ws, i + 1), F.lit("")).alias("after")),
+                ),
+            )
         ),
     )
     where = F.coalesce(column(path).cast("string"), F.lit("")) if path and path in docs.columns else F.lit("")
@@ -49,7 +79,7 @@ def with_features(found: DataFrame) -> DataFrame:
     """``found`` plus the columns in ``FEATURES``; shares refer to the characters of the candidate's value,
     what follows an equals sign or a colon if it is an assignment."""
     share = lambda of, pattern: F.coalesce(F.regexp_count(of, F.lit(pattern)) / F.greatest(F.length(of), F.lit(1)), F.lit(0.0))
-    parts = found.select("*", F.regexp_extract("finding", r"^[\"'(]*(?:([A-Za-z_.-]+)[=:])?(.*?)[^A-Za-z0-9=]*$", 1).alias("name"), F.regexp_extract("finding", r"^[\"'(]*(?:([A-Za-z_.-]+)[=:])?(.*?)[^A-Za-z0-9=]*$", 2).alias("value"))
+    parts = found.select("*", F.regexp_extract("finding", r"^[\"'(]*(?:([A-Za-z_.-]+)[\"'`]?[=:>][\"'`]?)?(.*?)[^A-Za-z0-9=]*$", 1).alias("name"), F.regexp_extract("finding", r"^[\"'(]*(?:([A-Za-z_.-]+)[\"'`]?[=:>][\"'`]?)?(.*?)[^A-Za-z0-9=]*$", 2).alias("value"))
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("value"), "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "0")
     about = F.lower(F.concat_ws(" ", "before", "name", "after"))
     flag = lambda c: c.cast("double")
@@ -81,11 +111,15 @@ def generated_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     mixed = lambda salt, size: F.substring(F.regexp_replace(F.base64(F.unhex(draw(salt))), "[+/=]", ""), 1, size)
     hexed = lambda salt, size: F.substring(draw(salt), 1, size)
     digits = lambda salt, size: F.substring(F.translate(draw(salt), "abcdef", "123456"), 1, size)
+    letters = lambda salt, size: F.substring(F.translate(F.upper(F.base64(F.unhex(draw(salt)))), "+/=0123456789", "XYZKLMNOPQRST"), 1, size)
     word = F.element_at(F.split(F.lit("the of on and with report note value entry was in for to text line see"), " "), (F.xxhash64("id") % 8 + 8).cast("int"))
     secrets = [
         (F.concat(F.lit("AKIA"), upper("a", 16)), word), (F.concat(F.lit("password="), hexed("b", 18)), word), (F.concat(F.lit("token="), mixed("c", 24)), word),
         (F.concat(F.lit("ghp_"), mixed("d", 36)), word), (F.concat(F.lit("secret:"), mixed("e", 32)), word), (mixed("f", 40), F.lit("api_key")),
         (F.concat(F.lit("sk-"), mixed("g", 32)), word), (F.concat(F.lit("api_key="), hexed("h", 32)), word), (F.concat(F.lit('"'), hexed("y", 40), F.lit('"')), F.lit("token =")),
+        (F.concat(F.lit('password="'), mixed("G", 15)), word), (F.concat(F.lit('token":"'), mixed("H", 36)), word), (F.concat(F.lit("pwd="), hexed("I", 7)), word), (F.concat(F.lit("access_token="), hexed("J", 24)), word),
+        (F.concat(F.lit("bob:"), mixed("K", 14)), word), (F.concat(F.lit("AKIA"), letters("L", 16)), word), (F.concat(F.lit("password="), F.lower(letters("M", 18))), word), (F.concat(mixed("N", 8), F.lit("!"), digits("O", 4), F.lower(letters("P", 1))), word),
+        (F.concat(F.lit("-----BEGIN "), F.element_at(F.array(*map(F.lit, ("", "RSA ", "EC ", "OPENSSH "))), (F.xxhash64("id") % 2 + 2).cast("int")), F.lit("PRIVATE KEY-----")), word), (mixed("Q", 12), F.lit("password =")),
     ]
     others = [
         (digits("i", 16), word), (hexed("j", 40), F.lit("commit")), (F.concat_ws("-", hexed("k", 8), hexed("l", 4), hexed("m", 4), hexed("n", 4), hexed("o", 12)), F.lit("uuid")),
@@ -93,6 +127,8 @@ def generated_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (F.concat(F.lit("document_number_"), digits("r", 4)), word), (F.concat(F.lit("password=yourpassword"), digits("s", 1)), word), (F.concat_ws("-", digits("t", 4), digits("u", 2), digits("v", 6)), F.lit("phone")),
         (F.concat(F.lit("sha256:"), hexed("w", 64)), F.lit("digest")), (F.concat(F.lit("000000000000"), digits("x", 4)), word),
         (F.concat_ws(".", digits("z", 3), digits("A", 3), digits("B", 2), digits("C", 3)), word), (hexed("D", 40), word), (F.concat(digits("E", 16), F.lit("###")), word), (F.concat_ws("@", digits("F", 4), F.lit("mail")), word),
+        (F.lit("password=changeme"), word), (F.concat(F.lit("key:"), word), word), (F.concat(F.lit('token="your'), word), word), (F.lit("getDocumentVersionNumber"), word), (F.concat(F.lit("//www.site.example/item"), digits("R", 5)), word), (F.lit("value"), F.lit("key :")),
+        (F.concat(letters("S", 16), F.lit("!!")), word), (letters("T", 18), word),
     ]
     rows = [F.struct(f.alias("finding"), b.alias("before"), word.alias("after"), F.lit(1.0 if k < len(secrets) else 0.0).alias("label")) for k, (f, b) in enumerate([*secrets, *others])]
     made = spark.range(n, numPartitions=4).select(F.element_at(F.array(*rows), (F.col("id") % len(rows) + 1).cast("int")).alias("x"), "id")
