@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from normloom.functions import text as T
-from normloom.llm.shared import reliable
+from normloom.durable import reliable
 
 # Node types, and the allowed (from, to) types of each relationship.
 NODE_TYPES = [
