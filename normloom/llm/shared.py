@@ -1,39 +1,19 @@
-"""Helpers that the training-data operators share: reliable copies, column packing, typed access."""
+"""Helpers that the training-data operators share: column packing, typed access, bounded batches."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Everything in ASCII but letters and digits parts words.
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
+from normloom.durable import reliable, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from the session's ``spark.checkpoint.dir``.
+__all__ = ["ascii_lower", "bounded_batches", "column", "held_by_worker", "let", "packed", "reliable", "shared_folder", "table", "unpacked", "words"]
 
-    Only a local session without that setting (as in tests) gets a temporary folder; on a cluster
-    its absence is an error.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="normloom-checkpoint-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
-def reliable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with an eager checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Everything in ASCII but letters and digits parts words.
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
