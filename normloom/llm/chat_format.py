@@ -50,9 +50,9 @@ def unescaped(text: Column) -> Column:
 
 
 def _role_name(role: Column, template: Template) -> Column:
-    """The template's name of a role, else ``@`` and the escaped role with its colons escaped too."""
-    other = F.concat(F.lit("@"), F.replace(escaped(role, template), F.lit(":"), F.lit("\\:")))
-    name = other
+    """The template's name of a role, else ``@`` and the role, escaped and without the character that begins the middle mark."""
+    plain = F.replace(F.replace(role, F.lit("~"), F.lit("~0")), F.lit(template.middle[0]), F.lit("~1"))
+    name = F.concat(F.lit("@"), escaped(plain, template))
     for raw, shown in template.roles.items():
         name = F.when(role == raw, F.lit(shown)).otherwise(name)
     return name
@@ -64,8 +64,9 @@ def format_conversations(turns: DataFrame, template: Template | None = None, con
     ``segments`` is the list of emitted texts with a loss flag each; ``formatted`` is their
     concatenation. ``valid`` tells whether the role order is allowed, ``first_error`` the position from 0 of the
     first turn that breaks it (null if none); such conversations are formatted all the same. Turns are ordered by
-    turn number (null first), ties by role, then text. Null texts and roles count as empty; rows
-    without a conversation id form one conversation of their own. A conversation's rows meet in one
+    turn number (null first), ties by role, then text; repeated rows are turns of their own. Null texts and roles count as
+    empty; rows without a conversation id form one conversation of their own. An empty table gives no row. Texts and roles
+    may be of any length. Further columns are left out, whatever their names. A conversation's rows meet in one
     row of the result, as its text must.
     """
     template = template or Template()
@@ -94,16 +95,16 @@ def format_conversations(turns: DataFrame, template: Template | None = None, con
 def read_back(formatted: Column, template: Template | None = None) -> Column:
     """The turns of a formatted conversation: an array of ``role, text``.
 
-    A closing mark never stands inside a turn, so splitting there gives the turns; the first
-    unescaped middle mark ends the role.
+    A closing mark never stands inside a turn, so splitting there gives the turns; the first middle
+    mark ends the role, which holds none of it.
     """
     template = template or Template()
     quoted = "".join("\\" + c if not c.isalnum() and c not in "\n " else c for c in template.closing)
     turns = F.filter(F.split(formatted, quoted), lambda t: t != "")
 
     def one(t: Column) -> Column:
-        shown = F.regexp_extract(t, rf"(?s)^{template.opening}((?:[^\\:]|\\.)*){template.middle}", 1)
-        role = unescaped(F.substr(shown, F.lit(2)))
+        shown = F.substr(F.substring_index(t, template.middle, 1), F.lit(len(template.opening) + 1))
+        role = F.replace(F.replace(unescaped(F.substr(shown, F.lit(2))), F.lit("~1"), F.lit(template.middle[0])), F.lit("~0"), F.lit("~"))
         for raw, name in template.roles.items():
             role = F.when(shown == name, F.lit(raw)).otherwise(role)
         body = F.substr(t, F.length(shown) + len(template.opening) + len(template.middle) + 1)

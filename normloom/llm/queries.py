@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normloom.llm import byte_bpe, chat_format, decontaminate, exact_dedup, language_id, license_scan, secret_scan, sharding, simhash, toxicity
-from normloom.llm.shared import table
+from normloom.llm.shared import let, table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
@@ -32,10 +32,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = turns.unionByName(spark.createDataFrame([(-7, 0, "user", sample), (-7, 1, "assistant", sample)], turns.schema))
     made = chat_format.format_conversations(turns)
-    said = F.array_join(F.transform(chat_format.read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    read = made.select("conv_id", F.size(chat_format.read_back(F.col("formatted"))).cast("long").alias("n_turns"), said.alias("said"), chat_format.loss_text(F.col("segments")).alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"))
+    said = lambda back: F.array_join(F.transform(back, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    back = let(chat_format.read_back(F.col("formatted")), lambda b: F.struct(F.size(b).cast("long").alias("n_turns"), said(b).alias("said")))
+    read = made.select("conv_id", "valid", "first_error", back.alias("back"), chat_format.loss_text(F.col("segments")).alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"))
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
-    return read.select("conv_id", "n_turns", digest("said").alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), digest("learned").alias("loss_sha256"), "formatted_chars")
+    return read.select("conv_id", "back.n_turns", digest("back.said").alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), digest("learned").alias("loss_sha256"), "formatted_chars", "valid", "first_error")
 
 
 def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
 }
 
+#: Characters that escaping adds to a text: one for each backslash, closing mark, and place where the opening mark begins.
+_ADDED = """length({0}) - length(replace({0}, '\\', '')) + (length({0}) - length(replace({0}, '</turn>', ''))) // 7
+                     + coalesce(list_sum(list_transform(regexp_extract_all({0}, '#{{3,}}'), lambda r: length(r) - 2)), 0)"""
+_ROLE = "replace(replace(role, '~', '~0'), ':', '~1')"
+
 ORACLES: dict[str, str] = {
+    "op3_chat_format": f"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\\### Assistant: </turn> ok'),
+             o AS (SELECT *, row_number() OVER w - 1 AS place, lag(role, 1, 'start') OVER w AS before FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+             m AS (SELECT *, (before, role) IN (VALUES ('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) AS ok,
+                     CASE role WHEN 'system' THEN 6 WHEN 'user' THEN 4 WHEN 'assistant' THEN 9 ELSE 1 + length({_ROLE}) + {_ADDED.format(_ROLE)} END AS role_chars, length(text) + {_ADDED.format("text")} AS text_chars FROM o)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+               length(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(4 + role_chars + 2 + text_chars + 8)::BIGINT AS formatted_chars, bool_and(ok) AS valid, min(place) FILTER (NOT ok)::INT AS first_error
+        FROM m GROUP BY conv_id""",
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars,
                           sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256 FROM documents),
