@@ -53,8 +53,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = secret_scan.train(secret_scan.generated_findings(spark))
-    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"), forest)
+    words = secret_scan.dictionary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    forest = secret_scan.train(secret_scan.generated_findings(spark), words)
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"), forest, words)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
