@@ -1,11 +1,11 @@
 """Language ID by prediction by partial matching: exact code lengths under frozen context trees.
 
-For each language a variable-order tree over byte symbols holds how often each symbol followed each
-context of up to three symbols in labelled texts. A symbol that a context has seen is coded with
+For each language a variable-order tree holds how often each byte followed each
+context of up to three bytes in labelled texts. A byte that a context has seen is coded with
 its share there; any other costs an escape and is coded in the next shorter context, down to a
-uniform one (escape method C). The statistics are frozen after training, so the code length of a
-symbol depends only on itself and its context; a worker spells out the seen contexts once as a
-table and adds up its entries over the whole text. The language with the shortest code is predicted.
+uniform one over all bytes (escape method C). The statistics are frozen after training, so the code length of a
+byte depends only on itself and its context; a worker adds them up over the whole text, from sorted tables of the
+contexts and bytes that training saw. The language with the shortest code is predicted.
 """
 
 from __future__ import annotations
@@ -20,98 +20,84 @@ from pyspark.sql import functions as F
 
 from normloom.llm.shared import bounded_batches, column, held_by_worker, packed, unpacked
 
-#: Labelled texts for each language (about; drawn by hash over all labelled rows), and their longest size.
+#: Labelled texts for each language (about; drawn by hash over all distinct labelled texts), and their longest size.
 TRAINING_TEXTS, TRAINING_CHARS = 400, 20_000
-#: Longest context. Bound on symbols ** (order + 1) * languages; with more languages the order falls.
-ORDER, TABLE_ENTRIES = 3, 24_000_000
-#: Symbols: white space, digits and ASCII marks share one, the letters of a case share one, then the commonest other bytes, then all the rest.
-OTHER_BYTES = 20
+#: Languages that are learned, those with the most distinct texts.
+LANGUAGES = 64
+#: Longest context in bytes; with the byte after it, it makes one 32-bit number.
+ORDER = 3
 UNKNOWN = "und"
 _CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
 class Trees:
-    """``symbol``: the symbol of each byte; ``grams``: for each language the packed (context, symbol) numbers and their counts."""
+    """``grams``: for each language the numbers of the context and byte at each place of its texts, once each, and their counts."""
 
     languages: tuple[str, ...]
-    symbol: np.ndarray
     grams: tuple[tuple[np.ndarray, np.ndarray], ...]
-    order: int
 
-    @property
-    def size(self) -> int:
-        return int(self.symbol.max()) + 1
 
-
-def symbols_of(samples: list[bytes]) -> np.ndarray:
-    """The symbol table, from the bytes that the samples hold."""
-    counts = sum((np.bincount(np.frombuffer(s, np.uint8), minlength=256) for s in samples), np.zeros(256, np.int64))
-    table = np.zeros(256, np.int64)
-    table[ord("a") : ord("z") + 1] = table[ord("A") : ord("Z") + 1] = np.arange(1, 27)
-    common = [b for b in np.argsort(-counts[128:], kind="stable") + 128 if counts[b]][:OTHER_BYTES]
-    table[128:] = 27 + len(common)
-    table[common] = 27 + np.arange(len(common))
-    return table
-
-
-def gram_numbers(texts: list[bytes], symbol: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The packed number of each byte with the ``order`` symbols before it (gaps before the start), and where each text starts."""
-    pad = b" " * order
-    flat = symbol[np.frombuffer(b"".join(pad + t for t in texts) or b"", np.uint8)]
+def gram_numbers(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A number of each byte with the ``ORDER`` bytes before it (blanks before the start), and where each text starts."""
+    flat = np.frombuffer(b"".join(b" " * ORDER + t for t in texts) or b"", np.uint8).astype(np.uint32)
     sizes = np.array([len(t) for t in texts], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    size, number = int(symbol.max()) + 1, np.zeros(max(0, len(flat) - order), np.int64)
-    for back in range(order, -1, -1):
-        number = number * size + flat[order - back : len(flat) - back]
-    own = np.repeat(np.arange(len(texts)) * order, sizes) + np.arange(int(sizes.sum()))
-    return number[own], starts
+    number = np.zeros(max(0, len(flat) - ORDER), np.uint32)
+    for back in range(ORDER, -1, -1):
+        number = number << np.uint32(8) | flat[ORDER - back : len(flat) - back]
+    own = np.repeat(np.arange(len(texts)) * ORDER, sizes) + np.arange(int(sizes.sum()))
+    return number[own], np.cumsum(sizes) - sizes
 
 
 def fit(samples: dict[str, list[bytes]]) -> Trees:
     """Count the trees of each language's samples."""
     languages = tuple(sorted(samples))
-    symbol = symbols_of([t for texts in samples.values() for t in texts])
-    size = int(symbol.max()) + 1
-    order = next((k for k in range(ORDER, 0, -1) if size ** (k + 1) * max(1, len(languages)) <= TABLE_ENTRIES), 0)
-    return Trees(languages, symbol, tuple(np.unique(gram_numbers(samples[name], symbol, order)[0], return_counts=True) for name in languages), order)
-
-
-def _coded(seen: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Probabilities of each symbol (a column) in each context (a row) from counts and those of the shorter contexts."""
-    total, kinds = seen.sum(axis=1, keepdims=True), (seen > 0).sum(axis=1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        coded = np.where(seen > 0, seen / (total + kinds), kinds / (total + kinds) * lower)
-    return np.where(total > 0, coded, lower)
-
-
-def code_lengths(trees: Trees) -> tuple[np.ndarray, np.ndarray]:
-    """``row, bits``: the row of each context, and the bits of each (row, symbol), a column a language.
-
-    Contexts that no language has seen share the row of the context that is one symbol shorter, so
-    the table grows with the training texts and not with all possible contexts.
-    """
-    size, order = trees.size, trees.order
-    seen = np.unique(np.concatenate([np.zeros(0 if order else 1, np.int64), *(grams // size for grams, _ in trees.grams)]))
-    short = size ** max(order - 1, 0)
-    row = (np.arange(size**order) % short).astype(np.int32)
-    row[seen] = short + np.arange(len(seen), dtype=np.int32)
-    bits = np.empty(((short + len(seen)) * size, len(trees.languages)), np.float32)
-    for k, (grams, counts) in enumerate(trees.grams):
-        lower = np.full((1, size), 1 / size)
-        for n in range(order):
-            followed = np.bincount(grams % size ** (n + 1), weights=counts, minlength=size ** (n + 1)).reshape(-1, size)
-            lower = _coded(followed, np.tile(lower, (len(followed) // len(lower), 1)))
-        own = np.searchsorted(seen, grams // size) * size + grams % size
-        longest = _coded(np.bincount(own, weights=counts, minlength=len(seen) * size).reshape(-1, size), lower[seen % short])
-        bits[:, k] = -np.log2(np.concatenate([lower, longest])).reshape(-1)
-    return row, bits
+    return Trees(languages, tuple(np.unique(gram_numbers(samples[name])[0], return_counts=True) for name in languages))
+
+
+def _found(sorted_numbers: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each number in the sorted ones, and whether it is there."""
+    at = np.minimum(np.searchsorted(sorted_numbers, numbers), max(0, len(sorted_numbers) - 1))
+    return at, sorted_numbers[at] == numbers if len(sorted_numbers) else np.zeros(len(numbers), bool)
 
 
 class Scorer:
+    """For each context size the seen (context, byte) numbers with their bits, and the seen contexts with the bits of
+    an escape from them, a column a language. All grow with the training texts, not with what is possible."""
+
     def __init__(self, trees: Trees):
-        self.trees = trees
-        self.row, self.table = code_lengths(trees)
+        self.trees, self.levels = trees, []
+        shorter, shorter_bits = None, None
+        for size in range(ORDER + 1):
+            mask = np.uint32(256 ** (size + 1) - 1)
+            own = [grams & mask for grams, _ in trees.grams]
+            numbers = np.unique(np.concatenate([np.zeros(0, np.uint32), *own]))
+            contexts, context_of = np.unique(numbers >> np.uint32(8), return_inverse=True)
+            bits, escapes = np.empty((len(numbers), len(own)), np.float32), np.zeros((len(contexts), len(own)), np.float32)
+            lower = shorter_bits[np.searchsorted(shorter, numbers & np.uint32(256**size - 1))] if size else np.full(bits.shape, 8.0)
+            for k, (mine, (_, counts)) in enumerate(zip(own, trees.grams, strict=True)):
+                seen = np.bincount(np.searchsorted(numbers, mine), weights=counts, minlength=len(numbers))
+                total = np.bincount(context_of, weights=seen, minlength=len(contexts))
+                kinds = np.bincount(context_of, weights=seen > 0, minlength=len(contexts))
+                met = total > 0
+                escapes[met, k] = np.log2((total[met] + kinds[met]) / kinds[met])
+                coded = np.log2(np.maximum(1, (total + kinds)[context_of]) / np.maximum(1, seen))
+                bits[:, k] = np.where(seen > 0, coded, escapes[context_of, k] + lower[:, k])
+            self.levels.append((mask, numbers, bits, contexts, escapes))
+            shorter, shorter_bits = numbers, bits
+
+    def _of_bytes(self, numbers: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(numbers), len(self.trees.languages)), np.float32)
+        left = np.arange(len(numbers))
+        for mask, known, bits, contexts, escapes in reversed(self.levels):
+            number = numbers[left] & mask
+            at, there = _found(known, number)
+            out[left[there]] += bits[at[there]]
+            left, number = left[~there], number[~there]
+            at, there = _found(contexts, number >> np.uint32(8))
+            out[left[there]] += escapes[at[there]]
+        out[left] += 8.0
+        return out
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text in each language."""
@@ -120,11 +106,14 @@ class Scorer:
             held.append(text)
             size += len(text)
             if size >= _CHUNK or i == len(texts) - 1:
-                numbers, starts = gram_numbers(held, self.trees.symbol, self.trees.order)
-                filled = np.array([len(t) > 0 for t in held])
-                if filled.any():
-                    context, symbol = np.divmod(numbers, self.trees.size)
-                    out[first : i + 1][filled] = np.add.reduceat(self.table[self.row[context] * self.trees.size + symbol], starts[filled], axis=0, dtype=np.float64)
+                numbers, starts = gram_numbers(held)
+                sums = np.zeros((len(held), out.shape[1]))
+                owner = np.repeat(np.arange(len(held)), [len(t) for t in held])
+                for at in range(0, len(numbers), _CHUNK):
+                    some, whose = self._of_bytes(numbers[at : at + _CHUNK]), owner[at : at + _CHUNK]
+                    begins = np.flatnonzero(np.r_[True, whose[1:] != whose[:-1]])
+                    sums[whose[begins]] += np.add.reduceat(some, begins, axis=0, dtype=np.float64)
+                out[first : i + 1] = sums
                 held, size, first = [], 0, i + 1
         return out
 
@@ -134,22 +123,25 @@ def held_out(key: Column, parts: int, part: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % parts == part
 
 
-def training_sample(labelled: DataFrame, text: str, lang: str, texts: int = TRAINING_TEXTS, chars: int = TRAINING_CHARS) -> dict[str, list[bytes]]:
-    """About ``texts`` whole texts a language of at most ``chars`` characters, drawn by a hash of the text."""
-    usable = labelled.select(column(lang).alias("lang"), column(text).alias("text")).where(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= chars))
-    rates = [(r.lang, texts / r.n) for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()]
-    draw = F.shiftrightunsigned(F.xxhash64("text"), 33) / F.lit(2.0**31)
+def training_sample(labelled: DataFrame, text: str, lang: str, texts: int = TRAINING_TEXTS, chars: int = TRAINING_CHARS, languages: int = LANGUAGES) -> dict[str, list[bytes]]:
+    """About ``texts`` different whole texts of at most ``chars`` characters for each of ``languages`` languages, drawn by a
+    hash of the text. Copies of a text count once, however many there are."""
+    usable = labelled.select(column(lang).alias("lang"), column(text).alias("text")).where(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= chars)).withColumn("mark", F.xxhash64("text"))
+    counts = usable.select("lang", "mark").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    rates = [(r.lang, texts / r.n) for r in counts.orderBy(F.desc("n"), "lang").limit(languages).collect()]
+    draw = F.shiftrightunsigned("mark", 33) / F.lit(2.0**31)
     drawn = usable.where(F.coalesce(*[F.when(F.col("lang") == name, draw < rate) for name, rate in rates], F.lit(False))) if rates else usable.limit(0)
     found: dict[str, list[bytes]] = {}
-    for row in drawn.toLocalIterator():
+    for row in drawn.groupBy("lang", "mark").agg(F.min("text").alias("text")).toLocalIterator():
         found.setdefault(row.lang, []).append(row.text.encode())
     return found
 
 
 def predict_language(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
     """``docs`` plus ``lang_pred`` and ``score``: the language with the shortest code and its probability,
-    given these languages and equal chances before. Null texts and those without a letter are ``und`` with
-    score 0, as are all texts if nothing was learned. Ties go to the first language by name."""
+    given these languages and equal chances before. Null and empty texts and others without a letter are ``und`` with
+    score 0, as are all texts if nothing was learned. Ties go to the first language by name. Repeated rows get equal
+    results, an empty table an empty one; the added columns replace input columns of their names."""
     bounded_batches(docs.sparkSession)
     shared, name = docs.sparkSession.sparkContext.broadcast(trees), uuid4().hex
 
@@ -169,7 +161,9 @@ def predict_language(docs: DataFrame, trees: Trees, text: str = "text") -> DataF
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Learn from the labelled rows that are not held out, then predict every row: adds ``held_out, lang_pred, score``."""
+    """Learn from the labelled rows that are not held out, then predict every row: adds ``held_out, lang_pred, score``.
+
+    A null id counts as empty text for the division, a null label teaches nothing. Else as ``predict_language``."""
     apart = held_out(column(key), 4, 2)
     trees = fit(training_sample(docs.where(~apart), text, lang))
     made = predict_language(packed(docs, text=column(text), held_out=apart), trees)

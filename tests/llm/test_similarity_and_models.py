@@ -146,16 +146,15 @@ def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
     assert want and sorted(map(tuple, decontaminate.find_overlaps(docs, bench).collect())) == want
 
 
-def code_length_by_hand(text, samples, symbol, order):
-    """PPM with escape method C, counted anew for each symbol."""
-    size = int(symbol.max()) + 1
-    seqs = [[0] * order + [int(symbol[b]) for b in s] for s in samples]
-    own, bits = [0] * order + [int(symbol[b]) for b in text], 0.0
+def code_length_by_hand(text, samples, order=3):
+    """PPM with escape method C, counted anew for each byte."""
+    seqs = [b" " * order + s for s in samples]
+    own, bits = b" " * order + text, 0.0
     for i in range(order, len(own)):
         p = 1.0
         for k in range(order, -2, -1):
             if k < 0:
-                p /= size
+                p /= 256
                 break
             context = own[i - k : i]
             after = [q[j] for q in seqs for j in range(order, len(q)) if q[j - k : j] == context]
@@ -170,13 +169,31 @@ def code_length_by_hand(text, samples, symbol, order):
 
 
 def test_code_lengths_by_hand():
-    samples = {"aa": [b"the cat and the hat", b"that hat"], "bb": ["é là où était".encode()]}
+    samples = {"aa": [b"the cat and the hat", b"that hat"], "bb": ["é là où était".encode()], **{f"l{i:02}": [f"{i} язык".encode()] for i in range(18)}}
     trees = language_id.fit(samples)
-    texts = [b"the", "été".encode(), b"", b"zq 9!", b"hat that"]
+    texts = [b"the", "été".encode(), b"", b"zq 9!", b"hat that", "漢字".encode(), "я 7".encode()]
     got = language_id.Scorer(trees).bits(texts)
     for i, t in enumerate(texts):
         for k, name in enumerate(trees.languages):
-            assert got[i, k] == pytest.approx(code_length_by_hand(t, samples[name], trees.symbol, trees.order), rel=1e-5)
+            assert got[i, k] == pytest.approx(code_length_by_hand(t, samples[name]), rel=1e-5)
+    long = language_id.Scorer(trees).bits([b"the hat " * 100_000])
+    assert long[0, 0] == pytest.approx(code_length_by_hand(b"the hat " * 3, samples["aa"]) + 99_997 * (code_length_by_hand(b"the hat " * 3, samples["aa"]) - code_length_by_hand(b"the hat " * 2, samples["aa"])), rel=1e-4)
+
+
+def test_op6_rows_by_hand(spark):
+    docs = documents(spark).select("doc_id", "text", "lang")
+    learn = docs.where("crc32(cast(doc_id as string)) % 4 != 2")
+    samples = language_id.training_sample(learn, "text", "lang")
+    assert {k: sorted(v) for k, v in samples.items()} == {k: sorted({r.text.encode() for r in learn.collect() if r.lang == k and 0 < len(r.text) <= 20_000}) for k in samples}
+    small = {k: [t[:120] for t in sorted(v)[:3]] for k, v in samples.items()}
+    few = docs.where("length(text) < 900 and text rlike '[a-z]'").orderBy("doc_id").limit(6)
+    rows = language_id.predict_language(few, language_id.fit(small)).collect()
+    for r in rows:
+        bits = {k: code_length_by_hand(r.text.encode(), v) for k, v in small.items()}
+        assert r.lang_pred == min(sorted(bits), key=bits.get) and r.score == pytest.approx(1 / sum(2.0 ** min(0, min(bits.values()) - b) for b in bits.values()), rel=1e-2)
+    copies = spark.createDataFrame([("xx", "one and the same")] * 500 + [("yy", f"text {i}") for i in range(9)], "lang string, text string")
+    assert {k: len(v) for k, v in language_id.training_sample(copies, "text", "lang").items()} == {"xx": 1, "yy": 9}
+    assert len(language_id.training_sample(copies, "text", "lang", languages=1)) == 1
 
 
 def test_language_id_holds_out_and_predicts(spark):
@@ -185,6 +202,10 @@ def test_language_id_holds_out_and_predicts(spark):
     assert len(held) > 150 and sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
     odd = spark.createDataFrame([(i, t, "en") for i, t in ODD], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in language_id.identify(odd).collect() if not (r.text or "").strip()} == {"und"}
+    clash = odd.withColumns({"lang_pred": F.lit("x"), "score": F.lit("y"), "held_out": F.lit(3)}).withColumn("text", F.concat(F.col("text"), F.lit(" the text"))).repartition(3)
+    rows = language_id.identify(clash).collect()
+    assert len(rows) == len(ODD) and rows[0].__fields__ == ["doc_id", "text", "lang", "held_out", "lang_pred", "score"] and {r.lang_pred for r in rows} == {"en", "und"}
+    assert len({(r.lang_pred, r.score) for r in rows if r.doc_id == 4}) == 1
     nothing = language_id.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)} and language_id.identify(odd.limit(0)).count() == 0
 
