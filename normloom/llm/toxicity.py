@@ -28,23 +28,25 @@ from normloom.llm.shared import bounded_batches, column, held_by_worker, packed,
 DECAY, SPAN = 0.7, 7
 #: Landmark words, labelled texts drawn of each class, rounds of picking words, threshold of a toxic score.
 LANDMARKS, TRAINING_TEXTS, ROUNDS, TOXIC = 64, 1500, 3, 0.7
-#: Words whose kernel to every landmark is surely below this cannot show toxicity and get the floor margin.
-FAINT = 0.4
-#: Word scores that a worker keeps; beyond it the store is emptied.
-KEPT_WORDS = 400_000
+#: Share of clean texts whose worst word a toxic text's must exceed to shape the logistic curve.
+QUIET = 0.9
+#: Bytes of words whose scores a worker keeps; beyond it the store is emptied. Characters of new words that are scored at once.
+KEPT_BYTES, CHUNK_CHARS = 64 << 20, 1 << 19
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Letters set apart, as in "i d i o t" or "i.d.i.o.t".
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][\s\-_.*]{1,2}){3,}[^\W\d_](?![^\W_])")
 _LEET = str.maketrans("013457", "oieast")
-#: Letters a to z, further letters folded to a few numbers, and the gap as the last number.
-_ALPHABET = 40
+#: A triple of letters is one number of three code points.
+_POINT = 21
 _OFFSETS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
 
 
 def unit(token: str) -> str:
     """The letters of a token, digits inside a word read as the letters they resemble; at most empty."""
+    if token.isalpha():
+        return token
     letters = "".join(_LETTERS.findall(token))
-    if len(letters) < len(token) and len(letters) >= 3 and any(c.isdigit() for c in token):
+    if len(letters) >= 3 and any(c.isdigit() for c in token):
         letters = "".join(_LETTERS.findall(token.translate(_LEET)))
     return letters
 
@@ -57,89 +59,88 @@ def tokens(text: str | None) -> set[str]:
     return found
 
 
-def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A letter number for each character of all words, and the word each belongs to."""
-    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    code = np.where((points >= 97) & (points <= 122), points - 97, 26 + points % (_ALPHABET - 27))
-    return code, np.repeat(np.arange(len(words)), [len(w) for w in words])
-
-
 def triples(words: list[str]):
     """Arrays ``word, triple, weight`` for each choice of offsets: the gapped triples of all words."""
-    code, owner = _codes(words)
+    code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
     for j, k in _OFFSETS:
         inside = np.flatnonzero(owner[:-k] == owner[k:]) if len(owner) > k else np.zeros(0, int)
-        yield owner[inside], (code[inside] * _ALPHABET + code[inside + j]) * _ALPHABET + code[inside + k], DECAY ** (k + 1)
+        yield owner[inside], (code[inside] << 2 * _POINT) | (code[inside + j] << _POINT) | code[inside + k], DECAY ** (k + 1)
 
 
-def _explicit(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse feature vectors of unit length: ``word, triple, value``."""
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse feature vectors of unit length: ``word, triple, value``, by word, each triple of a word once."""
     parts = list(triples(words))
     owner, triple = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    weight = np.concatenate([np.full(len(p[0]), p[2]) for p in parts])
-    keys, place = np.unique(owner * _ALPHABET**3 + triple, return_inverse=True)
-    value = np.bincount(place, weights=weight, minlength=len(keys))
-    owner, triple = keys // _ALPHABET**3, keys % _ALPHABET**3
+    weight = np.repeat([p[2] for p in parts], [len(p[0]) for p in parts])
+    order = _by_word(owner, triple, words)
+    owner, triple, weight = owner[order], triple[order], weight[order]
+    first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (triple[1:] != triple[:-1])]) if len(owner) else np.zeros(0, int)
+    value = np.add.reduceat(weight, first) if len(first) else weight
+    owner, triple = owner[first], triple[first]
     norm = np.sqrt(np.bincount(owner, weights=value**2, minlength=len(words)))
     return owner, triple, value / norm[owner]
 
 
-def _least_norm(sizes: np.ndarray) -> np.ndarray:
-    """The norm that a word of each size has at least: as if all its triples were different."""
-    return np.sqrt(np.maximum(1e-12, sum(np.maximum(0, sizes - k) * DECAY ** (2 * k + 2) for _, k in _OFFSETS)))
+def _by_word(owner: np.ndarray, triple: np.ndarray, words: list[str]) -> np.ndarray:
+    """The order by word and triple: by one number of both if it fits, as sorting by one number is faster than by two."""
+    letters = np.unique(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)).astype(np.int64)
+    n = len(letters)
+    if n**3 * len(words) >= 1 << 62:
+        return np.lexsort((triple, owner))
+    place, last = np.zeros(int(letters[-1]) + 1 if n else 1, np.int64), (1 << _POINT) - 1
+    place[letters] = np.arange(n)
+    number = (place[triple >> 2 * _POINT] * n + place[triple >> _POINT & last]) * n + place[triple & last]
+    return np.argsort(owner * n**3 + number)
 
 
 @dataclass
 class Machine:
-    """``landmarks``: unit vectors of the landmarks by triple; ``weights``: of the kernel values to them; ``floor``: the margin of no resemblance."""
+    """``triples``: all triples of the landmarks, sorted; ``landmarks``: the landmarks' unit vectors over them, a column each;
+    ``weights``: of the kernel values to the landmarks. ``floor`` is the margin of a word that shares no triple with any."""
 
+    triples: np.ndarray
     landmarks: np.ndarray
     weights: np.ndarray
     bias: float
     slope: float = 1.0
     shift: float = 0.0
 
-    def __post_init__(self):
-        self.most = self.landmarks.max(axis=1) if self.landmarks.size else np.zeros(_ALPHABET**3, np.float32)
-
     @property
     def floor(self) -> float:
         return self.bias
 
+    @classmethod
+    def of(cls, words: list[str]) -> Machine:
+        owner, triple, value = features(words)
+        known, place = np.unique(triple, return_inverse=True)
+        landmarks = np.zeros((len(known), len(words)))
+        landmarks[place, owner] = value
+        return cls(known, landmarks, np.ones(len(words)), 0.0)
+
+    def _shared(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``word, place, value`` of the triples that are also a landmark's."""
+        owner, triple, value = features(words)
+        at = np.minimum(np.searchsorted(self.triples, triple), max(0, len(self.triples) - 1))
+        shared = np.flatnonzero(self.triples[at] == triple) if len(self.triples) else np.zeros(0, int)
+        return owner[shared], at[shared], value[shared]
+
     def kernel(self, words: list[str]) -> np.ndarray:
-        owner, triple, value = _explicit(words)
+        """The kernel of each word to each landmark."""
         out = np.zeros((len(words), self.landmarks.shape[1]))
-        begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, int)
-        if len(begins):
-            out[owner[begins]] = np.add.reduceat(self.landmarks[triple] * value[:, None].astype(np.float32), begins, axis=0)
+        for at in range(0, len(words), 5000):
+            owner, place, value = self._shared(words[at : at + 5000])
+            begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, int)
+            if len(begins):
+                out[at + owner[begins]] = np.add.reduceat(self.landmarks[place] * value[:, None], begins, axis=0)
         return out
 
-    def _bound(self, words: list[str], sizes: np.ndarray) -> np.ndarray:
-        """For each word an upper bound of its kernel (not yet divided by its own norm) to any landmark.
-
-        Words are laid out with so many gaps between them that no triple reaches from one to the next.
-        """
-        gap = SPAN - 1
-        starts = np.cumsum(sizes + gap) - sizes - gap
-        code, _ = _codes(words)
-        flat = np.full(int((sizes + gap).sum()) + gap, _ALPHABET - 1, np.int32)
-        flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(code))] = code
-        n, first, second = len(flat) - gap, flat * _ALPHABET**2, flat * _ALPHABET
-        total = np.zeros(n, np.float32)
-        for j, k in _OFFSETS:
-            total += self.most[first[:n] + second[j : n + j] + flat[k : n + k]] * np.float32(DECAY ** (k + 1))
-        return np.add.reduceat(total, starts) if len(starts) else np.zeros(0)
-
     def margins(self, words: list[str]) -> np.ndarray:
-        """The margin of each word; words that surely resemble no landmark get the floor."""
-        out = np.full(len(words), self.floor)
-        sizes = np.array([len(w) for w in words], np.int64)
-        near = np.flatnonzero(self._bound(words, sizes) > FAINT * _least_norm(sizes))
-        for at in range(0, len(near), 2000):
-            some = near[at : at + 2000]
-            kernel = self.kernel([words[i] for i in some])
-            out[some] = np.where(kernel.max(axis=1) >= FAINT, kernel @ self.weights + self.bias, self.floor)
-        return out
+        """The margin of each word. As the kernel is a product of feature vectors, the weighted sum of a word's kernels to all
+        landmarks is one product with the weighted sum of theirs."""
+        direction = self.landmarks @ self.weights
+        owner, place, value = self._shared(words)
+        return np.bincount(owner, weights=value * direction[place], minlength=len(words)) + self.bias
 
     def score(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
@@ -183,23 +184,18 @@ def fit(texts: list[str], labels: list[int]) -> Machine:
     telling = [u for u in sorted(seen[True], key=lambda u: (-seen[True][u] + 3 * seen[False][u], u)) if seen[True][u] >= 3 and share(u) > 1.5][:LANDMARKS]
     if not n_toxic or not n_clean or not telling:
         rate = (n_toxic + 1) / (len(toxic) + 2) if n_toxic and n_clean else 0.0
-        return Machine(np.zeros((_ALPHABET**3, 0), np.float32), np.zeros(0), 0.0, 0.0, float(np.log(rate / (1 - rate))) if rate else -30.0)
-    owner, triple, value = _explicit(telling)
-    dense = np.zeros((_ALPHABET**3, len(telling)), np.float32)
-    dense[triple, owner] = value
-    machine = Machine(dense, np.ones(len(telling)), 0.0)
+        return Machine(np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0), 0.0, 0.0, float(np.log(rate / (1 - rate))) if rate else -30.0)
+    machine = Machine.of(telling)
     own = machine.kernel(telling)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     kept = values > 1e-4 * values.max()
     whiten = vectors[:, kept] / np.sqrt(values[kept])
-    kernel_of = {u: None for bag in bags for u in bag}
-    all_units = list(kernel_of)
-    near = np.flatnonzero(machine.margins(all_units) > 0)
-    index = {all_units[i]: n for n, i in enumerate(near)}
-    kernel = machine.kernel([all_units[i] for i in near])
-    within = [[index[u] for u in bag if u in index] for bag in bags]
+    all_units = list(dict.fromkeys(u for bag in bags for u in bag))
+    index = {u: n for n, u in enumerate(all_units)}
+    kernel = machine.kernel(all_units)
+    within = [[index[u] for u in bag] for bag in bags]
     clean_rows = sorted({i for rows, t in zip(within, toxic, strict=True) if not t for i in rows})
-    show = np.array([share(all_units[i]) for i in near])
+    show = np.array([share(u) for u in all_units])
     worst = kernel.max(axis=1, initial=0) + 0.1 * show
     # Landmarks with a strange letter put in count as toxic as well, so that the machine learns how much a gap may cost.
     broken = machine.kernel([u[:i] + c + u[i:] for u in telling for i in (len(u) // 2, len(u) - 1) for c in "xz" if seen[True][u] >= len(texts) / 100])
@@ -213,24 +209,34 @@ def fit(texts: list[str], labels: list[int]) -> Machine:
         machine.weights, machine.bias = whiten @ w[:-1], float(w[-1])
         worst = kernel @ machine.weights + machine.bias
     margin = np.array([max([machine.floor, *(worst[i] for i in rows)]) for rows in within])
-    machine.slope, machine.shift = _logistic(margin, toxic)
+    # A text labelled toxic whose worst word is no worse than most clean texts' tells the curve nothing about words.
+    shown = ~toxic | (margin > np.quantile(margin[~toxic], QUIET))
+    machine.slope, machine.shift = _logistic(margin[shown], toxic[shown])
     return machine
 
 
 class Scorer:
-    def __init__(self, machine: Machine):
-        self.machine, self.margin = machine, {}
+    def __init__(self, machine: Machine, kept: int = KEPT_BYTES):
+        self.machine, self.margin, self.held, self.kept = machine, {}, 0, kept
+
+    def _learn(self, new: list[str]) -> None:
+        first, held = 0, 0
+        for i, token in enumerate(new):
+            held += len(token) + 1
+            if held >= CHUNK_CHARS or i == len(new) - 1:
+                some = new[first : i + 1]
+                self.margin.update(zip(some, self.machine.margins([unit(t) for t in some]).tolist(), strict=True))
+                first, held = i + 1, 0
+        self.held += sum(map(len, new)) + 100 * len(new)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         worst = np.empty(len(texts))
-        for at in range(0, len(texts), 256):
-            bags = [tokens(t.as_py()) for t in texts[at : at + 256]]
-            if len(self.margin) > KEPT_WORDS:
+        for at in range(0, len(texts), 64):
+            bags = [tokens(t.as_py()) for t in texts[at : at + 64]]
+            if self.held > self.kept:
                 self.margin.clear()
-            new = list(set().union(*bags).difference(self.margin))
-            for i in range(0, len(new), 20_000):
-                some = new[i : i + 20_000]
-                self.margin.update(zip(some, self.machine.margins([unit(t) for t in some]).tolist(), strict=True))
+                self.held = 0
+            self._learn(list(set().union(*bags).difference(self.margin)))
             known = self.margin.__getitem__
             worst[at : at + len(bags)] = [max(map(known, bag), default=self.machine.floor) for bag in bags]
         return self.machine.score(np.maximum(worst, self.machine.floor))

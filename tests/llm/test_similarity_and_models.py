@@ -138,6 +138,64 @@ def test_every_stretch_of_a_diagonal_counts(spark):
     assert (found.key, found.item_id, found.equal_words) == (1, 7, best_stretch_by_hand(runs)[0])
 
 
+def overlaps_by_hand(text, item):
+    """The best overlap over all diagonals: equal words, share, first and last word."""
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for t in (text, item)]
+    at, tally = {}, {}
+    for j, w in enumerate(words[1]):
+        at.setdefault(w, []).append(j)
+    for i, w in enumerate(words[0]):
+        for j in at.get(w, ()):
+            tally[i - j] = tally.get(i - j, 0) + 1
+    best = None
+    for d, n in tally.items():
+        if n >= 13 or 5 * n >= 4 * len(words[1]):
+            found = best_stretch_by_hand([0 <= j + d < len(words[0]) and words[0][j + d] == w for j, w in enumerate(words[1])])
+            if found:
+                best = max(best or (0,), (found[0], found[0] / (found[2] - found[1] + 1), -d, found[1], found[2]))
+    return best and (best[0], round(best[1], 9), best[3] - best[2], best[4] - best[2])
+
+
+def test_op8_by_hand(spark):
+    """Every text of the table, and changed passages of items of many lengths, against all diagonals."""
+    random.seed(11)
+    docs = [(d.doc_id, d.text) for d in documents(spark).collect()]
+    bench = [(b.item_id, b.text) for b in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    items = [(1000 + n, " ".join(random.choice(["alpha", "beta", "gamma", f"w{n}x{i}", f"v{n}y{i}"]) for i in range(n))) for n in [*range(1, 31), 40, 60]]
+    for n, (_, text) in enumerate(items):
+        for k in range(4):
+            changed = text.split()
+            for i in random.sample(range(len(changed)), len(changed) // 5 if k < 3 else len(changed) // 3):
+                changed[i] = "zzz"
+            docs.append((-100 * n - k - 1, "pre pre " + " ".join(changed) + " post"))
+    rows = decontaminate.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(bench + items, "item_id long, text string")).collect()
+    got = {(r.key, r.item_id): (r.equal_words, round(r.share, 9), r.first_word, r.last_word) for r in rows}
+    want = {(d, i): x for d, t in docs for i, it in bench + items if (x := overlaps_by_hand(t, it))}
+    assert len(got) == len(rows) and got == want and len(want) > 100
+
+
+def test_masks_hit_overlaps_of_every_length():
+    """Recall of the masks over substitutions of a fifth of the words, for each length from five words on."""
+    random.seed(7)
+    for n in [*range(5, 41), 50, 75, 100]:
+        masks = [m for m, low, high in decontaminate._seeds([5]) if low <= n <= high]
+        hits = 0
+        for _ in range(400):
+            off = set(random.sample(range(n), n // 5))
+            hits += any(all(s + i not in off for i, c in enumerate(m) if c == "1") for m in masks for s in range(n - len(m) + 1))
+        assert hits == 400, n
+
+
+def test_decontamination_odd_rows(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (1, "one two three four five six seven eight nine ten"), (None, "solo words"), (2, None)], "item_id long, text string").withColumns({"mark": F.lit(1), "at": F.lit(2)})
+    odd = [*ODD, (8, "x one two three four five six seven eight nine ten"), (8, "x one two three four five six seven eight nine ten"), (9, "one two zzz four five six seven eight nine ten " + "word " * 60_000 + "solo words")]
+    docs = spark.createDataFrame(odd, "doc_id long, text string").withColumns({c: F.lit("y") for c in ("mark", "hashes", "item_id", "h")}).repartition(3)
+    got = sorted((str(r.key), str(r.item_id), r.equal_words) for r in decontaminate.find_overlaps(docs, bench).collect())
+    assert got == [("8", "1", 10), ("9", "1", 9), ("9", "None", 2)]
+    kept = decontaminate.drop_contaminated(docs, bench).collect()
+    assert len(kept) == len(ODD) and kept[0].__fields__ == docs.columns
+
+
 def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
     docs, bench = documents(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
     want = sorted(map(tuple, decontaminate.find_overlaps(docs, bench).collect()))
@@ -224,19 +282,38 @@ def kernel_by_hand(a, b):
     return sum(v * y.get(t, 0) for t, v in x.items())
 
 
-def test_kernel_by_hand():
-    words = ["idiot", "idxiot", "institution", "clown", "abc", "ab"]
-    marks = ["idiot", "clown"]
-    owner, triple, value = toxicity._explicit(marks)
-    dense = np.zeros((toxicity._ALPHABET**3, 2), np.float32)
-    dense[triple, owner] = value
-    machine = toxicity.Machine(dense, np.ones(2), 0.0)
-    got = machine.kernel(words)
+def test_kernel_and_margins_by_hand():
+    words = ["idiot", "idxiot", "institution", "clown", "abc", "ab", "", "идиот", "идхиот", "ΒΛΑΚΑΣ", "aaaaaaaa"]
+    marks = ["idiot", "clown", "идиот"]
+    machine = toxicity.Machine.of(marks)
+    machine.weights, machine.bias = np.array([0.5, -1.0, 2.0]), 0.25
+    got, margins = machine.kernel(words), machine.margins(words)
     for i, w in enumerate(words):
-        for k, z in enumerate(marks):
-            assert got[i, k] == pytest.approx(kernel_by_hand(w, z), abs=1e-5)
-    bound = machine._bound(words, np.array([len(w) for w in words])) / toxicity._least_norm(np.array([len(w) for w in words]))
-    assert all(b >= k - 1e-5 for b, k in zip(bound[:5], got.max(axis=1)[:5], strict=True))
+        by_hand = [kernel_by_hand(w, z) for z in marks]
+        assert got[i] == pytest.approx(by_hand, abs=1e-6) and margins[i] == pytest.approx(np.dot(by_hand, machine.weights) + machine.bias, abs=1e-6)
+    assert got[8, 2] > 0.3 and got[9].max() == 0
+    many = "".join(map(chr, range(0x4E00, 0x4E00 + 3000)))
+    assert machine.kernel([many, "clown"])[1, 1] == pytest.approx(1)
+
+
+def test_machine_and_scores_by_hand():
+    random.seed(9)
+    rude, mild = ["moron", "scumbag"], ["the", "station", "morning", "scurry", "bag", "nation"]
+    labels = [i % 2 for i in range(40)]
+    texts = [" ".join(random.sample(mild, 3) + [rude[i % 4 // 2]] * labels[i]) for i in range(40)]
+    machine = toxicity.fit(texts, labels)
+    x, y = np.random.default_rng(0).normal(size=(60, 3)), np.where(np.arange(60) % 3 == 0, 1.0, -1.0)
+    weight = np.full(60, 1 / 60)
+    w = toxicity._squared_hinge(x, y, weight, ridge=0.1)
+    loss = lambda w: 0.1 * (w[:-1] ** 2).sum() + 1e-6 * w[-1] ** 2 + (weight * np.maximum(0, 1 - y * (np.c_[x, np.ones(60)] @ w)) ** 2).sum()
+    assert all(loss(w) <= loss(w + d) for d in np.random.default_rng(1).normal(scale=0.05, size=(200, 4)))
+    own = [[u for u in map(toxicity.unit, toxicity.tokens(t)) if u] for t in texts]
+    marks = [r for r in sorted({u for units in own for u in units}) if kernel_by_hand(r, r) and any(np.allclose(machine.kernel([r])[0, k], 1) for k in range(machine.landmarks.shape[1]))]
+    assert set(marks) == set(rude)
+    order = [next(k for k in range(len(marks)) if machine.kernel([m])[0, k] > 0.999) for m in marks]
+    for t, units, score in zip(texts, own, toxicity.Scorer(machine, kept=10).scores(pa.array(texts)), strict=True):
+        worst = max([machine.bias, *(sum(kernel_by_hand(u, m) * machine.weights[k] for m, k in zip(marks, order, strict=True)) + machine.bias for u in units if len(u) >= 3)])
+        assert score == pytest.approx(1 / (1 + np.exp(-(machine.slope * worst + machine.shift))), abs=1e-6)
 
 
 def test_toxicity_held_out_and_tolerant(spark):
@@ -253,6 +330,9 @@ def test_toxicity_held_out_and_tolerant(spark):
     assert len(rows) > 80 and right >= 0.85 * len(rows)
     one_class = toxicity.fit(["a", "b"], [0, 0])
     assert toxicity.Scorer(one_class).scores(pa.array(["x", None]))[0] < 0.01
+    odd = spark.createDataFrame(ODD, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("score", "predicted", "held_out")}).repartition(3)
+    rows = toxicity.judge(odd, spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    assert len(rows) == len(ODD) and rows[0].__fields__ == ["doc_id", "text", "held_out", "score", "predicted"] and all(0 <= r.score <= 1 for r in rows) and len({r.score for r in rows if r.doc_id == 4}) == 1
     none = spark.createDataFrame([], "doc_id long, text string")
     assert toxicity.judge(none, spark.read.parquet(f"{SF}/labels.parquet")).count() == 0
 

@@ -140,6 +140,20 @@ def test_op3_reads_back_every_turn(spark):
         r = got[conv]
         assert (r.n_turns, r.turns_sha256) == (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest())
         assert (r.loss_chars, r.loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+        roles = ["start", *(role for role, _ in turns)]
+        broken = [i for i, pair in enumerate(zip(roles, roles[1:], strict=False)) if pair not in chat_format.Template().turns]
+        assert (r.valid, r.first_error) == (not broken, min(broken, default=None))
+    plan = queries.op3_chat_format(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" in plan
+
+
+def test_chat_of_very_long_texts_and_roles(spark):
+    long = ["r" * 1_000_000, ":~\\" * 100_000 + "###", "### " * 100_000]
+    rows = [(i, 0, role, text) for i, role in enumerate(long) for text in [long[2 - i]]] + [(9, 0, "user", None), (9, 0, "user", None), (9, 1, "assistant", "x ~1 ~0 : \\")]
+    turns = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").withColumns({c: F.lit(1) for c in ("valid", "segments", "said", "formatted")})
+    made = chat_format.format_conversations(turns).withColumn("back", chat_format.read_back(F.col("formatted")))
+    for r in made.collect():
+        assert [tuple(b) for b in r.back] == [(x[2], x[3] or "") for x in rows if x[0] == r.conv_id]
 
 
 def test_chat_machine_and_escapes(spark):
