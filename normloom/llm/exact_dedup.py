@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normloom.llm.shared import column, packed, unpacked
+from normloom.llm.shared import column, packed, reliable, unpacked
 
 #: Space, tab, line feed, vertical tab, form feed and carriage return do not count.
 IGNORED = " \t\n\x0b\x0c\r"
@@ -26,9 +26,9 @@ IGNORED = " \t\n\x0b\x0c\r"
 PROBES = 4
 #: Positions of one filter segment; a segment is merged in one group.
 SEGMENT_BITS = 13
-#: Bounds of the filter: it has about 16 positions a row, at most 2^28 (32 MB). Beyond 17 million rows it
-#: fills up and more rows take the exact path; the result stays the same.
-MIN_BITS, MAX_BITS = 16, 28
+#: Bounds of the filter: it has about 16 positions a row, at most 2^30 (128 MB). Beyond 67 million rows it
+#: fills up and more rows take the exact path, all of them in the end; the result stays the same.
+MIN_BITS, MAX_BITS = 16, 30
 #: Rows after which a task hands on what it has and starts anew.
 FLUSH_ROWS = 1_000_000
 
@@ -107,13 +107,14 @@ def duplicate_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     Texts are equal when identical without ASCII white space. Of equal texts the row with the most
     code points in its original text stays, then the smallest ``doc_id`` (null before any other).
     A null text counts as empty. Rows that repeat a ``doc_id`` with texts of the same length tie:
-    all rows with that id are marked as kept here; ``drop_duplicates`` leaves one of them.
+    all rows with that id are marked as kept here; ``drop_duplicates`` leaves one of them. An empty table gives no row;
+    other columns are not read, whatever their names. Texts are read once; what the passes need of them, a short row
+    each, is kept in the shared folder.
     """
     plain = normalised(column(text))
-    hashed = docs.select(F.xxhash64(plain).alias("hash"))
-    maybe = may_repeat(hashed)
-    body = docs.select(column(key).alias("doc_id"), F.length(F.coalesce(column(text), F.lit(""))).alias("chars"), plain.alias("plain"))
-    body = body.select("doc_id", "chars", F.xxhash64("plain").alias("hash"), F.sha2(F.col("plain").cast("binary"), 256).alias("text_sha256")).withColumn("maybe", maybe)
+    texts = docs.select(column(key).alias("doc_id"), F.length(F.coalesce(column(text), F.lit(""))).alias("chars"), plain.alias("plain"))
+    body = reliable(texts.select("doc_id", "chars", F.xxhash64("plain").alias("hash"), F.sha2(F.col("plain").cast("binary"), 256).alias("text_sha256")))
+    body = body.withColumn("maybe", may_repeat(body.select("hash")))
     single = body.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     many = body.where("maybe").select("doc_id", "chars", "text_sha256")
     # Grouping by the digest and a part of it leaves a layout that the join cannot reuse: both of its sides
@@ -127,7 +128,7 @@ def duplicate_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -
 def drop_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, in its columns: exactly one of each group of equal texts.
 
-    Rows outside the filter pass straight through. The rest are grouped by digest with partial
+    A null text counts as empty, an empty table gives no row, columns keep their names and values. Rows outside the filter pass straight through. The rest are grouped by digest with partial
     aggregation, each task handing on one whole row a group, so a group of any size stays small.
     """
     plain = normalised(column(text))

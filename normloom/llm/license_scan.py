@@ -1,20 +1,22 @@
-"""License scans by diagonal voting: word pairs are joined to template positions and vote for offsets.
+"""License scans by diagonal voting: rolling word grams are joined to template positions and vote for offsets.
 
-Every pair of adjacent words of a text is hashed and joined to the positions of the same pair in
-the license templates. A hit votes for the diagonal ``word position - template position``; a
-template that stands somewhere gathers its votes on one diagonal, and one with words inserted or
-left out on neighbouring ones, which are merged. A merged span is verified by the share of
-template words that its votes cover, each template position counting once.
+Every run of two and of four adjacent words of a text is hashed and joined to the positions of the same run in
+the templates: pairs for short phrases, runs of four for the texts and notices of licenses. A hit votes for the diagonal
+``word position - template position``; a template that stands somewhere gathers its votes on one diagonal, and one with words
+inserted or left out on neighbouring ones, which are merged. A merged span is verified word by word: a template word
+counts if the text has it at its place on one of the span's diagonals.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normloom.llm.shared import column, packed, unpacked, words
+from normloom.llm.shared import SEPARATORS, column, let, packed, unpacked, words
 
-# Base phrases and labels, then phrases that license notices share.
+# Base phrases and labels, then phrases that license notices share, then texts and notices of licenses.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 NOTICES = {
     "permission is hereby granted free of charge": "mit",
@@ -27,43 +29,88 @@ NOTICES = {
     "licensed under cc by nc": "cc-by-nc",
     "creative commons attribution": "cc",
 }
-#: Diagonals this near each other belong to one span; share of template words that a span must cover.
-NEAR, COVERED = 2, 0.8
+_SHARE_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+    1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+    2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_PROGRAM = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details."
+TEXTS = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+        to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+        AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+        THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+        INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-2-clause": _SHARE_BSD,
+    "bsd-3-clause": _SHARE_BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "apache": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+        See the License for the specific language governing permissions and limitations under the License.""",
+    "gpl": _PROGRAM.format("General Public License"),
+    "lgpl": _PROGRAM.format("Lesser General Public License"),
+    "agpl": _PROGRAM.format("Affero General Public License"),
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
+        for any purpose, commercial or non-commercial, and by any means.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+        Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:""",
+}
+#: Words of a gram for phrases and for texts; diagonals this near each other belong to one span; share of template words that a span must have.
+SHORT, LONG, NEAR, COVERED = 2, 4, 2, 0.8
+
+
+def templates() -> list[tuple[str, bool, int, list[str]]]:
+    """``label, base, gram, words`` of each template."""
+    found = [*((p, n, True, SHORT) for p, n in BASE.items()), *((p, n, False, SHORT) for p, n in NOTICES.items()), *((t, n, False, LONG) for n, t in TEXTS.items())]
+    return [(label, base, gram, [w for w in re.split(SEPARATORS, text.lower()) if w]) for text, label, base, gram in found]
+
 
+def _positions(spark) -> DataFrame:
+    """``template, label, base, length, width, at, gram``: a row for each gram of each template; ``gram`` is hashed in order, after its width."""
+    rows = [(k, label, base, len(parts), width, at, parts[at : at + width]) for k, (label, base, width, parts) in enumerate(templates()) for at in range(len(parts) - width + 1)]
+    made = spark.createDataFrame(rows, "template int, label string, base boolean, length int, width int, at int, gram array<string>")
+    return made.withColumn("gram", F.xxhash64("width", F.array_join("gram", " ")))
 
-def _templates(spark) -> DataFrame:
-    """``template, label, base, length, at, pair``: a row for each word pair of each template."""
-    rows, phrases = [], [*((p, n, True) for p, n in BASE.items()), *((p, n, False) for p, n in NOTICES.items())]
-    for number, (phrase, label, base) in enumerate(phrases):
-        parts = phrase.split()
-        rows += [(number, label, base, len(parts), i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
-    made = spark.createDataFrame(rows, "template int, label string, base boolean, length int, at int, first string, second string")
-    return made.select("template", "label", "base", "length", "at", F.xxhash64("first", "second").alias("pair"))
+
+def _grams(parts: Column, width: int) -> Column:
+    """``at, gram`` of each run of ``width`` words."""
+    every = F.when(F.size(parts) >= width, F.sequence(F.lit(0), F.size(parts) - width)).otherwise(F.array().cast("array<int>"))
+    return F.transform(every, lambda i: F.struct(i.alias("at_word"), F.xxhash64(F.lit(width), F.concat_ws(" ", *[F.get(parts, i + k) for k in range(width)])).alias("gram")))
 
 
 def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Verified and unverified spans: ``key, mark, template, label, base, first, last, coverage, places``.
+    """Merged spans, not yet verified: ``key, mark, template, label, base, length, first, last, diagonals, places``.
 
     ``mark`` is a hash of the text, so that rows of one key but different texts stay apart while
     wholly repeated rows share their spans. ``places`` lists where the whole template stands
     without a gap (sorted word positions); ``first`` and ``last`` bound the voting words.
     """
-    pairs = docs.select(column(key).alias("key"), F.xxhash64(column(text)).alias("mark"), words(column(text)).alias("words"))
-    grams = F.transform(F.col("words"), lambda w, i: F.xxhash64(w, F.get(F.col("words"), i + 1)))
-    rolled = pairs.select("key", "mark", F.posexplode(F.slice(grams, 1, F.greatest(F.size("words") - 1, F.lit(0)))).alias("at_word", "pair"))
+    grams = let(words(column(text)), lambda ws: F.concat(_grams(ws, SHORT), _grams(ws, LONG)))
+    rolled = docs.select(column(key).alias("key"), F.xxhash64(column(text)).alias("mark"), F.explode(grams).alias("g")).select("key", "mark", "g.at_word", "g.gram")
     # The templates are a constant of this module, so their table may be broadcast.
-    hits = rolled.join(F.broadcast(_templates(docs.sparkSession)), "pair")
-    votes = hits.groupBy("key", "mark", "template", "label", "base", "length", (F.col("at_word") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
+    hits = rolled.join(F.broadcast(_positions(docs.sparkSession)), "gram")
+    votes = hits.groupBy("key", "mark", "template", "label", "base", "length", "width", (F.col("at_word") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
     span = "partition by key, mark, template order by diagonal"
     chained = votes.selectExpr("*", f"diagonal - lag(diagonal, 1, -1000000) over ({span}) > {NEAR} as opens").selectExpr("*", f"sum(int(opens)) over ({span}) as span")
-    merged = chained.groupBy("key", "mark", "template", "label", "base", "length", "span").agg(
+    return chained.groupBy("key", "mark", "template", "label", "base", "length", "span").agg(
         F.min(F.col("diagonal") + F.array_min("ats")).alias("first"),
-        F.max(F.col("diagonal") + F.array_max("ats") + 1).alias("last"),
-        F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"),
-        F.array_sort(F.collect_list(F.when(F.size("ats") == F.col("length") - 1, F.col("diagonal")))).alias("places"),
+        F.max(F.col("diagonal") + F.array_max("ats") + F.col("width")).alias("last"),
+        F.array_sort(F.collect_list("diagonal")).alias("diagonals"),
+        F.array_sort(F.collect_list(F.when(F.size("ats") == F.col("length") - F.col("width") + 1, F.col("diagonal")))).alias("places"),
     )
-    covered = F.size(F.array_union("ats", F.transform("ats", lambda a: a + 1)))
-    return merged.select("key", "mark", "template", "label", "base", "first", "last", (covered / F.col("length")).alias("coverage"), "places")
+
+
+def _verified(spans: Column, parts: Column) -> Column:
+    """``label, coverage`` of each span: the share of template words that the text has at their place on one of the span's diagonals."""
+    known = F.array(*[F.array(*map(F.lit, ws)) for _, _, _, ws in templates()])
+
+    def one(s: Column) -> Column:
+        there = lambda w, j: F.exists(s["diagonals"], lambda d: F.when(d + j >= 0, F.get(parts, d + j)) == w)
+        equal = let(F.get(known, s["template"]), lambda ws: F.size(F.filter(F.transform(ws, lambda w, j: there(w, j)), lambda x: x)))
+        return F.struct(s["label"].alias("label"), (equal / s["length"]).alias("coverage"))
+
+    return F.transform(spans, one)
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,9 +118,9 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     Base labels come from base phrases that stand somewhere word for word; ``n_base`` counts all
     their places, ``first_word`` and ``last_word`` are the smallest and largest start. ``labels``
-    adds those of spans that cover at least ``COVERED`` of a template. ``score`` is the best
+    adds those of spans that have at least ``COVERED`` of a template's words. ``score`` is the best
     coverage of any span, 0 without one. Null and empty texts have no words; repeated rows get equal
-    results. Added columns replace input columns of the same names.
+    results, and an empty table an empty one. Added columns replace input columns of the same names.
     """
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     spans = find_spans(docs, key, text)
@@ -82,12 +129,17 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         F.sum(F.when(whole, F.size("places")).otherwise(0)).alias("n_base"),
         F.min(F.when(whole, F.array_min("places"))).cast("long").alias("first_word"),
         F.max(F.when(whole, F.array_max("places"))).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(whole, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set(F.when(whole | (F.col("coverage") >= COVERED), F.col("label")))), ",").alias("labels"),
-        F.max("coverage").alias("score"),
+        F.array_sort(F.collect_set(F.when(whole, F.col("label")))).alias("base_labels"),
+        F.collect_list(F.struct("template", "label", "length", "diagonals")).alias("spans"),
     )
     found = found.withColumnsRenamed({"key": "found_key", "mark": "found_mark"})
-    rows = packed(docs, key=column(key), mark=F.xxhash64(column(text)), n_words=F.size(words(column(text))).cast("long"))
+    rows = packed(docs, key=column(key), mark=F.xxhash64(column(text)), text=column(text))
     joined = rows.join(found, [rows.mark == found.found_mark, rows.key.eqNullSafe(found.found_key)], "left")
-    out = joined.select("row", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    checked = F.when(F.col("spans").isNotNull(), let(words(F.col("text")), lambda ws: F.struct(F.size(ws).alias("n"), _verified(F.col("spans"), ws).alias("spans")))).otherwise(F.struct(F.size(words(F.col("text"))).alias("n"), F.array().cast("array<struct<label:string,coverage:double>>").alias("spans")))
+    made = joined.select("row", "n_base", "first_word", "last_word", F.coalesce("base_labels", F.array().cast("array<string>")).alias("base"), checked.alias("checked"))
+    more = F.transform(F.filter("checked.spans", lambda s: s["coverage"] >= COVERED), lambda s: s["label"])
+    out = made.select(
+        "row", F.col("checked.n").cast("long").alias("n_words"), F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union("base", more)), ",").alias("labels"), F.coalesce(F.array_max(F.col("checked.spans.coverage")), F.lit(0.0)).alias("score"),
+    )
     return unpacked(out, docs.columns, added)

@@ -190,10 +190,50 @@ def test_op10_base_columns_by_hand(spark, odd, none):
     assert license_scan.scan_licenses(none).count() == 0
 
 
+def spans_by_hand(text):
+    """Labels and best coverage by voting over all places, template by template."""
+    ws, labels, score = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")), set(), 0.0
+    for label, _, width, template in license_scan.templates():
+        at = {}
+        for j in range(len(template) - width + 1):
+            at.setdefault(tuple(template[j : j + width]), []).append(j)
+        lines = sorted({i - j for i in range(len(ws) - width + 1) for j in at.get(tuple(ws[i : i + width]), ())})
+        spans = []
+        for d in lines:
+            if spans and d - spans[-1][-1] <= license_scan.NEAR:
+                spans[-1].append(d)
+            else:
+                spans.append([d])
+        for span in spans:
+            share = sum(any(0 <= j + d < len(ws) and ws[j + d] == w for d in span) for j, w in enumerate(template)) / len(template)
+            score = max(score, share)
+            labels |= {label} if share >= license_scan.COVERED else set()
+    return labels, score
+
+
+def test_op10_labels_and_scores_by_hand(spark):
+    random.seed(6)
+    texts = [(d.doc_id, d.text) for d in table_rows(spark)]
+    for k, text in enumerate(license_scan.TEXTS.values()):
+        for n in range(5):
+            ws = text.split()
+            for i in sorted(random.sample(range(len(ws)), n * len(ws) // 20), reverse=True):
+                ws[i : i + 1] = random.choice([["zzz"], [], ["zzz", ws[i]]])
+            texts.append((-10 * k - n - 1, "Copyright me. " + " ".join(ws) + " end"))
+    rows = license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()
+    by_id = dict(texts)
+    for r in rows:
+        labels, score = spans_by_hand(by_id[r.doc_id])
+        assert set(filter(None, r.labels.split(","))) == labels | set(filter(None, r.base_labels.split(","))) and r.score == pytest.approx(score), r.doc_id
+    found = {r.doc_id: r.labels for r in rows}
+    assert all(label in found[-10 * k - n - 1].split(",") for k, label in enumerate(license_scan.TEXTS) for n in range(2))
+
+
 def test_neighbouring_diagonals_merge(spark):
     text = "permission is hereby truly granted free of charge"
-    r = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert r.labels == "mit" and r.base_labels == "" and 0.8 <= r.score <= 1
+    docs = spark.createDataFrame([(1, text, "a"), (1, text, "a"), (None, None, None)], "doc_id long, text string, labels string").withColumns({c: F.lit(1) for c in ("score", "n_words", "row", "mark", "spans")})
+    rows = license_scan.scan_licenses(docs).collect()
+    assert [r.labels for r in rows if r.doc_id] == ["mit", "mit"] and all(r.base_labels == "" and 0.8 <= r.score <= 1 for r in rows if r.doc_id)
 
 
 def test_shared_words(spark):
