@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normloom.durable import reliable
 from normloom.functions import text as T
-from normloom.operators import graph, parse, render, review
-from normloom.sources.store import Conflict, NotFound, Tables
+from normloom.operators import evaluate, graph, parse, render, review
+from normloom.sources.store import Conflict, Invalid, NotFound, Tables, signature
 
 ONTOLOGY_VERSION = "1.0.0"
+#: Fields that a reviewer may change.
+EDITABLE = ["verbatim_text", "action", "object", "modality", "norm_type"]
 
 
 class Engine:
@@ -29,7 +34,7 @@ class Engine:
         known = held.select("instrument", "source_version", "checksum") if held is not None else batch.select("instrument", "source_version", "checksum").limit(0)
         marked = parse.register(batch, known)
         rows = marked.select("instrument", "source_version", "checksum", "outcome", "status", T.document_id(F.col("instrument"), F.col("source_version"), F.col("checksum")).alias("document_id"), T.canonicalize(F.col("text")).alias("canonical_text"))
-        rows = rows.persist()
+        rows = reliable(rows)  # decided on what was stored before; the append must not change it
         self.tables.append("documents", rows.where("outcome = 'created'").drop("outcome", "status"))
         return rows.drop("canonical_text")
 
@@ -38,7 +43,8 @@ class Engine:
         docs, done = self._stored("documents"), self.tables.read("revisions")
         if done is not None:
             docs = docs.join(done.select("document_id").distinct(), "document_id", "left_anti")
-        made = parse.parse(docs).withColumns({"run_id": F.lit(run_id), "revision_id": F.concat_ws("@", "clause_id", F.lit(run_id))}).persist()
+        made = parse.parse(docs).withColumns({"run_id": F.lit(run_id), "revision_id": F.concat_ws("@", "clause_id", F.lit(run_id))})
+        made = reliable(made)
         self.tables.append("revisions", made)
         return parse.summary(made, "instrument")
 
@@ -48,15 +54,49 @@ class Engine:
             raise NotFound(clause_id)
         return found.orderBy("run_id")
 
-    def decide(self, decisions: DataFrame) -> None:
-        """Append ``decisions(key, decided, seq, action, rationale)``; any that the log so far forbids is a conflict."""
+    def latest_revisions(self) -> DataFrame:
+        return review.latest_per(self._stored("revisions"), "clause_id", "run_id")
+
+    def decide(self, decisions: DataFrame, edits: DataFrame | None = None) -> None:
+        """Append ``decisions(key, decided, seq, action, rationale)``; any that the log so far forbids is a conflict.
+
+        ``edits(clause_id, seq, field, value)`` go with them: a new revision of each edited clause is validated
+        anew and stored, unless it fails, which refuses the whole call. Only ``EDITABLE`` fields may be edited.
+        """
         held = self.tables.read("decisions")
         log = decisions if held is None else held.unionByName(decisions)
         refused = review.decide(log).join(decisions.select("key", "seq"), ["key", "seq"], "left_semi").where("not allowed")
         if not refused.isEmpty():
             raise Conflict("a decision has no rationale or accepts or edits an escalated record")
+        if edits is not None:
+            self.tables.append("revisions", self._edited(edits, decisions))
         self.tables.append("decisions", decisions)
 
+    def _edited(self, edits: DataFrame, decisions: DataFrame) -> DataFrame:
+        wrong = review.refused_fields(edits, EDITABLE).first()
+        if wrong is not None:
+            raise Invalid(f"{wrong.field} cannot be edited")
+        edited = edits.join(decisions.where(F.col("action").isin("accept", "edit")).select(F.col("key").alias("clause_id")), "clause_id", "left_semi")
+        old = self.latest_revisions().join(edited.select("clause_id").distinct(), "clause_id", "left_semi")
+        flat = old.select("clause_id", "source_evidence.verbatim_text", "source_evidence.evidence_hash", *[F.col(f"legal_semantics.{c}").alias(c) for c in EDITABLE[1:]])
+        new = review.apply_edits(flat, edited, EDITABLE).join(edited.groupBy("clause_id").agg(F.max("seq").alias("seq")), "clause_id")
+        new = new.select("clause_id", F.struct("*").alias("new"))
+        semantics, evidence = F.col("legal_semantics"), F.col("source_evidence")
+        for c in EDITABLE[1:]:
+            semantics = semantics.withField(c, F.col(f"new.{c}"))
+        for c in ("verbatim_text", "evidence_hash"):
+            evidence = evidence.withField(c, F.col(f"new.{c}"))
+        run = F.concat("run_id", F.lit("+"), F.lpad(F.col("new.seq").cast("string"), 12, "0"))
+        rows = old.join(new, "clause_id").withColumns({"legal_semantics": semantics, "source_evidence": evidence, "verbatim_text": F.col("new.verbatim_text"), "run_id": run, "revision_id": F.concat_ws("@", "clause_id", run)})
+        made = reliable(parse.validate(rows.drop("new", "checks", "overall_status", "review_status"), self._stored("documents")).select(*old.columns))
+        if not made.where("overall_status = 'fail'").isEmpty():
+            raise Conflict("an edited clause no longer passes its checks")
+        return made
+
+    def log_calls(self, calls: DataFrame) -> None:
+        """Append records of agent calls ``(agent_role, context, output, clause_id)``."""
+        self.tables.append("agent_calls", review.call_records(calls))
+
     def review_states(self) -> DataFrame:
         """``clause_id, review_status``: each clause's state after its last decision."""
         made = self._stored("revisions").select("clause_id", "review_status").dropDuplicates(["clause_id"])
@@ -67,7 +107,11 @@ class Engine:
         return made.join(last, "clause_id", "left").select("clause_id", F.coalesce("after", "review_status").alias("review_status"))
 
     def propose(self, changeset_id: str, controls: DataFrame | None = None, assets: DataFrame | None = None, latest: DataFrame | None = None) -> None:
-        """Append the nodes and edges of all accepted or edited clauses as one change set."""
+        """Append the nodes and edges of all accepted or edited clauses as one change set.
+
+        Without ``latest`` the regulations published last are those superseded."""
+        if latest is None:
+            latest = self.latest_regulations()
         ok = self.review_states().where(F.col("review_status").isin("accepted", "edited")).select("clause_id")
         rows = review.latest_per(self._stored("revisions").select("clause_id", "run_id", "anchor_id", "instrument", "source_version", "legal_semantics"), "clause_id", "run_id").join(ok, "clause_id")
         given = rows.select("clause_id", "anchor_id", "instrument", "source_version", F.col("legal_semantics.norm_type").alias("norm_type"), F.col("legal_semantics.actor").alias("actor"), F.xxhash64("clause_id").alias("ordinal"))
@@ -75,24 +119,39 @@ class Engine:
         self.tables.append("cs_nodes", nodes.withColumn("changeset_id", F.lit(changeset_id)))
         self.tables.append("cs_edges", edges.withColumn("changeset_id", F.lit(changeset_id)))
 
+    def regulations(self) -> DataFrame:
+        """``snapshot_id, instrument, source_version`` of all published regulations."""
+        found = None
+        for s in self.tables.snapshots().select("snapshot_id").collect():  # one short row a publication
+            some = self.tables.snapshot("snap_nodes", s.snapshot_id).where("type = 'Regulation'").select("snapshot_id", F.col("properties.instrument").alias("instrument"), F.col("properties.source_version").alias("source_version"))
+            found = some if found is None else found.unionByName(some)
+        return found
+
+    def latest_regulations(self) -> DataFrame | None:
+        if self.tables.head() is None:
+            return None
+        return graph.latest_regulation(self.regulations(), self.tables.snapshots())
+
     def _changeset(self, changeset_id: str) -> tuple[DataFrame, DataFrame]:
         return tuple(self._stored(n).where(F.col("changeset_id") == changeset_id) for n in ("cs_nodes", "cs_edges"))
 
     def validate_changeset(self, changeset_id: str) -> DataFrame:
-        """The report of all six rules; nodes of the published head count as known."""
+        """The report of all six rules; nodes of the published head count as known. It is stored under the change set."""
         nodes, edges = self._changeset(changeset_id)
         head = self.tables.head()
         known = self.tables.snapshot("snap_nodes", head).select(F.lit(changeset_id).alias("changeset_id"), "node_id", "type") if head else None
-        return graph.check_constraints(nodes, edges, known)
+        report = reliable(graph.check_constraints(nodes, edges, known))
+        self.tables.append("reports", report)
+        return report
 
     def approve(self, changeset_id: str) -> None:
         if not self.validate_changeset(changeset_id).where("status = 'fail'").isEmpty():
             raise Conflict(f"{changeset_id} breaks a rule")
-        self.tables.put_once("approvals", self.spark.createDataFrame([(changeset_id,)], "changeset_id string"), "changeset_id")
+        self.tables.put_once("approvals", changeset_id, {"changeset_id": changeset_id})
 
     def publish(self, changeset_id: str, snapshot_id: str, base: str | None, ontology_version: str = ONTOLOGY_VERSION) -> None:
         """Check approval, ontology version, all rules and the evidence anew, then publish as the new head."""
-        approved = self.tables.read("approvals")
+        approved = self.tables.records("approvals", "changeset_id string")
         if approved is None or approved.where(F.col("changeset_id") == changeset_id).isEmpty():
             raise Conflict(f"{changeset_id} is not approved")
         if ontology_version != ONTOLOGY_VERSION:
@@ -108,7 +167,7 @@ class Engine:
 
     def lineage(self, snapshot_id: str) -> list[str]:
         """The snapshot and those it supersedes, newest first; an id that is not stored ends the walk."""
-        older = {r.snapshot_id: r.superseded_snapshot_id for r in self._stored("snapshots").select("snapshot_id", "superseded_snapshot_id").collect()}  # one short row a publication
+        older = {r.snapshot_id: r.superseded_snapshot_id for r in self.tables.snapshots().select("snapshot_id", "superseded_snapshot_id").collect()}  # one short row a publication
         walk, at = [], snapshot_id
         while at and at not in walk:
             walk.append(at)
@@ -122,8 +181,58 @@ class Engine:
         named = texts.select(F.concat(F.lit("obligation:"), "clause_id").alias("obligation_id"), "clause_id", "verbatim_text", "review_status")
         return paths.join(named, "obligation_id", "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("verbatim_text", "review_status")})
 
+    def query(self, snapshot_id: str, pattern: str, filters: dict[str, str] | None = None) -> DataFrame:
+        """A named query pattern over a published snapshot; an unknown pattern is not found."""
+        parts = self.tables.snapshot("snap_nodes", snapshot_id), self.tables.snapshot("snap_edges", snapshot_id)
+        try:
+            return graph.dispatch(pattern, *parts, filters)
+        except LookupError as error:
+            raise NotFound(str(error)) from None
+
+    def article_history(self, snapshot_id: str) -> DataFrame:
+        """Each article of a snapshot's documents in the versions that its regulation supersedes, with their latest texts."""
+        ends = [F.split(c, ":", 3) for c in ("from_node_id", "to_node_id")]
+        older = self.tables.snapshot("snap_edges", snapshot_id).where("type = 'SUPERSEDES'").select(ends[0][1].alias("instrument"), ends[0][2].alias("source_version"), ends[1][2].alias("older_version")).distinct()
+        revisions = self._stored("revisions")
+        anchors = revisions.select("instrument", "source_version", T.structural_path(F.col("anchor_id"))["path"].alias("path"), "anchor_id").distinct()
+        return graph.article_texts(graph.article_history(anchors, older), revisions.select("anchor_id", "run_id", "verbatim_text"))
+
+    def export(self, snapshot_id: str, changeset_id: str, key: bytes) -> tuple[DataFrame, dict]:
+        """The exported clauses of a published snapshot and its signed manifest.
+
+        Only clauses whose whole chain of evidence resolves are exported. The manifest holds counts, the ontology version and
+        a digest over all rows in any order; it is stored beside the rows.
+        """
+        nodes, edges = (self.tables.snapshot(n, snapshot_id) for n in ("snap_nodes", "snap_edges"))
+        nodes = nodes.withColumn("clause_id", F.when(F.col("type") == "Obligation", F.col("provenance_clause_id")))
+        revisions, states, decided = self.latest_revisions(), self.review_states(), self.tables.read("decisions")
+        if decided is None:
+            raise NotFound("decisions")
+        took = decided.select(F.col("key").alias("clause_id")).distinct().withColumn("decided", F.lit(True))
+        calls = self.tables.read("agent_calls")
+        calls = calls.select("clause_id") if calls is not None else took.select("clause_id").limit(0)
+        obligations = nodes.where("type = 'Obligation'").select("clause_id")
+        sets = obligations.distinct().select("clause_id", F.lit(changeset_id).alias("changeset_id"), F.lit(snapshot_id).alias("snapshot_id"))
+        held = revisions.select("clause_id", "document_id", "run_id").join(took, "clause_id", "left")
+        chain = graph.provenance(obligations, held, self._stored("documents").select("document_id", "checksum"), calls, sets)
+        latest = states.join(revisions.select("clause_id", graph.least_confidence(F.col("governance.field_confidence")).alias("confidence")), "clause_id")
+        rows = reliable(graph.export(nodes, edges, latest, chain))
+        parts = graph.export_parts(nodes, rows).groupBy("included").agg(F.count("*").alias("n")).collect()
+        digest = rows.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*rows.columns)).alias("x"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("s")).first()
+        manifest = {"snapshot_id": snapshot_id, "changeset_id": changeset_id, "ontology_version": ONTOLOGY_VERSION, "included": sum(r.n for r in parts if r.included), "excluded": sum(r.n for r in parts if not r.included), "content": f"{digest.n}:{digest.x}:{digest.s}"}
+        manifest["signature"] = signature(json.dumps(manifest, sort_keys=True), key)
+        rows.write.mode("overwrite").json(f"{self.tables.folder}/exports/{snapshot_id}")
+        return rows, manifest
+
+    def evaluate(self, labels: DataFrame) -> DataFrame:
+        """Confusion of detection against ``labels(path, expected)`` by structural path; what has no revision was not detected."""
+        found = self.latest_revisions().select(T.structural_path(F.col("anchor_id"))["path"].alias("path")).distinct().withColumn("predicted", F.lit(True))
+        return evaluate.confusion(evaluate.labelled(labels, found))
+
     def render(self, snapshot_id: str, clause_id: str) -> str:
         """The picture of an accepted clause's proof path."""
+        if not clause_id:
+            raise Invalid("clause_id is empty")
         entry = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.regexp_replace(c, "^[^:]*:", ""))
         columns = ["provision_id", "obligation_id", "control_id", "asset_id", "evidence_id", "test_asset_id"]
         path = F.array(*[entry(k, c) for k, c in zip(render.CANONICAL, columns, strict=True)])

@@ -6,6 +6,7 @@ Patterns carry ``(?mdU)``: line anchors at line feeds only, Unicode classes.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -25,6 +26,9 @@ RELATED = r"Article\s+\d+[a-zA-Z]?(?:\(\d+\))?"
 ABSOLUTE = r"\b(\d{4})-(\d{2})-(\d{2})\b"
 RELATIVE = r"(?i)within\s+(\d+)\s+(hour|day|month|year)s?"
 ACTION_CHARS = 200
+UNTRUSTED_START, UNTRUSTED_END = "<<<UNTRUSTED>>>", "<<<END>>>"
+#: Matches whose offsets are summed in one fold.
+BLOCK = 256
 
 
 @F.arrow_udf(StringType())
@@ -49,21 +53,45 @@ def canonical_lines(text: Column) -> Column:
     return F.concat(F.regexp_replace(few, r"^\n+|\n+\z", ""), F.lit("\n"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once a row however often the body names it: a lambda's variable is not copied."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches(text: Column, pattern: str, group: int = 1) -> Column:
     """Every match in order as ``start, end, value``; ``value`` is the group. The pattern must not match nothing.
 
-    Spark gives the pieces between matches and the matches; their running lengths are the offsets.
+    Spark gives the pieces between matches and the matches; their running lengths are the offsets, summed block by block.
     """
-    pieces, found, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    parts = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("values"))
+    spot = "start:int,end:int,value:string"
+
+    def within(block: Column) -> Column:
+        """``size`` of a block and its matches' places from its start."""
+        zero = F.struct(F.lit(0).alias("size"), F.array().cast(f"array<struct<{spot}>>").alias("out"))
+
+        def step(s: Column, x: Column) -> Column:
+            start = s["size"] + x["gap"]
+            end = start + x["width"]
+            return F.struct(end.alias("size"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+
+        return F.aggregate(block, zero, step)
+
+    def placed(blocks: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<struct<{spot}>>>").alias("out"))
+
+        def step(s: Column, b: Column) -> Column:
+            moved = F.transform(b["out"], lambda x: F.struct((x["start"] + s["at"]).alias("start"), (x["end"] + s["at"]).alias("end"), x["value"].alias("value")))
+            return F.struct((s["at"] + b["size"]).alias("at"), F.concat(s["out"], F.array(moved)).alias("out"))
 
-    def step(s: Column, i: Column) -> Column:
-        start = s["at"] + F.length(F.get(pieces, i))
-        end = start + F.length(F.get(found, i))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.get(values, i).alias("value")))).alias("out"))
+        return F.flatten(F.aggregate(blocks, zero, step, lambda s: s["out"]))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-    every = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(every, zero, step, lambda s: s["out"])
+    def all_of(p: Column) -> Column:
+        each = F.transform(p["found"], lambda m, i: F.struct(F.length(F.get(p["pieces"], i)).alias("gap"), F.length(m).alias("width"), F.get(p["values"], i).alias("value")))
+        return let(each, lambda xs: placed(F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda b: within(F.slice(xs, b * BLOCK + 1, BLOCK)))))
+
+    none = F.array().cast(f"array<struct<{spot}>>")
+    return let(parts, lambda p: F.when(F.size(p["found"]) > 0, all_of(p)).otherwise(none))
 
 
 def strip(text: Column) -> Column:
@@ -152,10 +180,26 @@ def scoring_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def untrusted(text: Column, start: str = "<<<UNTRUSTED>>>", end: str = "<<<END>>>") -> Column:
+def untrusted(text: Column, start: str = UNTRUSTED_START, end: str = UNTRUSTED_END) -> Column:
     return F.concat_ws("\n", F.lit(start), text, F.lit(end))
 
 
+def safe_prompt(prompt: Column, start: str = UNTRUSTED_START, end: str = UNTRUSTED_END) -> Column:
+    """Whether a system prompt is free of the marks around untrusted text."""
+    return ~(F.contains(prompt, F.lit(start)) | F.contains(prompt, F.lit(end)))
+
+
+def structural_path(clause_id: Column) -> Column:
+    """``document_id, source_version, path`` of a clause or anchor id; null without all three."""
+    parts = F.split(clause_id, ":", 3)
+    return F.when(F.size(parts) == 3, F.struct(parts[0].alias("document_id"), parts[1].alias("source_version"), parts[2].alias("path")))
+
+
+def canonical_json(record: Column) -> Column:
+    """A map of texts as JSON with its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(record))))
+
+
 def extraction_quality(text: Column, words: Column | None = None) -> Column:
     """``confidence, warnings`` of extracted text: replacement characters, unprintables, hyphenation, broken words, short lines.
 

@@ -65,3 +65,13 @@ def chain_rates(rows: DataFrame, *by: str) -> DataFrame:
     """Of ``rows(passed, resolved)``: attempts, the share that passed, resolved, and the integrity rate, the lesser of the two."""
     made = rows.groupBy(*by).agg(F.count("*").alias("attempts"), F.round(F.avg(F.col("passed").cast("int")), 6).alias("success"), F.round(F.avg(F.col("resolved").cast("int")), 6).alias("resolves"))
     return made.withColumn("integrity", F.least("success", "resolves"))
+
+
+def labelled(labels: DataFrame, predictions: DataFrame, key: str = "path") -> DataFrame:
+    """``labels`` with ``predicted``: what ``predictions(key, predicted)`` say of the same path, false where they say nothing."""
+    return labels.join(predictions.select(key, "predicted"), key, "left").withColumn("predicted", F.coalesce("predicted", F.lit(False)))
+
+
+def shares(rows: DataFrame, conditions: dict[str, Column], *by: str) -> DataFrame:
+    """The share of rows for which each condition holds; a null does not."""
+    return rows.groupBy(*by).agg(*[F.round(F.avg(F.coalesce(c, F.lit(False)).cast("int")), 6).alias(name) for name, c in conditions.items()])

@@ -102,31 +102,35 @@ def check_constraints(nodes: DataFrame, edges: DataFrame, published: DataFrame |
     ``nodes(changeset_id, node_id, type)``, ``edges(changeset_id, from_node_id, to_node_id, type)``; ``published`` has
     the nodes of each change set's base snapshot. All six rules run; the first offender is the least by name.
     """
-    spark = nodes.sparkSession
     typed = typed_edges(nodes, edges, published)
-    count = lambda rel, to: F.count_if((F.col("type") == rel) & (F.col("to_type") == to))
-    counts = typed.groupBy("changeset_id", F.col("from_node_id").alias("node_id")).agg(count("DERIVED_FROM", "Provision").alias("derived"), count("IMPOSES_ON", "Actor").alias("imposes"))
-    obligations = nodes.where("type = 'Obligation'").select("changeset_id", "node_id").join(counts, ["changeset_id", "node_id"], "left")
     edge = F.concat_ws("|", "from_node_id", "type", "to_node_id")
     dangling = F.col("from_type").isNull() | F.col("to_type").isNull()
-    pairs = allowed_pairs(spark).withColumn("ok", F.lit(True))  # a constant of this module
-    paired = typed.where(~dangling).join(F.broadcast(pairs), ["type", "from_type", "to_type"], "left")
-    bad = [
-        obligations.where(F.coalesce("derived", F.lit(0)) != 1).select("changeset_id", F.col("node_id").alias("offender")),
-        obligations.where(F.coalesce("imposes", F.lit(0)) < 1).select("changeset_id", F.col("node_id").alias("offender")),
-        typed.where(F.expr("type = 'MAPS_TO_CONTROL' and not (coalesce(from_type, '') in ('Obligation', 'Risk') and coalesce(to_type, '') = 'Control')")).select("changeset_id", edge.alias("offender")),
-        typed.where(F.expr("type = 'EVIDENCED_BY' and coalesce(to_type, '') not in ('EvidenceRequirement', 'TestAsset')")).select("changeset_id", edge.alias("offender")),
-        typed.where(dangling).select("changeset_id", edge.alias("offender")),
-        paired.where("ok is null").select("changeset_id", edge.alias("offender")),
+    pairs = [f"{r}|{a}|{b}" for r, allowed in ALLOWED.items() for a, b in allowed]
+    to = lambda rel, kind: (F.coalesce((F.col("type") == rel) & (F.col("to_type") == kind), F.lit(False))).cast("int")
+    derived, imposes = to("DERIVED_FROM", "Provision"), to("IMPOSES_ON", "Actor")
+    # A row for each broken rule of an edge, one for what it adds to its obligation (rule -1), and one for its change set (rule -2).
+    row = lambda rule, offender, d=F.lit(0), i=F.lit(0), known=F.lit(True): F.struct(F.lit(rule).alias("rule"), offender.alias("offender"), d.alias("derived"), i.alias("imposes"), known.alias("known"))
+    none = F.lit(None).cast("string")
+    broken = [
+        (2, F.expr("type = 'MAPS_TO_CONTROL' and not (coalesce(from_type, '') in ('Obligation', 'Risk') and coalesce(to_type, '') = 'Control')")),
+        (3, F.expr("type = 'EVIDENCED_BY' and coalesce(to_type, '') not in ('EvidenceRequirement', 'TestAsset')")),
+        (4, dangling),
+        (5, ~dangling & ~F.concat_ws("|", "type", "from_type", "to_type").isin(pairs)),
     ]
-    found = None
-    for rule, rows in enumerate(bad):
-        rows = rows.select("changeset_id", F.lit(rule).alias("rule"), "offender")
-        found = rows if found is None else found.unionByName(rows)
-    tally = found.groupBy("changeset_id", "rule").agg(F.count("*").alias("offending"), F.min("offender").alias("first_offender"))
-    every = nodes.select("changeset_id").union(edges.select("changeset_id")).distinct().select("changeset_id", F.explode(F.sequence(F.lit(0), F.lit(len(RULES) - 1))).alias("rule"))
+    adds = F.when(derived + imposes > 0, row(-1, F.col("from_node_id"), derived, imposes, F.lit(False)))
+    of_edges = typed.select("changeset_id", F.explode(F.array_compact(F.array(row(-2, none), adds, *[F.when(c, row(rule, edge)) for rule, c in broken]))).alias("x"))
+    of_nodes = nodes.select("changeset_id", F.explode(F.array_compact(F.array(row(-2, none), F.when(F.col("type") == "Obligation", row(-1, F.col("node_id")))))).alias("x"))
+    each = of_edges.unionByName(of_nodes).groupBy("changeset_id", "x.rule", "x.offender").agg(F.count("*").alias("n"), F.sum("x.derived").alias("derived"), F.sum("x.imposes").alias("imposes"), F.bool_or("x.known").alias("known"))
+    fault = lambda rule, n: F.struct(F.lit(rule).alias("rule") if isinstance(rule, int) else rule.alias("rule"), F.when(n > 0, F.col("offender")).alias("offender"), n.cast("long").alias("n"))
+    one, zero = F.lit(1), F.lit(0)
+    faults = (
+        F.when(F.col("rule") == -2, F.array(*[fault(k, zero) for k in range(len(RULES))]))
+        .when(F.col("rule") == -1, F.array_compact(F.array(F.when(F.col("derived") != 1, fault(0, one)), F.when(F.col("imposes") < 1, fault(1, one)))))
+        .otherwise(F.array(fault(F.col("rule"), F.col("n"))))
+    )
+    tally = each.where("known").select("changeset_id", F.explode(faults).alias("f")).groupBy("changeset_id", "f.rule").agg(F.sum("f.n").alias("offending"), F.min("f.offender").alias("first_offender"))
     names = F.element_at(F.array(*map(F.lit, RULES)), F.col("rule") + 1)
-    return every.join(tally, ["changeset_id", "rule"], "left").select("changeset_id", names.alias("rule_name"), F.when(F.col("offending") > 0, "fail").otherwise("pass").alias("status"), F.coalesce("offending", F.lit(0)).cast("long").alias("offending"), "first_offender")
+    return tally.select("changeset_id", names.alias("rule_name"), F.when(F.col("offending") > 0, "fail").otherwise("pass").alias("status"), "offending", "first_offender")
 
 
 def report_status(report: DataFrame) -> DataFrame:
@@ -238,3 +242,76 @@ def type_sets(nodes: DataFrame, edges: DataFrame, key: str = "snapshot_id") -> D
     a = nodes.groupBy(key).agg(F.array_sort(F.collect_set("type")).alias("node_types"))
     b = edges.groupBy(key).agg(F.array_sort(F.collect_set("type")).alias("edge_types"))
     return a.join(b, key, "left").withColumn("edge_types", F.coalesce("edge_types", F.array().cast("array<string>")))
+
+
+def latest_regulation(regulations: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """``instrument, source_version, snapshot_id`` of the regulation published last for each instrument.
+
+    ``regulations(snapshot_id, instrument, source_version)``, ``snapshots(snapshot_id, publish_seq)``; a snapshot that is not
+    published does not count.
+    """
+    shown = regulations.join(snapshots.select("snapshot_id", "publish_seq"), "snapshot_id")
+    last = shown.groupBy("instrument").agg(F.max_by(F.struct("source_version", "snapshot_id"), F.struct("publish_seq", "source_version")).alias("r"))
+    return last.select("instrument", "r.*")
+
+
+def regulation_first_published(regulations: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """``instrument, source_version, snapshot_id``: the oldest published snapshot of each version, which a supersession points to."""
+    shown = regulations.join(snapshots.select("snapshot_id", "publish_seq"), "snapshot_id")
+    return shown.groupBy("instrument", "source_version").agg(F.min_by("snapshot_id", "publish_seq").alias("snapshot_id"))
+
+
+def strict_edges(nodes: DataFrame, edges: DataFrame, key: str = "snapshot_id") -> DataFrame:
+    """The edges of which both ends are nodes under the same key."""
+    end = lambda name: nodes.select(key, F.col("node_id").alias(name)).distinct()
+    return edges.join(end("from_node_id"), [key, "from_node_id"], "left_semi").join(end("to_node_id"), [key, "to_node_id"], "left_semi").select(*edges.columns)
+
+
+def last_changesets(changesets: DataFrame) -> DataFrame:
+    """``clause_id, changeset_id, published_snapshot_id``: the last published change set that each clause is a source of.
+
+    ``changesets(changeset_id, create_seq, status, published_snapshot_id, source_clause_ids)``.
+    """
+    each = changesets.where("status = 'published'").select("changeset_id", "create_seq", "published_snapshot_id", F.explode("source_clause_ids").alias("clause_id"))
+    return each.groupBy("clause_id").agg(F.max_by(F.struct("changeset_id", "published_snapshot_id"), "create_seq").alias("c")).select("clause_id", "c.*")
+
+
+def export_parts(nodes: DataFrame, exported: DataFrame) -> DataFrame:
+    """``snapshot_id, clause_id, included``: each obligation of a snapshot and whether the export has it."""
+    every = nodes.where("type = 'Obligation'").select("snapshot_id", "clause_id")
+    return every.join(exported.select("snapshot_id", "clause_id").distinct().withColumn("included", F.lit(True)), ["snapshot_id", "clause_id"], "left").select("snapshot_id", "clause_id", F.coalesce("included", F.lit(False)).alias("included"))
+
+
+def article_texts(history: DataFrame, revisions: DataFrame) -> DataFrame:
+    """``history(anchor_id, hops, older_anchor_id)`` with the latest revision of the older anchor: ``revisions(anchor_id, run_id, verbatim_text)``."""
+    last = revisions.groupBy("anchor_id").agg(F.max_by(F.struct("run_id", "verbatim_text"), "run_id").alias("r")).select(F.col("anchor_id").alias("older_anchor_id"), "r.run_id", "r.verbatim_text")
+    return history.join(last, "older_anchor_id", "left").select("anchor_id", "hops", "older_anchor_id", "run_id", "verbatim_text")
+
+
+#: Types that a mapping is scored on.
+SCORED_NODES, SCORED_EDGES = ("Obligation", "Provision", "Actor"), ("DERIVED_FROM", "IMPOSES_ON")
+
+
+def mapping_scores(found: DataFrame, expected: DataFrame, key: str = "snapshot_id") -> DataFrame:
+    """``key, nodes, edges, macro``: F1 of the sets of scored node and edge types under each key, and their mean."""
+    from normloom.operators.evaluate import set_scores
+
+    pairs = expected.alias("e").join(found.alias("f"), F.col(f"e.{key}") == F.col(f"f.{key}"), "left")
+    of = lambda side, name, allowed: F.array_intersect(F.coalesce(F.col(f"{side}.{name}"), F.array().cast("array<string>")), F.array(*map(F.lit, allowed)))
+    score = lambda name, allowed: set_scores(of("e", name, allowed), of("f", name, allowed))["f1"]
+    both = pairs.select(F.col(f"e.{key}").alias(key), score("node_types", SCORED_NODES).alias("nodes"), score("edge_types", SCORED_EDGES).alias("edges"))
+    return both.withColumn("macro", (F.col("nodes") + F.col("edges")) / 2)
+
+
+def dispatch(pattern: str, nodes: DataFrame, edges: DataFrame, filters: dict[str, str] | None = None) -> DataFrame:
+    """The rows of a named query pattern, ``proof_path`` or ``coverage``; ``filters`` keep rows whose columns have these values.
+    An unknown pattern or column is an error."""
+    patterns = {"proof_path": proof_paths, "coverage": coverage}
+    if pattern not in patterns:
+        raise LookupError(pattern)
+    rows = patterns[pattern](nodes, edges)
+    for name, value in (filters or {}).items():
+        if name not in rows.columns:
+            raise LookupError(name)
+        rows = rows.where(F.col(name) == value)
+    return rows

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normloom.functions import text as T
@@ -14,27 +14,25 @@ def anchors(docs: DataFrame) -> DataFrame:
     """Structural spans of ``docs(document_id, source_version, canonical_text)``: an article row before its paragraphs.
 
     ``anchor_id, type, label, char_start, char_end, parent_anchor_id, ordinal``. The first annex heading
-    ends the last article; a text without an article heading is one anchor.
+    ends the last article; a text without an article heading is one anchor. All spans of a text are made in its own row.
     """
-    size = F.length("canonical_text")
+    text, none = F.col("canonical_text"), F.lit(None).cast("string")
     annex = F.regexp_instr("canonical_text", F.lit(T.ANNEX))
-    base = docs.select("document_id", "source_version", "canonical_text", F.when(annex > 0, annex - 1).otherwise(size).alias("ceiling"), T.matches(F.col("canonical_text"), T.ARTICLE).alias("heads"))
-    ident = lambda path: F.concat_ws(":", "document_id", "source_version", path)
-    within = F.filter("heads", lambda h: h["start"] < F.col("ceiling"))
-    spans = F.transform(within, lambda h, i: F.struct(h["start"].alias("start"), F.coalesce(F.get(within, i + 1)["start"], F.col("ceiling")).alias("end"), h["value"].alias("number"), h["end"].alias("body")))
-    articles = base.select("document_id", "source_version", "canonical_text", F.explode(spans).alias("a")).select("document_id", "source_version", "canonical_text", "a.*")
-    body = F.substring(F.col("canonical_text"), F.col("body") + 1, F.col("end") - F.col("body"))
-    articles = articles.withColumn("marks", T.matches(body, T.PARAGRAPH))
-    path = F.concat(F.lit("article-"), "number")
-    whole = base.where(F.size(within) == 0).select("document_id", "source_version", ident(F.lit("document")).alias("anchor_id"), F.lit("article").alias("type"), F.lit(None).cast("string").alias("label"), F.lit(0).alias("char_start"), F.length("canonical_text").alias("char_end"), F.lit(None).cast("string").alias("parent_anchor_id"))
-    top = articles.select("document_id", "source_version", ident(path).alias("anchor_id"), F.lit("article").alias("type"), F.concat(F.lit("Article "), "number").alias("label"), F.col("start").alias("char_start"), F.col("end").alias("char_end"), F.lit(None).cast("string").alias("parent_anchor_id"))
-    inner = F.transform("marks", lambda m, i: F.struct((F.col("body") + m["start"]).alias("start"), F.coalesce(F.col("body") + F.get("marks", i + 1)["start"], F.col("end")).alias("end"), m["value"].alias("paragraph")))
-    parts = articles.select("document_id", "source_version", "number", F.explode(inner).alias("p")).select(
-        "document_id", "source_version", ident(F.concat(path, F.lit("/paragraph-"), "p.paragraph")).alias("anchor_id"), F.lit("paragraph").alias("type"),
-        F.concat(F.lit("Article "), "number", F.lit("("), "p.paragraph", F.lit(")")).alias("label"), F.col("p.start").alias("char_start"), F.col("p.end").alias("char_end"), ident(path).alias("parent_anchor_id"),
-    )
-    order = Window.partitionBy("document_id", "source_version").orderBy("char_start", "type", "anchor_id")
-    return whole.unionByName(top).unionByName(parts).withColumn("ordinal", F.row_number().over(order) - 1)
+    base = docs.select("document_id", "source_version", "canonical_text", F.when(annex > 0, annex - 1).otherwise(F.length(text)).alias("ceiling"))
+    span = lambda kind, label, path, start, end, parent: F.struct(F.lit(kind).alias("type"), label.alias("label"), path.alias("path"), start.cast("int").alias("char_start"), end.cast("int").alias("char_end"), parent.alias("parent"))
+
+    def article(h: Column, end: Column) -> Column:
+        path, name = F.concat(F.lit("article-"), h["value"]), F.concat(F.lit("Article "), h["value"])
+        body = F.substring(text, h["end"] + 1, end - h["end"])
+        inner = lambda marks: F.transform(marks, lambda m, i: span("paragraph", F.concat(name, F.lit("("), m["value"], F.lit(")")), F.concat(path, F.lit("/paragraph-"), m["value"]), h["end"] + m["start"], F.coalesce(h["end"] + F.get(marks, i + 1)["start"], end), path))
+        return F.concat(F.array(span("article", name, path, h["start"], end, none)), T.let(T.matches(body, T.PARAGRAPH), inner))
+
+    whole = F.array(span("article", none, F.lit("document"), F.lit(0), F.length(text), none))
+    under = F.filter(T.matches(text, T.ARTICLE), lambda h: h["start"] < F.col("ceiling"))
+    every = T.let(under, lambda hs: F.when(F.size(hs) == 0, whole).otherwise(F.flatten(F.transform(hs, lambda h, i: article(h, F.coalesce(F.get(hs, i + 1)["start"], F.col("ceiling")))))))
+    ident = lambda path: F.when(path.isNotNull(), F.concat_ws(":", "document_id", "source_version", path))
+    rows = base.select("document_id", "source_version", F.posexplode(every).alias("ordinal", "s"))
+    return rows.select("document_id", "source_version", ident(F.col("s.path")).alias("anchor_id"), "s.type", "s.label", "s.char_start", "s.char_end", ident(F.col("s.parent")).alias("parent_anchor_id"), "ordinal")
 
 
 def collisions(found: DataFrame) -> DataFrame:
@@ -59,15 +57,36 @@ def broken_words(docs: DataFrame, dictionary: DataFrame | None, key: str = "docu
 
 def register(batch: DataFrame, known: DataFrame) -> DataFrame:
     """Outcome of each row of ``batch(instrument, source_version, checksum, arrival)`` against ``known``
-    documents and the rows before it: ``existing`` (200), ``conflict`` (409) or ``created`` (201)."""
+    documents and the rows before it: ``existing`` (200), ``conflict`` (409) or ``created`` (201).
+
+    The first row of a document decides, so each task hands on one row a document and none is sorted. Rows of
+    one document that arrive at once are ordered by checksum; of equal ones the first created is counted once by its place.
+    """
     keys = ["instrument", "source_version"]
-    held = known.select(*keys, F.col("checksum").alias("held")).dropDuplicates(keys)
-    first = Window.partitionBy(*keys).orderBy("arrival").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = batch.join(held, keys, "left").withColumn("first_checksum", F.coalesce("held", F.first("checksum").over(first))).withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("arrival")))
-    outcome = F.when(F.col("first_checksum") != F.col("checksum"), "conflict").when(F.col("held").isNotNull() | (F.col("place") > 1), "existing").otherwise("created")
+    held = known.groupBy(*keys).agg(F.min("checksum").alias("held"))
+    first = batch.groupBy(*keys).agg(F.min(F.struct("arrival", "checksum")).alias("first"))
+    # Grouping again by a further column leaves a layout that the join cannot reuse, so a document of very many rows can be split.
+    heads = first.join(held, keys, "left").select(*[F.col(k).alias(f"head_{k}") for k in keys], "held", "first")
+    seen = batch.join(heads, [F.col(k).eqNullSafe(F.col(f"head_{k}")) for k in keys], "left")
+    head = F.coalesce("held", "first.checksum")
+    is_first = F.struct("arrival", "checksum").eqNullSafe(F.col("first"))
+    outcome = F.when(~head.eqNullSafe(F.col("checksum")), "conflict").when(F.col("held").isNotNull() | ~is_first, "existing").otherwise("created")
     return seen.select(*batch.columns, outcome.alias("outcome"), F.when(outcome == "created", 201).when(outcome == "existing", 200).otherwise(409).alias("status"))
 
 
+def confidence_gate(texts: DataFrame, least: float = 0.5, text: str = "text") -> DataFrame:
+    """``texts`` plus ``confidence, warnings, accepted``: what extraction with less confidence yields is refused."""
+    judged = texts.withColumn("quality", T.extraction_quality(F.col(text)))
+    return judged.select(*texts.columns, "quality.confidence", "quality.warnings", (F.col("quality.confidence") >= least).alias("accepted"))
+
+
+def id_violations(obligations: DataFrame) -> DataFrame:
+    """``clause_id, broken``: ids that stand for more than one record, and ids that do not begin with their document and version."""
+    twice = obligations.groupBy("clause_id").agg(F.count("*").alias("n")).where("n > 1").select("clause_id", F.lit("repeated").alias("broken"))
+    prefix = F.concat_ws(":", "document_id", "source_version", F.lit(""))
+    return twice.unionByName(obligations.where(~F.coalesce(F.startswith("clause_id", prefix), F.lit(False))).select("clause_id", F.lit("prefix").alias("broken")))
+
+
 def detect(spans: DataFrame, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Paragraph spans with ``verbatim_text`` plus ``matched_modal, is_normative_candidate``; ``refine`` may revise them."""
     found = spans.where("type = 'paragraph'").withColumn("matched_modal", T.detected_modal(F.col("verbatim_text"))).withColumn("is_normative_candidate", F.col("matched_modal").isNotNull())

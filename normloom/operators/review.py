@@ -100,3 +100,44 @@ def call_records(calls: DataFrame) -> DataFrame:
     """Append-only records of agent calls: ``calls(agent_role, context, output, clause_id)`` with hashes of input, context and output."""
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
     return calls.select("agent_role", "clause_id", digest("context").alias("input_hash"), digest("context").alias("context_hash"), digest("output").alias("output_hash"))
+
+
+def history_violations(states: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``key`` of accepted or edited records (``key, review_status``) whose log is empty or has an entry without a rationale."""
+    blank = F.count_if(F.trim(F.coalesce("rationale", F.lit(""))) == "")
+    held = decisions.groupBy("key").agg(F.count("*").alias("entries"), blank.alias("blank"))
+    joined = states.where(F.col("review_status").isin("accepted", "edited")).join(held, "key", "left")
+    return joined.where((F.coalesce("entries", F.lit(0)) == 0) | (F.col("blank") > 0)).select("key")
+
+
+def unseen_acts(acts: DataFrame, views: DataFrame) -> DataFrame:
+    """``acts(session, key, at)`` of a record that the session had not viewed before; ``views(session, key, at)``."""
+    first = views.groupBy("session", "key").agg(F.min("at").alias("viewed"))
+    return acts.join(first, ["session", "key"], "left").where(F.col("viewed").isNull() | (F.col("viewed") > F.col("at"))).drop("viewed")
+
+
+def all_calls(held: DataFrame, stored: DataFrame) -> DataFrame:
+    """Agent calls in memory and stored ones, each id once; ``id`` beside any columns that both have."""
+    return held.unionByName(stored).dropDuplicates(["id"])
+
+
+#: What each event makes of a parse job; any other pair leaves it. The last two states are final.
+JOB_STATES = {("queued", "start"): "running", ("running", "finish"): "completed", ("running", "fail"): "failed", ("queued", "fail"): "failed"}
+
+
+def job_states(events: DataFrame) -> DataFrame:
+    """``key, state`` of parse jobs after all ``events(key, seq, event)`` in order; a job begins as queued."""
+    log = events.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("seq", "event"))).alias("log"))
+
+    def step(state: Column, x: Column) -> Column:
+        new = state
+        for (before, event), after in JOB_STATES.items():
+            new = F.when((state == before) & (x["event"] == event), F.lit(after)).otherwise(new)
+        return new
+
+    return log.select("key", F.aggregate("log", F.lit("queued"), step).alias("state"))
+
+
+def refused_fields(edits: DataFrame, editable: list[str]) -> DataFrame:
+    """``edits(key, field, value)`` of fields that an editor may not change."""
+    return edits.where(~F.coalesce(F.col("field").isin(editable), F.lit(False)))

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import json
+from collections.abc import Callable
+from uuid import uuid4
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ALLOWED_SUFFIXES = (".txt", ".xml", ".html", ".pdf")
@@ -25,9 +29,25 @@ class NotFound(LookupError):
     code, status = "not_found", 404
 
 
-def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """``path, length, checksum, text, outcome``: files of allowed kinds and sizes; bytes that are not UTF-8 are refused."""
+class Invalid(ValueError):
+    """A request that cannot be served as it stands (status 400)."""
+
+    code, status = "invalid_request", 400
+
+
+def envelope(error: Exception) -> tuple[int, dict]:
+    """Status and body of an error; what is not an error of this library is an internal one."""
+    code, status = getattr(error, "code", "internal_error"), getattr(error, "status", 500)
+    return status, {"error": {"code": code, "message": str(error) if status != 500 else "internal error", "details": []}}
+
+
+def read_artifacts(spark: SparkSession, path: str, harmless: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``path, length, checksum, text, outcome``: files of allowed kinds and sizes; bytes that are not UTF-8 are refused.
+
+    ``harmless`` may leave out files, such as those that a scanner refuses, before anything of them is kept.
+    """
     files = spark.read.format("binaryFile").load(path)
+    files = files.transform(harmless) if harmless else files
     suffix = F.lower(F.regexp_extract("path", r"\.[^./]+$", 0))
     body = F.col("content").cast("string")
     ok = suffix.isin(*ALLOWED_SUFFIXES)
@@ -53,36 +73,101 @@ class Tables:
                 return None
             raise
 
-    def put_once(self, name: str, rows: DataFrame, key: str) -> None:
-        """Append rows whose keys are new; any key that is stored already is a conflict and nothing is written."""
-        held = self.read(name)
-        if held is not None and not rows.join(held.select(key), key, "left_semi").isEmpty():
-            raise Conflict(f"{name}: a {key} is stored already")
-        self.append(name, rows)
+    def commit(self, name: str, key: str, record: dict) -> None:
+        """Store ``record`` under ``key``, all of it or nothing; a key that is taken is a conflict, whoever took it.
 
-    def publish(self, snapshot_id: str, nodes: DataFrame, edges: DataFrame, base: str | None) -> None:
-        """Write a snapshot's nodes and edges, then the row that makes it visible.
+        The record is written aside and then renamed, which fails if the name is there already.
+        """
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        hadoop = jvm.org.apache.hadoop.fs
+        aside, place = (hadoop.Path(f"{self.folder}/{name}/{f}.json") for f in (f"_{uuid4().hex}", key))
+        files = place.getFileSystem(conf)
+        out = files.create(aside, False)
+        out.write(bytearray(json.dumps(record, sort_keys=True).encode()))
+        out.close()
+        plain = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        try:
+            hadoop.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(aside), files.makeQualified(place), plain)
+        except Py4JJavaError as error:
+            files.delete(aside, False)
+            if "FileAlreadyExists" in str(error):
+                raise Conflict(f"{name}: {key} is stored already") from None
+            raise
 
-        Readers join ``snapshots``, so a write that breaks off before the last step shows nothing. Equal
-        edges are kept once. The base must be the head.
+    def records(self, name: str, schema: str) -> DataFrame | None:
+        """All records that ``commit`` stored under ``name``."""
+        try:
+            return self.spark.read.schema(schema).json(f"{self.folder}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+
+    def put_once(self, name: str, key: str, record: dict) -> None:
+        """A record whose key is written once; its file is named by the key's digest."""
+        self.commit(name, hashlib.sha256(key.encode()).hexdigest(), record)
+
+    def audit(self, actor: str, action: str, target: str, at: str, trace_id: str = "") -> None:
+        """Append to the log of what was done; nothing here changes or removes an entry."""
+        self.commit("audit", uuid4().hex, {"actor": actor, "action": action, "target": target, "at": at, "trace_id": trace_id})
+
+    def publish(self, snapshot_id: str, nodes: DataFrame, edges: DataFrame, base: str | None, strict: bool = False) -> None:
+        """Write a snapshot's nodes and edges, then the record that makes it visible.
+
+        Each attempt writes to a folder of its own, which only the record names, so a write that breaks off shows nothing and does
+        a later one no harm. Of two publishers on one base the second finds the next number taken. Equal
+        edges are kept once; with ``strict`` those without both ends are left out. The base must be the head.
         """
-        if self.head() != base:
-            raise Conflict(f"the head is {self.head()}, not {base}")
-        for name, rows in (("snap_nodes", nodes), ("snap_edges", edges.dropDuplicates(["from_node_id", "to_node_id", "type"]))):
-            rows.withColumn("snapshot_id", F.lit(snapshot_id)).write.mode("append").partitionBy("snapshot_id").parquet(f"{self.folder}/{name}")
-        shown = self.read("snapshots")
-        seq = 1 if shown is None else shown.agg(F.max("publish_seq")).first()[0] + 1
-        self.append("snapshots", self.spark.createDataFrame([(snapshot_id, seq, base)], "snapshot_id string, publish_seq long, superseded_snapshot_id string"))
+        shown = self._snapshots()
+        head = None if shown is None else shown.agg(F.max_by(F.struct("snapshot_id", "publish_seq"), "publish_seq").alias("h")).first().h
+        if (head.snapshot_id if head else None) != base:
+            raise Conflict(f"the head is {head.snapshot_id if head else None}, not {base}")
+        if shown is not None and not shown.where(F.col("snapshot_id") == snapshot_id).isEmpty():
+            raise Conflict(f"{snapshot_id} is published already")
+        attempt, once = uuid4().hex, edges.dropDuplicates(["from_node_id", "to_node_id", "type"])
+        if strict:
+            for end in ("from_node_id", "to_node_id"):
+                once = once.join(nodes.select(F.col("node_id").alias(end)).distinct(), end, "left_semi")
+        for name, rows in (("snap_nodes", nodes), ("snap_edges", once)):
+            rows.withColumn("snapshot_id", F.lit(snapshot_id)).write.parquet(f"{self.folder}/{name}/{attempt}")
+        seq = head.publish_seq + 1 if head else 1
+        self.commit("snapshots", f"{seq:012d}", {"snapshot_id": snapshot_id, "publish_seq": seq, "superseded_snapshot_id": base, "attempt": attempt})
+
+    def _snapshots(self) -> DataFrame | None:
+        return self.records("snapshots", "snapshot_id string, publish_seq long, superseded_snapshot_id string, attempt string")
+
+    def snapshots(self) -> DataFrame:
+        shown = self._snapshots()
+        if shown is None:
+            raise NotFound("snapshots")
+        return shown.drop("attempt")
 
     def head(self) -> str | None:
-        shown = self.read("snapshots")
+        shown = self._snapshots()
         return None if shown is None else shown.agg(F.max_by("snapshot_id", "publish_seq")).first()[0]
 
     def snapshot(self, name: str, snapshot_id: str) -> DataFrame:
-        shown = self.read("snapshots")
-        if shown is None or shown.where(F.col("snapshot_id") == snapshot_id).isEmpty():
+        shown = self._snapshots()
+        found = None if shown is None else shown.where(F.col("snapshot_id") == snapshot_id).first()
+        if found is None:
             raise NotFound(snapshot_id)
-        return self.read(name).where(F.col("snapshot_id") == snapshot_id)
+        return self.spark.read.parquet(f"{self.folder}/{name}/{found.attempt}")
+
+
+def read_dictionary(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """``word``, in lower case, of the first word list among ``paths`` that exists; null if none does."""
+    for path in paths:
+        try:
+            lines = spark.read.text(path)
+        except AnalysisException:
+            continue
+        return lines.select(F.lower(F.trim("value")).alias("word")).where("word != ''").distinct()
+    return None
+
+
+def read_relation(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
+    """A table of a database by its JDBC address, whose driver the session must have."""
+    return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
 
 
 def signature(manifest: str, key: bytes) -> str:
@@ -114,3 +199,8 @@ class ToolPolicy:
 
     def allows(self, tool: str, provider: str) -> bool:
         return provider in self.providers and self.tools.get(tool) in self.categories
+
+    def allowed(self, tool: Column, provider: Column) -> Column:
+        """``allows`` for columns: a tool that is not registered, and a null, is refused."""
+        good = [t for t, category in sorted(self.tools.items()) if category in self.categories]
+        return F.coalesce(provider.isin(*sorted(self.providers)) & tool.isin(*good), F.lit(False))

@@ -21,6 +21,16 @@ def first_of_key(requests: DataFrame, key: str = "idempotency_key", late: str =
     return requests.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+def without_key(requests: DataFrame, key: str = "idempotency_key") -> DataFrame:
+    """Requests that change something and carry no idempotency key."""
+    return requests.where(F.upper("method").isin("POST", "PUT", "PATCH", "DELETE") & (F.trim(F.coalesce(key, F.lit(""))) == ""))
+
+
+def traced(batch: DataFrame, batch_id: int, prefix: str = "batch") -> DataFrame:
+    """The rows of a micro-batch with its ``trace_id``, the same whenever the batch is run again."""
+    return batch.withColumn("trace_id", F.lit(f"{prefix}-{batch_id}"))
+
+
 def sessions(hits: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     counted = hits.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "client").agg(F.count("*").alias("hits"))
     return counted.select("client", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "hits")

@@ -1,11 +1,12 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from normloom.engine import Engine
 from normloom.operators import evaluate, graph, render, resolve, review
-from normloom.sources.store import Conflict, NotFound, read_artifacts, signature, verified
+from normloom.sources.store import Conflict, Invalid, NotFound, Tables, envelope, read_artifacts, read_dictionary, read_labels, signature, verified
 from normloom.streaming import requests
 
 TEXT = "Article 21\n1. The operator shall notify the competent authority within 30 days.\n2. The operator may wait.\n"
@@ -136,3 +137,117 @@ def test_streamed_limit_equals_batch(spark, tmp_path):
 def test_latest_and_rate(spark):
     rows = spark.createDataFrame([("k", 1, "x"), ("k", 3, "z"), ("k", 2, "y"), ("l", 1, None)], "key string, at int, v string")
     assert {r.key: r.v for r in review.latest_per(rows, "key", "at").collect()} == {"k": "z", "l": None}
+
+
+RAW = "instrument string, source_version string, text string, arrival int"
+LOG = "key string, decided timestamp, seq long, action string, rationale string"
+
+
+def accepted_engine(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    engine.register_documents(spark.createDataFrame([("NIS2", "v1", TEXT, 1)], RAW))
+    engine.parse("run1")
+    clauses = sorted(r.clause_id for r in engine.review_states().collect())
+    engine.decide(spark.createDataFrame([(c, dt.datetime(2024, 1, 1), i, "accept", "good") for i, c in enumerate(clauses)], LOG))
+    return engine, clauses
+
+
+def test_successive_batches_are_created_and_counted(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    for version, changed in (("v1", TEXT), ("v2", TEXT.replace("30", "10")), ("v3", TEXT.replace("30", "20"))):
+        assert [r.outcome for r in engine.register_documents(spark.createDataFrame([("NIS2", version, changed, 1)], RAW)).collect()] == ["created"]
+        assert [(r.instrument, r.total) for r in engine.parse(version).collect()] == [("NIS2", 2)]
+    assert engine.tables.read("documents").count() == 3 and engine.tables.read("revisions").count() == 6
+
+
+def test_broken_off_publication_leaves_nothing(spark, tmp_path, monkeypatch):
+    engine, _ = accepted_engine(spark, tmp_path)
+    engine.propose("cs1")
+    engine.approve("cs1")
+    real = engine.tables.commit
+    monkeypatch.setattr(engine.tables, "commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        engine.publish("cs1", "snap_1", None)
+    assert engine.tables.head() is None
+    monkeypatch.setattr(engine.tables, "commit", real)
+    engine.publish("cs1", "snap_1", None)
+    nodes = engine.tables.snapshot("snap_nodes", "snap_1")
+    assert nodes.count() == nodes.select("node_id").distinct().count() > 0
+    with pytest.raises(Conflict):
+        engine.tables.commit("snapshots", f"{1:012d}", {})
+    with pytest.raises(Conflict):
+        engine.approve("cs1")
+    assert engine.tables.read("reports").count() >= 6 and not [f for f in (tmp_path / "snapshots").iterdir() if f.name.startswith("_")]
+
+
+def test_edits_make_a_validated_revision(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    engine.register_documents(spark.createDataFrame([("NIS2", "v1", TEXT, 1)], RAW))
+    engine.parse("run1")
+    clause = min(r.clause_id for r in engine.review_states().collect())
+    log = spark.createDataFrame([(clause, dt.datetime(2024, 1, 1), 1, "edit", "better")], LOG)
+    edit = lambda field, value: spark.createDataFrame([(clause, 1, field, value)], "clause_id string, seq long, field string, value string")
+    with pytest.raises(Invalid):
+        engine.decide(log, edit("review_status", "accepted"))
+    with pytest.raises(Conflict):
+        engine.decide(log, edit("verbatim_text", "not what the document says"))
+    engine.decide(log, edit("action", "notify at once"))
+    assert [r.legal_semantics.action == "notify at once" for r in engine.revisions(clause).collect()] == [False, True]
+    assert {r.clause_id: r.review_status for r in engine.review_states().collect()}[clause] == "edited"
+
+
+def test_export_query_and_evaluate(spark, tmp_path):
+    engine, clauses = accepted_engine(spark, tmp_path)
+    engine.log_calls(spark.createDataFrame([("extract", "c", "o", clauses[0])], "agent_role string, context string, output string, clause_id string"))
+    engine.propose("cs1")
+    engine.approve("cs1")
+    engine.publish("cs1", "snap_1", None)
+    rows, manifest = engine.export("snap_1", "cs1", b"k")
+    assert [r.clause_id for r in rows.collect()] == [clauses[0]] and (manifest["included"], manifest["excluded"]) == (1, 1)
+    signed = manifest.pop("signature")
+    assert verified(json.dumps(manifest, sort_keys=True), b"k", signed) and engine.export("snap_1", "cs1", b"k")[1]["signature"] == signed
+    assert engine.query("snap_1", "coverage").first().obligations == 2 and engine.query("snap_1", "coverage", {"snapshot_id": "x"}).isEmpty()
+    for pattern, filters in (("nothing", None), ("coverage", {"nothing": "x"})):
+        with pytest.raises(NotFound):
+            engine.query("snap_1", pattern, filters)
+    with pytest.raises(Invalid):
+        engine.render("snap_1", "")
+    labels = spark.createDataFrame([("article-21/paragraph-1", True), ("article-21/paragraph-2", False), ("article-9/paragraph-1", True)], "path string, expected boolean")
+    assert engine.evaluate(labels).first()[:4] == (1, 1, 1, 0)
+    assert [(r.instrument, r.source_version) for r in engine.latest_regulations().collect()] == [("NIS2", "v1")]
+    engine.register_documents(spark.createDataFrame([("NIS2", "v2", TEXT, 1)], RAW))
+    engine.parse("run2")
+    new = sorted(c for c in (r.clause_id for r in engine.review_states().collect()) if c not in clauses)
+    engine.decide(spark.createDataFrame([(c, dt.datetime(2024, 1, 1), i, "accept", "good") for i, c in enumerate(new)], LOG))
+    engine.propose("cs2")
+    engine.approve("cs2")
+    engine.publish("cs2", "snap_2", "snap_1")
+    history = engine.article_history("snap_2").collect()
+    assert len(history) == 2 and all(":v2:" in r.anchor_id and ":v1:" in r.older_anchor_id and r.verbatim_text for r in history)
+
+
+def test_error_envelopes_and_audit(spark, tmp_path):
+    assert [envelope(e)[0] for e in (Invalid("x"), NotFound("x"), Conflict("x"), ValueError("secret"))] == [400, 404, 409, 500]
+    assert envelope(ValueError("secret"))[1]["error"] == {"code": "internal_error", "message": "internal error", "details": []}
+    tables = Tables(spark, str(tmp_path))
+    tables.audit("me", "publish", "snap_1", "2024-01-01T00:00:00Z", "t1")
+    assert [(r.actor, r.trace_id) for r in tables.records("audit", "actor string, action string, target string, at string, trace_id string").collect()] == [("me", "t1")]
+    assert read_dictionary(spark, [str(tmp_path / "no")]) is None
+    (tmp_path / "words").write_text("Operator\n\n can \n")
+    assert sorted(r.word for r in read_dictionary(spark, [str(tmp_path / "no"), str(tmp_path / "words")]).collect()) == ["can", "operator"]
+    (tmp_path / "labels.json").write_text('{"a/b": "shall", "c": "may"}')
+    assert sorted(map(tuple, read_labels(spark, str(tmp_path / "labels.json")).collect())) == [("a/b", "shall"), ("c", "may")]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_bytes(b"x")
+    assert read_artifacts(spark, str(tmp_path / "in"), harmless=lambda files: files.where("length > 1")).count() == 0
+
+
+def test_streamed_keys_are_taken_once(spark, tmp_path):
+    rows = [("k1", dt.datetime(2024, 1, 1, 0, 0, s), "POST") for s in range(3)] + [("k2", dt.datetime(2024, 1, 1), "GET"), (None, dt.datetime(2024, 1, 1), "POST")]
+    df = spark.createDataFrame(rows, "idempotency_key string, ts timestamp, method string")
+    df.write.parquet(str(tmp_path / "in"))
+    kept = []
+    stream = requests.first_of_key(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    requests.ingest(stream, lambda batch, n: kept.extend(requests.traced(batch, n).collect()), str(tmp_path / "check")).awaitTermination()
+    assert sorted(str(r.idempotency_key) for r in kept) == ["None", "k1", "k2"] and {r.trace_id[:6] for r in kept} == {"batch-"}
+    assert requests.without_key(df).count() == 1
