@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from normloom.functions import text as T
 
+# The order of a path's nodes, its tree and the names of its edges, width of a character, least width of a box.
 CANONICAL = ["provision", "obligation", "control", "asset", "evidence", "testasset"]
 TREE = [(0, 1), (1, 2), (2, 3), (2, 4), (4, 5)]
-_CHAR, _BOX, _GAP = 7.2, 120, 90
+RELATIONS = ["DERIVED_FROM", "MAPS_TO_CONTROL", "AFFECTS_ASSET", "SATISFIED_BY", "EVIDENCED_BY"]
+_CHAR, _BOX = 7.2, 120
+#: Room for the longest name of an edge between boxes, and the distance of the second row, on which the evidence stands.
+_GAP, _ROW = 132, 80
 
 
 def renderable(path: Column) -> Column:
@@ -19,16 +23,27 @@ def renderable(path: Column) -> Column:
 
 
 def svg(path: Column) -> Column:
-    """A picture of a renderable path: a box for each node, a line for each edge of the fixed tree; null otherwise."""
-    shown = F.transform(path, lambda x: T.short_label(F.split(x, ":", 2)[1]))
+    """A picture of a renderable path: a box for each node with its whole name as title, a named line for each edge of the
+    fixed tree; evidence and test asset stand on a row of their own below the asset. Null for any other path."""
+    full = F.transform(path, lambda x: F.split(x, ":", 2)[1])
+    shown = F.transform(full, lambda x: T.short_label(x))
     width = lambda i: F.greatest(F.lit(_BOX), (F.length(shown[i]) * _CHAR + 24).cast("int"))
-    left, lefts = F.lit(10), []
-    for i in range(len(CANONICAL)):
-        lefts.append(left)
-        left = left + width(i) + _GAP
-    boxes = [F.concat(F.lit('<rect x="'), lefts[i].cast("string"), F.lit('" y="10" width="'), width(i).cast("string"), F.lit('" height="40"/><text x="'), (lefts[i] + 8).cast("string"), F.lit('" y="35">'), T.xml_escape(shown[i]), F.lit("</text>")) for i in range(len(CANONICAL))]
-    lines = [F.concat(F.lit('<line x1="'), (lefts[a] + width(a)).cast("string"), F.lit('" y1="30" x2="'), lefts[b].cast("string"), F.lit('" y2="30"/>')) for a, b in TREE]
-    return F.when(renderable(path), F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg">'), *lines, *boxes, F.lit("</svg>")))
+    low = lambda i: _ROW if i > 3 else 0
+    lefts = [F.lit(10)]
+    for i in range(1, len(CANONICAL)):
+        before = 2 if i in (3, 4) else i - 1
+        lefts.append(lefts[before] + width(before) + _GAP)
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    number = lambda c: c.cast("string")
+    boxes = [
+        text('<rect x="', number(lefts[i]), f'" y="{10 + low(i)}" width="', number(width(i)), '" height="40"><title>', T.xml_escape(full[i]), '</title></rect><text x="', number(lefts[i] + 8), f'" y="{35 + low(i)}">', T.xml_escape(shown[i]), "</text>")
+        for i in range(len(CANONICAL))
+    ]
+    lines = [
+        text('<line x1="', number(lefts[a] + width(a)), f'" y1="{30 + low(a)}" x2="', number(lefts[b]), f'" y2="{30 + low(b)}"/><text x="', number(lefts[a] + width(a) + 6), f'" y="{24 + low(b)}">{name}</text>')
+        for (a, b), name in zip(TREE, RELATIONS, strict=True)
+    ]
+    return F.when(renderable(path), text('<svg xmlns="http://www.w3.org/2000/svg">', *lines, *boxes, "</svg>"))
 
 
 def source_pane(text: Column, start: Column, end: Column) -> Column:

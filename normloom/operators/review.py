@@ -111,9 +111,9 @@ def history_violations(states: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def unseen_acts(acts: DataFrame, views: DataFrame) -> DataFrame:
-    """``acts(session, key, at)`` of a record that the session had not viewed before; ``views(session, key, at)``."""
-    first = views.groupBy("session", "key").agg(F.min("at").alias("viewed"))
-    return acts.join(first, ["session", "key"], "left").where(F.col("viewed").isNull() | (F.col("viewed") > F.col("at"))).drop("viewed")
+    """``acts(session, key, acted)`` of a record that the session had not viewed before; ``views(session, key, acted)``."""
+    first = views.groupBy("session", "key").agg(F.min("acted").alias("viewed"))
+    return acts.join(first, ["session", "key"], "left").where(F.col("viewed").isNull() | (F.col("viewed") > F.col("acted"))).drop("viewed")
 
 
 def all_calls(held: DataFrame, stored: DataFrame) -> DataFrame:

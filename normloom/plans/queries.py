@@ -53,7 +53,9 @@ def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.round("q.confidence", 6).alias("confidence"), F.size("q.warnings").alias("warnings"))
 
 
-@query("t10_broken_words")
+@query("t10_broken_words", rf"""WITH raw AS ({RAW}), l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM raw), p AS (SELECT doc_id, ls, unnest(range(1, len(ls))) AS i FROM l),
+    q AS (SELECT doc_id, regexp_extract(ls[i], '[a-z]+$') AS a, regexp_extract(ls[i + 1], '^[a-z]+') AS b FROM p), w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM {{benchmark}})
+    SELECT raw.doc_id, count(*) FILTER (a <> '' AND b <> '' AND a || b IN (SELECT word FROM w) AND a NOT IN (SELECT word FROM w)) AS broken FROM raw LEFT JOIN q ON q.doc_id = raw.doc_id GROUP BY 1""")
 def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = make(spark, sf_dir, "SELECT explode(split(lower(text), '[^a-z]+')) AS word FROM {benchmark}")
     return parse.broken_words(make(spark, sf_dir, RAW), words, "doc_id", "text")
@@ -206,15 +208,14 @@ def ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _path_sql(tail: str, typed: bool) -> str:
-    kind = lambda t: f"JOIN nodes n ON n.snapshot_id = e.snapshot_id AND n.node_id = e.to_node_id AND n.type = '{t}'" if typed else ""
-    rel = lambda r, t: f"(SELECT e.snapshot_id, e.from_node_id AS f, e.to_node_id AS t FROM edges e {kind(t)} WHERE e.type = '{r}')"
-    of = lambda t: f"(SELECT snapshot_id, node_id FROM nodes WHERE type = '{t}')"
-    return GRAPH + f"""d AS (SELECT e.snapshot_id, from_node_id AS obligation_id, to_node_id AS provision_id FROM edges e JOIN {of("Obligation")} o ON o.snapshot_id = e.snapshot_id AND o.node_id = from_node_id JOIN {of("Provision")} p ON p.snapshot_id = e.snapshot_id AND p.node_id = to_node_id WHERE e.type = 'DERIVED_FROM'),
-      m AS (SELECT e.snapshot_id, from_node_id, to_node_id AS control_id FROM edges e JOIN {of("Control")} c ON c.snapshot_id = e.snapshot_id AND c.node_id = to_node_id WHERE e.type = 'MAPS_TO_CONTROL'),
-      o AS MATERIALIZED (SELECT d.*, control_id FROM d JOIN m ON m.snapshot_id = d.snapshot_id AND m.from_node_id = obligation_id)
+    known = lambda side, t: f"SEMI JOIN (SELECT snapshot_id, node_id FROM nodes WHERE type = '{t}') k_{side} ON k_{side}.snapshot_id = e.snapshot_id AND k_{side}.node_id = e.{side}_node_id"
+    rel = lambda r, f, t: f"(SELECT e.snapshot_id || '|' || from_node_id AS f, e.snapshot_id || '|' || to_node_id AS k, to_node_id AS t, e.snapshot_id, from_node_id FROM edges e {known('from', f) if f else ''} {known('to', t) if t else ''} WHERE e.type = '{r}')"
+    end = lambda t: t if typed else ""
+    return GRAPH + f"""d AS MATERIALIZED {rel("DERIVED_FROM", "Obligation", "Provision")}, m AS MATERIALIZED {rel("MAPS_TO_CONTROL", "", "Control")}, a AS MATERIALIZED {rel("AFFECTS_ASSET", "", end("Asset"))},
+      s AS MATERIALIZED {rel("SATISFIED_BY", "", end("EvidenceRequirement"))}, x AS MATERIALIZED {rel("EVIDENCED_BY", "", end("TestAsset"))},
+      o AS MATERIALIZED (SELECT d.snapshot_id, d.t AS provision_id, d.from_node_id AS obligation_id, m.t AS control_id, m.k FROM d JOIN m ON m.f = d.f)
       SELECT o.snapshot_id, provision_id, obligation_id, control_id, a.t AS asset_id, s.t AS evidence_id, x.t AS test_asset_id, (3 + (a.t IS NOT NULL)::INT + (s.t IS NOT NULL)::INT + (x.t IS NOT NULL)::INT)::INT AS path_length FROM o
-      {tail} JOIN {rel("AFFECTS_ASSET", "Asset")} a ON a.snapshot_id = o.snapshot_id AND a.f = control_id {tail} JOIN {rel("SATISFIED_BY", "EvidenceRequirement")} s ON s.snapshot_id = o.snapshot_id AND s.f = control_id
-      {tail} JOIN {rel("EVIDENCED_BY", "TestAsset")} x ON x.snapshot_id = o.snapshot_id AND x.f = s.t"""
+      {tail} JOIN a ON a.f = o.k {tail} JOIN s ON s.f = o.k {tail} JOIN x ON x.f = s.k"""
 
 
 @query("j8_proof_paths", _path_sql("", True))
@@ -284,13 +285,14 @@ CONTROLS = "SELECT DISTINCT cast(l_orderkey AS STRING) AS clause_id, l_suppkey A
 @query("g7_propose", f"""WITH o AS ({ACCEPTED.replace("array(o_orderpriority, 'Operator ')", "o_orderpriority")}), c AS ({CONTROLS}), b AS (SELECT DISTINCT * FROM (
       SELECT 'regulation:' || instrument || ':' || source_version AS node_id, 'Regulation' AS type FROM o UNION ALL SELECT 'regulation:' || instrument || ':v1995', 'Regulation' FROM o WHERE source_version <> 'v1995' UNION ALL SELECT 'provision:' || anchor_id, 'Provision' FROM o UNION ALL SELECT 'obligation:' || clause_id, 'Obligation' FROM o
       UNION ALL SELECT 'actor:' || replace(lower(trim(actor)), ' ', '_'), 'Actor' FROM o UNION ALL SELECT 'actor:operator', 'Actor' UNION ALL SELECT 'control:' || control_id, 'Control' FROM c JOIN o USING (clause_id)) AS x)
-    SELECT 'node' AS kind, type, count(*) AS n FROM b GROUP BY 2 UNION ALL SELECT 'edge', 'DERIVED_FROM', count(*) FROM o UNION ALL SELECT 'edge', 'IMPOSES_ON', 2 * count(*) FROM o
-    UNION ALL SELECT 'edge', 'MAPS_TO_CONTROL', count(*) FROM c JOIN o USING (clause_id) UNION ALL SELECT 'edge', 'SUPERSEDES', count(DISTINCT instrument || source_version) FROM o WHERE source_version <> 'v1995'""")
+    SELECT 'node' AS kind, node_id AS id, type FROM b UNION ALL SELECT 'edge', 'obligation:' || clause_id || ' > provision:' || anchor_id, 'DERIVED_FROM' FROM o UNION ALL SELECT 'edge', 'obligation:' || clause_id || ' > actor:' || replace(lower(trim(actor)), ' ', '_'), 'IMPOSES_ON' FROM o
+    UNION ALL SELECT 'edge', 'obligation:' || clause_id || ' > actor:operator', 'IMPOSES_ON' FROM o UNION ALL SELECT 'edge', 'obligation:' || clause_id || ' > control:' || control_id, 'MAPS_TO_CONTROL' FROM c JOIN o USING (clause_id)
+    UNION ALL SELECT DISTINCT 'edge', 'regulation:' || instrument || ':' || source_version || ' > regulation:' || instrument || ':v1995', 'SUPERSEDES' FROM o WHERE source_version <> 'v1995'""")
 def propose(spark: SparkSession, sf_dir: str) -> DataFrame:
     obligations, controls = make(spark, sf_dir, ACCEPTED), make(spark, sf_dir, CONTROLS)
     last = obligations.select("instrument").distinct().withColumn("source_version", F.lit("v1995"))
     nodes, edges = graph.propose(obligations, controls, latest=last)
-    return nodes.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), "type", "n").unionByName(edges.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), "type", "n"))
+    return nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), "type").unionByName(edges.select(F.lit("edge").alias("kind"), F.concat_ws(" > ", "from_node_id", "to_node_id").alias("id"), "type"))
 
 
 @query("j17_match_entities")
@@ -325,7 +327,14 @@ def escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return make(spark, sf_dir, "SELECT * FROM {pages}").select("page_id", F.md5(T.xml_escape(F.col("html")).cast("binary")).alias("escaped"), T.short_label(F.col("url")).alias("label"))
 
 
-@query("r3_svg")
+_SVG_NODES = ["provision_id", "obligation_id", "control_id", "asset_id", "evidence_id", "test_asset_id"]
+_SVG_SQL = f"""WITH p AS ({_path_sql("", True)}), n AS (SELECT snapshot_id, obligation_id, {", ".join(f"regexp_replace({c}, '^[^:]*:', '') AS f{i}, CASE WHEN length(f{i}) > 20 THEN substr(f{i}, 1, 19) || '…' ELSE f{i} END AS t{i}, greatest(120, floor(length(t{i}) * 7.2 + 24)::INT) AS w{i}" for i, c in enumerate(_SVG_NODES))}, split_part(evidence_id, ':', 1) = 'evidence' AS good FROM p),
+    x AS (SELECT *, 10 AS x0, x0 + w0 + 132 AS x1, x1 + w1 + 132 AS x2, x2 + w2 + 132 AS x3, x2 + w2 + 132 AS x4, x4 + w4 + 132 AS x5 FROM n)
+    SELECT snapshot_id, obligation_id, good AS renderable, CASE WHEN good THEN '<svg xmlns="http://www.w3.org/2000/svg">' || {" || ".join(f"""'<line x1="' || (x{a} + w{a}) || '" y1="{30 + 80 * (a > 3)}" x2="' || x{b} || '" y2="{30 + 80 * (b > 3)}"/><text x="' || (x{a} + w{a} + 6) || '" y="{24 + 80 * (b > 3)}">{name}</text>'""" for (a, b), name in zip(render.TREE, render.RELATIONS, strict=True))}
+      || {" || ".join(f"""'<rect x="' || x{i} || '" y="{10 + 80 * (i > 3)}" width="' || w{i} || '" height="40"><title>' || f{i} || '</title></rect><text x="' || (x{i} + 8) || '" y="{35 + 80 * (i > 3)}">' || t{i} || '</text>'""" for i in range(6))} || '</svg>' END AS svg FROM x"""
+
+
+@query("r3_svg", _SVG_SQL)
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.array("provision_id", "obligation_id", "control_id", "asset_id", "evidence_id", "test_asset_id")
     return proof_paths(spark, sf_dir).select("snapshot_id", "obligation_id", render.renderable(path).alias("renderable"), render.svg(path).alias("svg"))
@@ -461,7 +470,8 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limited(make(spark, sf_dir, HITS), limit=2, length="6 hours", slide="3 hours")
 
 
-@query("st1_sessions")
+@query("st1_sessions", """WITH l AS (SELECT user_id, ts, coalesce(lag(ts) OVER w + INTERVAL 6 HOURS < ts, true) AS opens FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM l)
+    SELECT user_id AS client, min(ts) AS session_start, max(ts) + INTERVAL 6 HOURS AS session_end, count(*) AS hits FROM n GROUP BY user_id, n""")
 def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from normloom.streaming.requests import sessions
 
@@ -477,3 +487,230 @@ def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.split("p_name", " "), F.split("p_type", " ")
     return make(spark, sf_dir, "SELECT * FROM {part}").select("p_partkey", F.concat(F.lit("["), F.array_join(F.array_sort(F.array_intersect(a, b)), ", "), F.lit("]")).alias("both_sets"), F.size(F.array_union(a, b)).alias("either"))
+
+
+CLAUSE_IDS = "SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_linenumber = 5 THEN 'short:id' ELSE concat_ws(':', cast(l_orderkey AS STRING), 'v1', 'article-' || cast(l_partkey AS STRING), 'x') END AS clause_id FROM {lineitem}"
+
+
+@query("f5_structural_path", rf"SELECT k, n, CASE WHEN n <> 5 THEN regexp_extract(clause_id, '^([^:]*):([^:]*):(.*)$', 1) END AS document_id, CASE WHEN n <> 5 THEN regexp_extract(clause_id, '^([^:]*):([^:]*):(.*)$', 3) END AS path FROM ({CLAUSE_IDS}) AS c")
+def structural_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return make(spark, sf_dir, CLAUSE_IDS).select("k", "n", T.structural_path(F.col("clause_id")).alias("p")).select("k", "n", "p.document_id", "p.path")
+
+
+@query("t11_confidence_gate", f"SELECT doc_id, confidence, confidence >= 0.7 AS accepted FROM ({ORACLES['t9_confidence']}) AS c")
+def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.confidence_gate(make(spark, sf_dir, RAW), 0.7).select("doc_id", F.round("confidence", 6).alias("confidence"), "accepted")
+
+
+SHAPED = "SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'no heading here' ELSE 'intro' || chr(10) || 'Article 7a (' || o_orderpriority || ')' || chr(10) || '1. one' || chr(10) || '2. two' || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN 'Annex IV ' || o_orderstatus || chr(10) || 'Article 8' || chr(10) || '1. out' || chr(10) ELSE '' END END AS t FROM {orders}"
+
+
+@query("t3_annex_and_whole", f"""WITH d AS (SELECT k, t, length(t) AS n, position('Article 7a' IN t) - 1 AS a, position('1. one' IN t) - 1 AS p1, position('2. two' IN t) - 1 AS p2, CASE WHEN k % 2 = 0 THEN position('Annex' IN t) - 1 ELSE length(t) END AS e FROM ({SHAPED}) AS s)
+    SELECT 'd' || k || ':v1:document' AS anchor_id, NULL AS label, 0 AS char_start, n::INT AS char_end, 0 AS ordinal FROM d WHERE k % 3 = 0
+    UNION ALL SELECT 'd' || k || ':v1:article-7a', 'Article 7a', a::INT, e::INT, 0 FROM d WHERE k % 3 <> 0 UNION ALL SELECT 'd' || k || ':v1:article-7a/paragraph-1', 'Article 7a(1)', p1::INT, p2::INT, 1 FROM d WHERE k % 3 <> 0
+    UNION ALL SELECT 'd' || k || ':v1:article-7a/paragraph-2', 'Article 7a(2)', p2::INT, e::INT, 2 FROM d WHERE k % 3 <> 0""")
+def annexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = make(spark, sf_dir, SHAPED).select(F.concat(F.lit("d"), "k").alias("document_id"), F.lit("v1").alias("source_version"), F.col("t").alias("canonical_text"))
+    return parse.anchors(docs).select("anchor_id", "label", "char_start", "char_end", "ordinal")
+
+
+@query("f9_action_object", rf"""SELECT document_id || ':' || source_version || ':article-1/paragraph-' || n AS clause_id, substr(trim(text), 1, 200) AS action, 'Article 1(' || n || ')' AS object, 'en' AS language, false AS ambiguity_flag, 'pending' AS review_status
+    FROM ({CLAUSES}) AS c WHERE contains(text, ' shall ') OR contains(text, ' may ')""")
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = parse.extract(parse.decompose(parse.detect(_spans(spark, sf_dir))))
+    return made.select("clause_id", "legal_semantics.action", "legal_semantics.object", "identity.language", "governance.ambiguity_flag", "governance.review_status")
+
+
+CHECK_NAMES = ["schema_validity", "controlled_vocabulary", "evidence_span_fidelity", "date_normalization", "quantity_normalization", "reference_validity", "cross_field_consistency"]
+
+
+@query("v2_checks", f"""WITH e AS (SELECT clause_id, cast(regexp_extract(clause_id, '([0-9]+)$', 1) AS INT) AS n FROM ({EXTRACTED}) AS x),
+    c AS (SELECT clause_id, CASE WHEN n = 4 THEN 'fail' ELSE 'pass' END AS schema_validity, CASE WHEN n = 2 THEN 'fail' ELSE 'pass' END AS controlled_vocabulary, CASE WHEN n % 5 = 0 THEN 'fail' ELSE 'pass' END AS evidence_span_fidelity, CASE WHEN n = 3 THEN 'warn' ELSE 'pass' END AS date_normalization,
+      'pass' AS quantity_normalization, CASE WHEN n = 6 THEN 'fail' ELSE 'pass' END AS reference_validity, CASE WHEN n = 4 THEN 'fail' WHEN n = 1 THEN 'warn' ELSE 'pass' END AS cross_field_consistency, n FROM e)
+    SELECT clause_id, concat_ws('|', {", ".join(CHECK_NAMES)}) AS checks, CASE WHEN n = 4 OR n % 5 = 0 THEN 'fail' WHEN n IN (2, 6) THEN 'needs_review' ELSE 'pass' END AS overall_status,
+      md5(concat_ws(chr(10), {", ".join(f"'[' || {c} || '] {c}'" for c in CHECK_NAMES)})) AS panel FROM c""")
+def all_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every check broken for some records: vocabulary, evidence, dates, references, actors."""
+    spans = _spans(spark, sf_dir).withColumns({"key": F.concat_ws(":", "document_id", "n")})
+    made, n = parse.extract(parse.decompose(parse.detect(spans))), F.col("n")
+    sem = F.col("legal_semantics").withField("modality", F.when(n == 2, "ought").otherwise(F.col("legal_semantics.modality"))).withField("actor", F.when(n == 4, F.array().cast("array<string>")).otherwise(F.col("legal_semantics.actor")))
+    sem = sem.withField("norm_type", F.when(n == 1, "definition_only").otherwise(F.col("legal_semantics.norm_type")))
+    dated = F.struct(F.lit("relative_period").alias("type"), F.lit("soon").alias("value"), F.lit(None).cast("string").alias("normalized_iso"))
+    sem = sem.withField("deadline", F.when(n == 3, dated).otherwise(F.col("legal_semantics.deadline")))
+    ev = F.col("source_evidence").withField("char_start", F.when(n % 5 == 0, 1).otherwise(F.col("source_evidence.char_start")))
+    target = F.when(n == 6, F.array(F.col("anchor_id"), F.lit("gone"))).when(n == 2, F.array("anchor_id")).otherwise(F.array().cast("array<string>"))
+    made = made.withColumns({"legal_semantics": sem, "source_evidence": ev, "references": F.col("references").withField("resolved_target_ids", target), "document_id": F.col("key")})
+    docs = spans.select(F.col("key").alias("document_id"), "source_version", F.col("verbatim_text").alias("canonical_text"))
+    done = parse.validate(made, docs, spans.select("anchor_id").distinct())
+    return done.select("clause_id", F.array_join(F.transform("checks", lambda c: c["status"]), "|").alias("checks"), "overall_status", F.md5(render.validation_panel(F.col("checks")).cast("binary")).alias("panel"))
+
+
+@query("f19_least_confidence", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 1.0 ELSE least(p_size / 50.0, 0.5)::DOUBLE END AS confidence FROM {part}")
+def least_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.when(F.col("p_size") % 4 == 0, F.create_map().cast("map<string,double>")).otherwise(F.create_map(F.lit("actor"), F.col("p_size") / 50.0, F.lit("action"), F.lit(0.5)))
+    return make(spark, sf_dir, "SELECT * FROM {part}").select("p_partkey", graph.least_confidence(held).alias("confidence"))
+
+
+@query("f22_canonical_json", """SELECT p_partkey, sha256('{"a":"' || p_type || '","b":"' || p_brand || '"}') AS input_hash FROM {part}""")
+def canonical_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    record = F.create_map(F.lit("b"), F.col("p_brand"), F.lit("a"), F.col("p_type"))
+    return make(spark, sf_dir, "SELECT * FROM {part}").select("p_partkey", F.sha2(T.canonical_json(record).cast("binary"), 256).alias("input_hash"))
+
+
+PROMPTS = "SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 THEN text || '<<<END>>>' ELSE text END AS prompt FROM {conversations}"
+
+
+@query("f24_safe_prompt", f"SELECT conv_id, turn, NOT (contains(prompt, '<<<UNTRUSTED>>>') OR contains(prompt, '<<<END>>>')) AS safe FROM ({PROMPTS}) AS p")
+def safe_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return make(spark, sf_dir, PROMPTS).select("conv_id", "turn", T.safe_prompt(F.col("prompt")).alias("safe"))
+
+
+REGULATIONS = "SELECT DISTINCT 'snap_' || cast(year(o_orderdate) AS STRING) AS snapshot_id, CASE o_custkey % 3 WHEN 0 THEN 'NIS2' WHEN 1 THEN 'CRA' ELSE 'DORA' END AS instrument, 'v' || cast(month(o_orderdate) AS STRING) AS source_version FROM {orders}"
+PUBLISHED = "SELECT DISTINCT 'snap_' || cast(year(o_orderdate) AS STRING) AS snapshot_id, year(o_orderdate) AS publish_seq FROM {orders} WHERE year(o_orderdate) NOT IN (1992, 1998)"
+
+
+@query("w5_latest_regulation", f"SELECT instrument, source_version, snapshot_id FROM ({REGULATIONS}) AS r JOIN ({PUBLISHED}) AS p USING (snapshot_id) QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY publish_seq DESC, source_version DESC) = 1")
+def latest_regulations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.latest_regulation(make(spark, sf_dir, REGULATIONS), make(spark, sf_dir, PUBLISHED))
+
+
+@query("g6_first_published", f"SELECT instrument, source_version, arg_min(snapshot_id, publish_seq) AS snapshot_id FROM ({REGULATIONS}) AS r JOIN ({PUBLISHED}) AS p USING (snapshot_id) GROUP BY 1, 2")
+def first_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.regulation_first_published(make(spark, sf_dir, REGULATIONS), make(spark, sf_dir, PUBLISHED))
+
+
+@query("j18_strict_edges", GRAPH + "known AS MATERIALIZED (SELECT DISTINCT snapshot_id || '|' || node_id AS k FROM nodes) SELECT snapshot_id, from_node_id, to_node_id, type FROM edges WHERE snapshot_id || '|' || from_node_id IN (SELECT k FROM known) AND snapshot_id || '|' || to_node_id IN (SELECT k FROM known)")
+def strict_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.strict_edges(*_graph(spark, sf_dir))
+
+
+CHANGESETS = "SELECT o_orderkey AS changeset_id, o_orderkey AS create_seq, CASE o_orderstatus WHEN 'O' THEN 'published' ELSE 'draft' END AS status, 'snap_' || cast(year(o_orderdate) AS STRING) AS published_snapshot_id, o_custkey AS a, o_custkey + 1 AS b FROM {orders}"
+
+
+@query("w8_last_changesets", f"SELECT clause_id, arg_max(changeset_id, create_seq) AS changeset_id, arg_max(published_snapshot_id, create_seq) AS published_snapshot_id FROM (SELECT *, unnest([a, b]) AS clause_id FROM ({CHANGESETS}) AS c WHERE status = 'published') AS x GROUP BY 1")
+def last_changesets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.last_changesets(make(spark, sf_dir, CHANGESETS).withColumn("source_clause_ids", F.array("a", "b")))
+
+
+@query("u2_export_parts", GRAPH + "n AS (SELECT snapshot_id, clause_id, cast(clause_id AS BIGINT) AS k FROM nodes WHERE type = 'Obligation') SELECT snapshot_id, clause_id, k % 3 = 0 AS included FROM n")
+def export_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = make(spark, sf_dir, NODES)
+    return graph.export_parts(nodes, nodes.where("type = 'Obligation' and cast(clause_id as bigint) % 3 = 0"))
+
+
+REVISED = "SELECT 'v' || cast(year(o_orderdate) AS STRING) || ':article-' || cast(o_custkey AS STRING) AS anchor_id, o_orderkey AS run_id, o_orderpriority AS verbatim_text FROM {orders} WHERE o_custkey % 4 <> 0"
+
+
+@query("j15_article_texts", f"SELECT h.anchor_id, hops, older_anchor_id, run_id, verbatim_text FROM ({ORACLES['g5_article_history']}) AS h LEFT JOIN (SELECT * FROM ({REVISED}) AS r QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY run_id DESC) = 1) AS r ON r.anchor_id = h.older_anchor_id")
+def article_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.article_texts(article_history(spark, sf_dir), make(spark, sf_dir, REVISED))
+
+
+@query("a12_mapping_scores", "SELECT DISTINCT 'snap_' || cast(year(o_orderdate) AS STRING) AS snapshot_id, CASE WHEN year(o_orderdate) % 2 = 0 THEN 0.8 ELSE 1.0 END::DOUBLE AS nodes, 0.666667::DOUBLE AS edges, CASE WHEN year(o_orderdate) % 2 = 0 THEN 0.733333 ELSE 0.833333 END::DOUBLE AS macro FROM {orders}")
+def mapping_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = make(spark, sf_dir, "SELECT DISTINCT 'snap_' || cast(year(o_orderdate) AS STRING) AS snapshot_id, CASE WHEN year(o_orderdate) % 2 = 0 THEN array('Obligation', 'Risk', 'Provision') ELSE array('Actor', 'Obligation', 'Provision') END AS node_types, array('DERIVED_FROM') AS edge_types FROM {orders}")
+    made = graph.mapping_scores(graph.type_sets(*_graph(spark, sf_dir)), expected)
+    return made.select("snapshot_id", *[F.round(c, 6).alias(c) for c in ("nodes", "edges", "macro")])
+
+
+MARKED = "SELECT doc_id AS path, toxic = 1 AS expected FROM {labels}"
+GUESSED = "SELECT doc_id AS path, n_chars % 3 = 0 AS predicted FROM {documents} WHERE doc_id % 9 <> 0"
+
+
+@query("j22_labelled", f"SELECT path, expected, coalesce(predicted, false) AS predicted FROM ({MARKED}) AS l LEFT JOIN ({GUESSED}) AS g USING (path)")
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.labelled(make(spark, sf_dir, MARKED), make(spark, sf_dir, GUESSED))
+
+
+@query("a15_shares", "SELECT source, round(avg((n_chars > 1000)::INT), 6) AS long, round(avg((lang = 'en')::INT), 6) AS english FROM {documents} GROUP BY 1")
+def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.shares(make(spark, sf_dir, "SELECT * FROM {documents}"), {"long": F.col("n_chars") > 1000, "english": F.col("lang") == "en"}, "source")
+
+
+IDS = "SELECT CASE WHEN l_orderkey % 7 = 0 THEN 'other' ELSE cast(l_orderkey AS STRING) END AS document_id, 'v1' AS source_version, concat_ws(':', cast(l_orderkey AS STRING), 'v1', cast(l_linenumber % 3 AS STRING)) AS clause_id FROM {lineitem}"
+
+
+@query("i4_id_violations", f"SELECT clause_id, 'repeated' AS broken FROM ({IDS}) AS i GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT clause_id, 'prefix' FROM ({IDS}) AS i WHERE NOT starts_with(clause_id, document_id || ':' || source_version || ':')")
+def id_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.id_violations(make(spark, sf_dir, IDS))
+
+
+STATES_OF = "SELECT DISTINCT user_id AS key, CASE user_id % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'edited' ELSE 'pending' END AS review_status FROM {events}"
+
+
+@query("i5_history_violations", f"SELECT s.key FROM ({STATES_OF}) AS s LEFT JOIN (SELECT * FROM ({DECISIONS}) AS d WHERE key % 5 <> 0) AS d USING (key) WHERE review_status <> 'pending' GROUP BY 1 HAVING count(rationale) = 0 OR count(*) FILTER (trim(rationale) = '') > 0")
+def history_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.history_violations(make(spark, sf_dir, STATES_OF), make(spark, sf_dir, DECISIONS).where("key % 5 <> 0"))
+
+
+SEEN = "SELECT user_id AS session, event_id % 10 AS key, ts AS acted, event_type FROM {events}"
+
+
+@query("p16_unseen_acts", f"WITH s AS ({SEEN}), v AS (SELECT session, key, min(acted) AS viewed FROM s WHERE event_type = 'view' GROUP BY 1, 2) SELECT s.session, s.key, s.acted FROM s LEFT JOIN v ON v.session = s.session AND v.key = s.key WHERE event_type = 'click' AND (viewed IS NULL OR viewed > s.acted)")
+def unseen_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = make(spark, sf_dir, SEEN)
+    return review.unseen_acts(seen.where("event_type = 'click'").drop("event_type"), seen.where("event_type = 'view'").drop("event_type"))
+
+
+@query("u4_all_calls", "SELECT DISTINCT concat_ws(':', cast(conv_id AS VARCHAR), cast(turn AS VARCHAR)) AS id FROM {conversations}")
+def all_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = make(spark, sf_dir, "SELECT concat_ws(':', conv_id, turn) AS id, turn FROM {conversations}")
+    return review.all_calls(rows.where("turn < 3"), rows.where("turn >= 1")).select("id")
+
+
+JOBS = "SELECT user_id AS key, event_id AS seq, CASE event_type WHEN 'view' THEN 'start' WHEN 'click' THEN 'finish' WHEN 'error' THEN 'fail' ELSE 'note' END AS event FROM {events}"
+
+
+@query("m9_job_states", f"""WITH l AS (SELECT key, list('#' || event ORDER BY seq) AS log FROM ({JOBS}) AS e GROUP BY 1)
+    SELECT key, list_reduce(list_concat(['queued'], log), lambda s, x: CASE WHEN s = 'queued' AND x = '#start' THEN 'running' WHEN s = 'running' AND x = '#finish' THEN 'completed' WHEN s IN ('queued', 'running') AND x = '#fail' THEN 'failed' ELSE s END) AS state FROM l""")
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.job_states(make(spark, sf_dir, JOBS))
+
+
+@query("r7_field_rows", "SELECT doc_id, unnest(['lang', 'source', 'n_chars']) AS field, unnest([coalesce(lang, ''), source, cast(n_chars AS VARCHAR)]) AS value FROM {documents}")
+def field_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = make(spark, sf_dir, "SELECT * FROM {documents}")
+    return docs.select("doc_id", F.explode(render.field_rows(F.struct("lang", "source", "n_chars"), ["lang", "source", "n_chars"])).alias("f")).select("doc_id", "f.*")
+
+
+FIELD_EDITS = "SELECT event_id AS key, event_type AS field, user_id AS value FROM {events}"
+
+
+@query("r7_refused_fields", f"SELECT * FROM ({FIELD_EDITS}) AS e WHERE field IS NULL OR field NOT IN ('view', 'click')")
+def refused_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.refused_fields(make(spark, sf_dir, FIELD_EDITS), ["view", "click"])
+
+
+@query("p17_tool_policy", "SELECT event_id, coalesce(user_id % 2 = 0 AND event_type IN ('view', 'click'), false) AS allowed FROM {events}")
+def tool_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from normloom.sources.store import ToolPolicy
+
+    policy = ToolPolicy(frozenset({"read"}), frozenset({"0"}), {"view": "read", "click": "read", "error": "write"})
+    return make(spark, sf_dir, "SELECT * FROM {events}").select("event_id", policy.allowed(F.col("event_type"), (F.col("user_id") % 2).cast("string")).alias("allowed"))
+
+
+@query("u1_published_nodes", ORACLES["c7_constraints"])
+def published_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules where actors stand only in the published snapshot: the same report as with them in the change set."""
+    nodes, edges = (df.withColumnRenamed("snapshot_id", "changeset_id") for df in _graph(spark, sf_dir))
+    return graph.check_constraints(nodes.where("type != 'Actor'"), edges, nodes.where("type = 'Actor'"))
+
+
+@query("a3_report_status", f"SELECT changeset_id, CASE WHEN bool_or(status = 'fail') THEN 'fail' ELSE 'pass' END AS overall_status FROM ({ORACLES['c7_constraints']}) AS r GROUP BY 1")
+def report_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.report_status(constraints(spark, sf_dir))
+
+
+@query("p15_dispatch", f"SELECT * FROM ({ORACLES['g3_coverage']}) AS g WHERE snapshot_id = 'snap_1995'")
+def dispatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.dispatch("coverage", *_graph(spark, sf_dir), filters={"snapshot_id": "snap_1995"})
+
+
+CALLED = "SELECT event_id, CASE event_type WHEN 'click' THEN 'POST' WHEN 'error' THEN 'delete' ELSE 'GET' END AS method, CASE WHEN event_id % 3 = 0 THEN ' ' WHEN event_id % 3 = 1 THEN 'key' END AS idempotency_key FROM {events}"
+
+
+@query("st2_without_key", f"SELECT event_id FROM ({CALLED}) AS c WHERE method <> 'GET' AND coalesce(trim(idempotency_key), '') = ''")
+def without_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from normloom.streaming.requests import without_key as missing
+
+    return missing(make(spark, sf_dir, CALLED)).select("event_id")
