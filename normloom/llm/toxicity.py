@@ -28,10 +28,12 @@ from normloom.llm.shared import bounded_batches, column, held_by_worker, packed,
 DECAY, SPAN = 0.7, 7
 #: Landmark words, labelled texts drawn of each class, rounds of picking words, threshold of a toxic score.
 LANDMARKS, TRAINING_TEXTS, ROUNDS, TOXIC = 64, 1500, 3, 0.7
+#: Words of clean texts that the machine is fitted on: those that resemble a landmark most.
+CLEAN_WORDS = 20_000
 #: Share of clean texts whose worst word a toxic text's must exceed to shape the logistic curve.
 QUIET = 0.9
 #: Bytes of words whose scores a worker keeps; beyond it the store is emptied. Characters of new words that are scored at once.
-KEPT_BYTES, CHUNK_CHARS = 64 << 20, 1 << 19
+KEPT_BYTES, CHUNK_CHARS = 64 << 20, 1 << 16
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Letters set apart, as in "i d i o t" or "i.d.i.o.t".
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][\s\-_.*]{1,2}){3,}[^\W\d_](?![^\W_])")
@@ -94,6 +96,16 @@ def _by_word(owner: np.ndarray, triple: np.ndarray, words: list[str]) -> np.ndar
     return np.argsort(owner * n**3 + number)
 
 
+def _chunks(words: list[str]):
+    """Slices of ``words`` of about ``CHUNK_CHARS`` letters, one word at least."""
+    first, held = 0, 0
+    for i, word in enumerate(words):
+        held += len(word) + 1
+        if held >= CHUNK_CHARS or i == len(words) - 1:
+            yield slice(first, i + 1)
+            first, held = i + 1, 0
+
+
 @dataclass
 class Machine:
     """``triples``: all triples of the landmarks, sorted; ``landmarks``: the landmarks' unit vectors over them, a column each;
@@ -128,19 +140,26 @@ class Machine:
     def kernel(self, words: list[str]) -> np.ndarray:
         """The kernel of each word to each landmark."""
         out = np.zeros((len(words), self.landmarks.shape[1]))
-        for at in range(0, len(words), 5000):
-            owner, place, value = self._shared(words[at : at + 5000])
+        for some in _chunks(words):
+            owner, place, value = self._shared(words[some])
             begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, int)
             if len(begins):
-                out[at + owner[begins]] = np.add.reduceat(self.landmarks[place] * value[:, None], begins, axis=0)
+                out[some.start + owner[begins]] = np.add.reduceat(self.landmarks[place] * value[:, None], begins, axis=0)
         return out
 
     def margins(self, words: list[str]) -> np.ndarray:
         """The margin of each word. As the kernel is a product of feature vectors, the weighted sum of a word's kernels to all
         landmarks is one product with the weighted sum of theirs."""
         direction = self.landmarks @ self.weights
-        owner, place, value = self._shared(words)
-        return np.bincount(owner, weights=value * direction[place], minlength=len(words)) + self.bias
+        out = np.full(len(words), self.bias)
+        for some in _chunks(words):
+            owner, place, value = self._shared(words[some])
+            out[some] += np.bincount(owner, weights=value * direction[place], minlength=some.stop - some.start)
+        return out
+
+    def strongest(self, words: list[str]) -> np.ndarray:
+        """The greatest kernel of each word to any landmark."""
+        return np.concatenate([np.zeros(0), *(self.kernel(words[some]).max(axis=1, initial=0) for some in _chunks(words))])
 
     def score(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
@@ -192,22 +211,23 @@ def fit(texts: list[str], labels: list[int]) -> Machine:
     whiten = vectors[:, kept] / np.sqrt(values[kept])
     all_units = list(dict.fromkeys(u for bag in bags for u in bag))
     index = {u: n for n, u in enumerate(all_units)}
-    kernel = machine.kernel(all_units)
     within = [[index[u] for u in bag] for bag in bags]
-    clean_rows = sorted({i for rows, t in zip(within, toxic, strict=True) if not t for i in rows})
-    show = np.array([share(u) for u in all_units])
-    worst = kernel.max(axis=1, initial=0) + 0.1 * show
+    strongest = machine.strongest(all_units)
+    clean_rows = np.array(sorted({i for rows, t in zip(within, toxic, strict=True) if not t for i in rows}), int)
+    clean_rows = clean_rows[np.argsort(-strongest[clean_rows], kind="stable")[:CLEAN_WORDS]]
+    clean = machine.kernel([all_units[i] for i in clean_rows])
+    worst = strongest + 0.1 * np.array([share(u) for u in all_units])
     # Landmarks with a strange letter put in count as toxic as well, so that the machine learns how much a gap may cost.
     broken = machine.kernel([u[:i] + c + u[i:] for u in telling for i in (len(u) // 2, len(u) - 1) for c in "xz" if seen[True][u] >= len(texts) / 100])
     for _ in range(ROUNDS):
         witness = [max(rows, key=lambda i: worst[i]) for rows, t in zip(within, toxic, strict=True) if t and rows]
-        x = np.vstack([kernel[np.array(witness, int)], broken, kernel[np.array(clean_rows, int)]])
+        x = np.vstack([machine.kernel([all_units[i] for i in witness]), broken, clean])
         counts = (len(witness), len(broken), len(clean_rows))
         y = np.repeat([1.0, 1.0, -1.0], counts)
         weight = np.repeat([s / max(1, n) for s, n in zip((1, 1, 4), counts, strict=True)], counts)
         w = _squared_hinge(x @ whiten, y, weight)
         machine.weights, machine.bias = whiten @ w[:-1], float(w[-1])
-        worst = kernel @ machine.weights + machine.bias
+        worst = machine.margins(all_units)
     margin = np.array([max([machine.floor, *(worst[i] for i in rows)]) for rows in within])
     # A text labelled toxic whose worst word is no worse than most clean texts' tells the curve nothing about words.
     shown = ~toxic | (margin > np.quantile(margin[~toxic], QUIET))
@@ -220,13 +240,8 @@ class Scorer:
         self.machine, self.margin, self.held, self.kept = machine, {}, 0, kept
 
     def _learn(self, new: list[str]) -> None:
-        first, held = 0, 0
-        for i, token in enumerate(new):
-            held += len(token) + 1
-            if held >= CHUNK_CHARS or i == len(new) - 1:
-                some = new[first : i + 1]
-                self.margin.update(zip(some, self.machine.margins([unit(t) for t in some]).tolist(), strict=True))
-                first, held = i + 1, 0
+        for some in _chunks(new):
+            self.margin.update(zip(new[some], self.machine.margins([unit(t) for t in new[some]]).tolist(), strict=True))
         self.held += sum(map(len, new)) + 100 * len(new)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
