@@ -67,16 +67,18 @@ def templates() -> list[tuple[str, bool, int, list[str]]]:
 
 
 def _positions(spark) -> DataFrame:
-    """``template, label, base, length, width, at, gram``: a row for each gram of each template; ``gram`` is hashed in order, after its width."""
+    """``template, label, base, length, width, at, gram``: a row for each gram of each template."""
     rows = [(k, label, base, len(parts), width, at, parts[at : at + width]) for k, (label, base, width, parts) in enumerate(templates()) for at in range(len(parts) - width + 1)]
-    made = spark.createDataFrame(rows, "template int, label string, base boolean, length int, width int, at int, gram array<string>")
-    return made.withColumn("gram", F.xxhash64("width", F.array_join("gram", " ")))
+    made = spark.createDataFrame(rows, "template int, label string, base boolean, length int, width int, at int, words array<string>")
+    gram = lambda width: F.xxhash64(*[F.get("words", F.lit(k)) for k in range(width)])
+    return made.withColumn("gram", F.when(F.col("width") == SHORT, gram(SHORT)).otherwise(gram(LONG))).drop("words")
 
 
-def _grams(parts: Column, width: int) -> Column:
-    """``at, gram`` of each run of ``width`` words."""
-    every = F.when(F.size(parts) >= width, F.sequence(F.lit(0), F.size(parts) - width)).otherwise(F.array().cast("array<int>"))
-    return F.transform(every, lambda i: F.struct(i.alias("at_word"), F.xxhash64(F.lit(width), F.concat_ws(" ", *[F.get(parts, i + k) for k in range(width)])).alias("gram")))
+def _grams(parts: Column) -> Column:
+    """At each word the hashes of the runs of SHORT and of LONG words from there; null where too few follow."""
+    run = lambda w, i, width: F.xxhash64(w, *[F.get(parts, i + k) for k in range(1, width)])
+    whole = lambda i, width: i + width <= F.size(parts)
+    return F.transform(parts, lambda w, i: F.array(F.when(whole(i, SHORT), run(w, i, SHORT)), F.when(whole(i, LONG), run(w, i, LONG))))
 
 
 def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -86,8 +88,8 @@ def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     wholly repeated rows share their spans. ``places`` lists where the whole template stands
     without a gap (sorted word positions); ``first`` and ``last`` bound the voting words.
     """
-    grams = let(words(column(text)), lambda ws: F.concat(_grams(ws, SHORT), _grams(ws, LONG)))
-    rolled = docs.select(column(key).alias("key"), F.xxhash64(column(text)).alias("mark"), F.explode(grams).alias("g")).select("key", "mark", "g.at_word", "g.gram")
+    texts = docs.select(column(key).alias("key"), F.xxhash64(column(text)).alias("mark"), words(column(text)).alias("words"))
+    rolled = texts.select("key", "mark", F.posexplode(_grams(F.col("words"))).alias("at_word", "grams")).select("key", "mark", "at_word", F.explode("grams").alias("gram")).where("gram is not null")
     # The templates are a constant of this module, so their table may be broadcast.
     hits = rolled.join(F.broadcast(_positions(docs.sparkSession)), "gram")
     votes = hits.groupBy("key", "mark", "template", "label", "base", "length", "width", (F.col("at_word") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
@@ -133,13 +135,15 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         F.collect_list(F.struct("template", "label", "length", "diagonals")).alias("spans"),
     )
     found = found.withColumnsRenamed({"key": "found_key", "mark": "found_mark"})
-    rows = packed(docs, key=column(key), mark=F.xxhash64(column(text)), text=column(text))
+    rows = packed(docs, key=column(key), mark=F.xxhash64(column(text)), text=column(text), n_words=F.size(words(column(text))).cast("long"))
     joined = rows.join(found, [rows.mark == found.found_mark, rows.key.eqNullSafe(found.found_key)], "left")
-    checked = F.when(F.col("spans").isNotNull(), let(words(F.col("text")), lambda ws: F.struct(F.size(ws).alias("n"), _verified(F.col("spans"), ws).alias("spans")))).otherwise(F.struct(F.size(words(F.col("text"))).alias("n"), F.array().cast("array<struct<label:string,coverage:double>>").alias("spans")))
-    made = joined.select("row", "n_base", "first_word", "last_word", F.coalesce("base_labels", F.array().cast("array<string>")).alias("base"), checked.alias("checked"))
-    more = F.transform(F.filter("checked.spans", lambda s: s["coverage"] >= COVERED), lambda s: s["label"])
+    none = F.array().cast("array<struct<label:string,coverage:double>>")
+    checked = F.when(F.col("spans").isNotNull(), let(words(F.col("text")), lambda ws: _verified(F.col("spans"), ws))).otherwise(none)
+    # Exploding an array of one keeps the optimizer from checking the spans once for each use.
+    made = joined.select("row", "n_words", "n_base", "first_word", "last_word", F.coalesce("base_labels", F.array().cast("array<string>")).alias("base"), F.explode(F.array(checked)).alias("checked"))
+    more = F.transform(F.filter("checked", lambda s: s["coverage"] >= COVERED), lambda s: s["label"])
     out = made.select(
-        "row", F.col("checked.n").cast("long").alias("n_words"), F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("base", more)), ",").alias("labels"), F.coalesce(F.array_max(F.col("checked.spans.coverage")), F.lit(0.0)).alias("score"),
+        "row", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union("base", more)), ",").alias("labels"), F.coalesce(F.array_max(F.col("checked.coverage")), F.lit(0.0)).alias("score"),
     )
     return unpacked(out, docs.columns, added)
