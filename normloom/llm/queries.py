@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normloom.llm import byte_bpe, chat_format, decontaminate, exact_dedup, language_id, license_scan, secret_scan, sharding, simhash, toxicity
-from normloom.llm.shared import let, table
+from normloom.llm import byte_bpe, chat_format, decontaminate, exact_dedup, language_id, license_scan, line_dedup, prefix_trie, secret_scan, sharding, simhash, token_align, toxicity
+from normloom.llm.shared import let, shared_folder, table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
@@ -72,6 +73,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligner = token_align.Aligner(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return aligner.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, index = table(spark, sf_dir, "documents").select("doc_id", "text"), line_dedup.LineIndex(spark, f"{shared_folder(spark)}/lines-{uuid4().hex}")
+    index.insert(docs)
+    return index.kept(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return prefix_trie.PrefixTrie(prefix_trie.shared_heads(prefix_trie.ordered(turns)), turns.select("conv_id")).nodes()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -83,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
+    "op11_token_align": op11_token_align,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: Characters that escaping adds to a text: one for each backslash, closing mark, and place where the opening mark begins.
@@ -107,4 +127,30 @@ ORACLES: dict[str, str] = {
              g AS (SELECT *, count(*) OVER (PARTITION BY text_sha256) AS group_size,
                           first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS keep_id FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+    "op12_line_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+             l AS (SELECT rid, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
+             k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+             r AS (SELECT key, max(doc_id) AS keep FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+             m AS (SELECT k.*, coalesce(k.doc_id <> r.keep, false) AS gone FROM k LEFT JOIN r USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY rid, doc_id""",
+    "op13_prefix_trie": """
+        WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place, coalesce(role, '') AS role, coalesce(text, '') AS text
+                   FROM conversations WHERE conv_id IS NOT NULL),
+             bits AS (SELECT i AS byte, list_reduce(list_prepend(i::BIGINT, [x::BIGINT FOR x IN range(8)]), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS entry FROM range(256) t(i)),
+             tab AS (SELECT list(entry ORDER BY byte) AS t FROM bits),
+             ids AS (SELECT DISTINCT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')]), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) % 4 AS h
+                     FROM conversations, tab WHERE conv_id IS NOT NULL),
+             t AS (SELECT o.* FROM o JOIN ids USING (conv_id) WHERE place >= h
+                   UNION ALL SELECT ids.conv_id, o.place, o.role, o.text FROM ids JOIN o ON o.conv_id = ids.conv_id - ids.conv_id % 20 AND o.place < ids.h),
+             s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS depth, sha256(sha256(role) || text) AS said, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM t),
+             p AS (SELECT conv_id, depth, words, string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path, count(*) OVER (PARTITION BY conv_id) AS size FROM s
+                   UNION ALL SELECT ids.conv_id, 0, 0, '', (SELECT count(*) FROM s WHERE s.conv_id = ids.conv_id) FROM ids),
+             n AS (SELECT path, depth, words, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '') AS ends FROM p GROUP BY path, depth, words),
+             c AS (SELECT left(path, 64 * (depth - 1)) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+             u AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (path)),
+             a AS (SELECT left(path, 64 * k) AS path, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM u) GROUP BY 1)
+        SELECT u.conv_id, u.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, u.n_convs, u.n_children, a.n_leaves::BIGINT AS n_leaves, a.saved_tokens::BIGINT AS saved_tokens, sha256(u.ends) AS ends_sha256
+        FROM u JOIN a USING (path) LEFT JOIN n up ON u.depth > 0 AND up.path = left(u.path, 64 * (u.depth - 1))""",
 }
