@@ -18,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normloom.llm.shared import bounded_batches, column, held_by_worker, packed, unpacked
+from normloom.llm.shared import bounded_batches, column, held_by_worker, packed, reliable, unpacked
 
-#: Labelled texts for each language (about; drawn by hash over all distinct labelled texts), and their longest size.
-TRAINING_TEXTS, TRAINING_CHARS = 400, 20_000
-#: Languages that are learned, those with the most distinct texts.
-LANGUAGES = 64
+#: Bounds of training: labelled texts for each language (about; drawn by hash over all distinct labelled texts) and of all
+#: languages together, which share them evenly if there are many, and characters of a text that are read, its first ones.
+TRAINING_TEXTS, ALL_TEXTS, TRAINING_CHARS = 400, 25_600, 20_000
 #: Longest context in bytes; with the byte after it, it makes one 32-bit number.
 ORDER = 3
 UNKNOWN = "und"
@@ -62,35 +61,27 @@ def _found(sorted_numbers: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray,
 
 
 class Scorer:
-    """For each context size the seen (context, byte) numbers with their bits, and the seen contexts with the bits of
-    an escape from them, a column a language. All grow with the training texts, not with what is possible."""
+    """For each language and context size the seen (context, byte) numbers with their bits, and the seen contexts with the
+    bits of an escape from them. Tables grow with what training saw of their own language alone."""
 
     def __init__(self, trees: Trees):
-        self.trees, self.levels = trees, []
-        shorter, shorter_bits = None, None
-        for size in range(ORDER + 1):
-            mask = np.uint32(256 ** (size + 1) - 1)
-            own = [grams & mask for grams, _ in trees.grams]
-            numbers = np.unique(np.concatenate([np.zeros(0, np.uint32), *own]))
-            contexts, context_of = np.unique(numbers >> np.uint32(8), return_inverse=True)
-            bits, escapes = np.empty((len(numbers), len(own)), np.float32), np.zeros((len(contexts), len(own)), np.float32)
-            lower = shorter_bits[np.searchsorted(shorter, numbers & np.uint32(256**size - 1))] if size else np.full(bits.shape, 8.0)
-            for k, (mine, (_, counts)) in enumerate(zip(own, trees.grams, strict=True)):
-                seen = np.bincount(np.searchsorted(numbers, mine), weights=counts, minlength=len(numbers))
-                total = np.bincount(context_of, weights=seen, minlength=len(contexts))
-                kinds = np.bincount(context_of, weights=seen > 0, minlength=len(contexts))
-                met = total > 0
-                escapes[met, k] = np.log2((total[met] + kinds[met]) / kinds[met])
-                coded = np.log2(np.maximum(1, (total + kinds)[context_of]) / np.maximum(1, seen))
-                bits[:, k] = np.where(seen > 0, coded, escapes[context_of, k] + lower[:, k])
-            self.levels.append((mask, numbers, bits, contexts, escapes))
-            shorter, shorter_bits = numbers, bits
-
-    def _of_bytes(self, numbers: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(numbers), len(self.trees.languages)), np.float32)
+        self.trees = trees
+        self.tables = [[self._level(grams & np.uint32(256 ** (size + 1) - 1), counts) for size in range(ORDER + 1)] for grams, counts in trees.grams]
+
+    @staticmethod
+    def _level(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        numbers, place = np.unique(grams, return_inverse=True)
+        seen = np.bincount(place, weights=counts, minlength=len(numbers))
+        contexts, context_of = np.unique(numbers >> np.uint32(8), return_inverse=True)
+        total, kinds = np.bincount(context_of, weights=seen), np.bincount(context_of)
+        return numbers, np.log2((total + kinds)[context_of] / seen).astype(np.float32), contexts, np.log2((total + kinds) / kinds).astype(np.float32)
+
+    def _of_bytes(self, numbers: np.ndarray, language: int) -> np.ndarray:
+        out = np.zeros(len(numbers), np.float32)
         left = np.arange(len(numbers))
-        for mask, known, bits, contexts, escapes in reversed(self.levels):
-            number = numbers[left] & mask
+        for size in range(ORDER, -1, -1):
+            known, bits, contexts, escapes = self.tables[language][size]
+            number = numbers[left] & np.uint32(256 ** (size + 1) - 1)
             at, there = _found(known, number)
             out[left[there]] += bits[at[there]]
             left, number = left[~there], number[~there]
@@ -100,20 +91,20 @@ class Scorer:
         return out
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
-        """Code length of each text in each language."""
+        """Code length of each text in each language, one language after the other over the distinct numbers of a stretch."""
         out, held, size, first = np.zeros((len(texts), len(self.trees.languages))), [], 0, 0
         for i, text in enumerate(texts):
             held.append(text)
             size += len(text)
             if size >= _CHUNK or i == len(texts) - 1:
-                numbers, starts = gram_numbers(held)
-                sums = np.zeros((len(held), out.shape[1]))
+                numbers, _ = gram_numbers(held)
                 owner = np.repeat(np.arange(len(held)), [len(t) for t in held])
                 for at in range(0, len(numbers), _CHUNK):
-                    some, whose = self._of_bytes(numbers[at : at + _CHUNK]), owner[at : at + _CHUNK]
+                    distinct, place = np.unique(numbers[at : at + _CHUNK], return_inverse=True)
+                    whose = owner[at : at + _CHUNK]
                     begins = np.flatnonzero(np.r_[True, whose[1:] != whose[:-1]])
-                    sums[whose[begins]] += np.add.reduceat(some, begins, axis=0, dtype=np.float64)
-                out[first : i + 1] = sums
+                    for k in range(out.shape[1]):
+                        out[first + whose[begins], k] += np.add.reduceat(self._of_bytes(distinct, k)[place], begins, dtype=np.float64)
                 held, size, first = [], 0, i + 1
         return out
 
@@ -123,14 +114,17 @@ def held_out(key: Column, parts: int, part: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % parts == part
 
 
-def training_sample(labelled: DataFrame, text: str, lang: str, texts: int = TRAINING_TEXTS, chars: int = TRAINING_CHARS, languages: int = LANGUAGES) -> dict[str, list[bytes]]:
-    """About ``texts`` different whole texts of at most ``chars`` characters for each of ``languages`` languages, drawn by a
-    hash of the text. Copies of a text count once, however many there are."""
-    usable = labelled.select(column(lang).alias("lang"), column(text).alias("text")).where(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= chars)).withColumn("mark", F.xxhash64("text"))
-    counts = usable.select("lang", "mark").distinct().groupBy("lang").agg(F.count("*").alias("n"))
-    rates = [(r.lang, texts / r.n) for r in counts.orderBy(F.desc("n"), "lang").limit(languages).collect()]
-    draw = F.shiftrightunsigned("mark", 33) / F.lit(2.0**31)
-    drawn = usable.where(F.coalesce(*[F.when(F.col("lang") == name, draw < rate) for name, rate in rates], F.lit(False))) if rates else usable.limit(0)
+def training_sample(labelled: DataFrame, text: str, lang: str, texts: int = TRAINING_TEXTS, every: int = ALL_TEXTS, chars: int = TRAINING_CHARS) -> dict[str, list[bytes]]:
+    """About ``texts`` different texts of every labelled language, or as many as ``every`` has for each, drawn by a hash of the
+    whole text; of each at most the first ``chars`` characters. Copies of a text count once, however many there are. A language of
+    which by chance no text is drawn gives the one of the least hash."""
+    usable = labelled.select(column(lang).alias("lang"), column(text).alias("text")).where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", F.xxhash64("text").alias("mark"), F.substring("text", 1, chars).alias("text"))
+    counts = reliable(usable.select("lang", "mark").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min(F.struct(F.shiftrightunsigned("mark", 33).alias("draw"), "mark")).alias("least")))
+    languages = counts.count()
+    share = max(1, min(texts, every // max(1, languages)))
+    shares = counts.select("lang", "n", F.col("least.mark").alias("least"))
+    drawn = usable.join(F.broadcast(shares) if languages <= 100_000 else shares, "lang")
+    drawn = drawn.where((F.shiftrightunsigned("mark", 33) / F.lit(2.0**31) < F.lit(share) / F.col("n")) | (F.col("mark") == F.col("least")))
     found: dict[str, list[bytes]] = {}
     for row in drawn.groupBy("lang", "mark").agg(F.min("text").alias("text")).toLocalIterator():
         found.setdefault(row.lang, []).append(row.text.encode())
