@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from uuid import uuid4
 
 import numpy as np
@@ -28,8 +30,11 @@ from normloom.llm.shared import bounded_batches, column, held_by_worker, packed,
 DECAY, SPAN = 0.7, 7
 #: Landmark words, labelled texts drawn of each class, rounds of picking words, threshold of a toxic score.
 LANDMARKS, TRAINING_TEXTS, ROUNDS, TOXIC = 64, 1500, 3, 0.7
-#: Words of clean texts that the machine is fitted on: those that resemble a landmark most.
-CLEAN_WORDS = 20_000
+#: Bounds of training: words of clean texts that the machine is fitted on, those that resemble a landmark most, and
+#: characters of a labelled text that are read, its first ones.
+CLEAN_WORDS, TRAINING_CHARS = 20_000, 20_000
+#: A token of more than LONG characters is read in windows of WINDOW characters that begin every STEP, as no space parts its words.
+LONG, WINDOW, STEP = 48, 12, 6
 #: Share of clean texts whose worst word a toxic text's must exceed to shape the logistic curve.
 QUIET = 0.9
 #: Bytes of words whose scores a worker keeps; beyond it the store is emptied. Characters of new words that are scored at once.
@@ -53,12 +58,27 @@ def unit(token: str) -> str:
     return letters
 
 
-def tokens(text: str | None) -> set[str]:
-    """The distinct lower-case tokens of a whole text, and words spelt with their letters apart."""
+def tokens(text: str | None) -> tuple[set[str], list[str]]:
+    """The distinct lower-case tokens of a whole text, words spelt with their letters apart among them, and apart from them its long tokens."""
     low = (text or "").lower()
     found = set(low.split())
-    found.update("".join(_LETTERS.findall(m.group())) for m in _SPACED.finditer(low))
-    return found
+    long = [t for t in found if len(t) > LONG]
+    found.difference_update(long)
+    found.update(word for m in _SPACED.finditer(low) if len(word := "".join(_LETTERS.findall(m.group()))) <= LONG)
+    return found, long
+
+
+def windows(token: str) -> Iterator[list[str]]:
+    """The distinct windows of a long token, some thousands at a time."""
+    starts = range(0, max(1, len(token) - WINDOW + STEP), STEP)
+    for at in range(0, len(starts), 4096):
+        yield sorted({token[i : i + WINDOW] for i in starts[at : at + 4096]})
+
+
+def words_of(text: str | None) -> set[str]:
+    """All words of a whole text of three letters and more, windows of long tokens among them."""
+    short, long = tokens(text)
+    return {u for u in map(unit, chain(short, *(w for t in long for w in windows(t)))) if len(u) >= 3}
 
 
 def triples(words: list[str]):
@@ -194,9 +214,9 @@ def _logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 def fit(texts: list[str], labels: list[int]) -> Machine:
-    """Train on labelled texts. Without both classes, or without a telling word, every score is the share of toxic texts."""
+    """Train on labelled texts, on all words of toxic ones and the ``CLEAN_WORDS`` of clean ones that are nearest to a landmark. Without both classes, or without a telling word, every score is the share of toxic texts."""
     toxic = np.array(labels, bool)
-    bags = [sorted({u for u in map(unit, tokens(t)) if len(u) >= 3}) for t in texts]
+    bags = [sorted(words_of(t)) for t in texts]
     seen = {c: Counter(u for bag, t in zip(bags, toxic, strict=True) if t == c for u in bag) for c in (True, False)}
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
     share = lambda u: np.log((seen[True][u] + 0.1) / (n_toxic + 1)) - np.log((seen[False][u] + 0.1) / (n_clean + 1))
@@ -247,30 +267,39 @@ class Scorer:
     def scores(self, texts: pa.Array) -> np.ndarray:
         worst = np.empty(len(texts))
         for at in range(0, len(texts), 64):
-            bags = [tokens(t.as_py()) for t in texts[at : at + 64]]
+            both = [tokens(t.as_py()) for t in texts[at : at + 64]]
+            bags = [short for short, _ in both]
             if self.held > self.kept:
                 self.margin.clear()
                 self.held = 0
             self._learn(list(set().union(*bags).difference(self.margin)))
             known = self.margin.__getitem__
             worst[at : at + len(bags)] = [max(map(known, bag), default=self.machine.floor) for bag in bags]
+            for i, (_, long) in enumerate(both):
+                for token in long:  # windows are scored and forgotten, however long the token
+                    for some in windows(token):
+                        worst[at + i] = max(worst[at + i], self.machine.margins([unit(w) for w in some]).max())
         return self.machine.score(np.maximum(worst, self.machine.floor))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, texts: int = TRAINING_TEXTS) -> tuple[list[str], list[int]]:
-    """About ``texts`` labelled whole texts of each class, drawn by a hash of the id; repeated labels count as toxic if one is."""
+def training_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, texts: int = TRAINING_TEXTS, chars: int = TRAINING_CHARS) -> tuple[list[str], list[int]]:
+    """About ``texts`` labelled texts of each class, drawn by a hash of the id, of each at most its first ``chars`` characters, so
+    that the driver holds a bounded number of them; repeated labels count as toxic if one is."""
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id"), 3, 1))
     rates = {r.toxic: texts / r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 33) / F.lit(2.0**31)
     drawn = marked.where(F.coalesce(*[F.when(F.col("toxic") == c, draw < r) for c, r in rates.items()], F.lit(False)))
     # The draw is bounded by the parameter, so it may be broadcast.
-    rows = docs.select(column(key).alias("doc_id"), column(text).alias("text")).join(F.broadcast(drawn), "doc_id").where("text is not null")
+    rows = docs.select(column(key).alias("doc_id"), F.substring(column(text), 1, chars).alias("text")).join(F.broadcast(drawn), "doc_id").where("text is not null")
     found = [(r.text, r.toxic) for r in rows.select("text", "toxic").toLocalIterator()]
     return [t for t, _ in found], [int(c) for _, c in found]
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
-    """``docs`` plus ``score`` (0 to 1) and ``predicted`` (1 from ``TOXIC`` on). Null and empty texts get the floor score."""
+    """``docs`` plus ``score`` (0 to 1) and ``predicted`` (1 from ``TOXIC`` on). Null and empty texts get the floor score.
+
+    Tokens of any length are read whole, long ones in overlapping windows. Equal texts get equal scores, an empty table gives no
+    row, and the added columns replace input columns of their names."""
     bounded_batches(docs.sparkSession)
     shared, name = docs.sparkSession.sparkContext.broadcast(machine), uuid4().hex
 
@@ -283,7 +312,10 @@ def score_toxicity(docs: DataFrame, machine: Machine, text: str = "text") -> Dat
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Learn from labels that are not held out, then score every row: adds ``held_out, score, predicted``."""
+    """Learn from labels that are not held out, then score every row: adds ``held_out, score, predicted``.
+
+    A null id counts as empty text for the division and has no label; without labels every score is 0 but for rounding. Else as
+    ``score_toxicity``."""
     machine = fit(*training_sample(docs, labels, key, text))
     made = score_toxicity(packed(docs, text=column(text), held_out=held_out(column(key), 3, 1)), machine)
     return unpacked(made, docs.columns, ["held_out", "score", "predicted"])
