@@ -29,7 +29,7 @@ TREES, DEPTH, SEED, LABELLED, KEPT = 24, 8, 7, 8000, 0.5
 #: Dictionary words have at least and at most this many letters; letters are read in stretches of at most STRETCH.
 SHORTEST, LONGEST, STRETCH = 4, 12, 32
 # What parts words, words that vouch for a secret or speak against one, placeholders, paths of samples.
-_PARTS = r"[\"'`(),:;<=>?@\[\]{}&]+"
+_PARTS = r"[\"'`(),:;<=>?@\[\]{}&]+|-{5,}"
 VOUCHING = "pass|pwd|secret|token|apikey|api_key|key|auth|credential|bearer|private"
 AGAINST = "sha|md5|hash|commit|checksum|uuid|guid|order|invoice|phone|isbn|card|version|date|digest|revision|http|www"
 PLACEHOLDERS = "example|sample|test|dummy|placeholder|changeme|password|your|here|insert|value|string|number|document"
@@ -49,7 +49,8 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
 def find_candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
     """``key, word_index, part, name, finding, before, after, path``: a row for each candidate of each whole text.
 
-    ``word_index`` counts white-space parted words from 0, ``part`` the parts of the word. ``name`` is the part before if
+    ``word_index`` counts white-space parted words from 0, ``part`` the parts of the word, -1 for the header of a key that
+    begins in it. ``name`` is the part before if
     an equals sign, a colon or a closing bracket stands between; ``before`` holds the two words before, ``after`` the next."""
     split = F.split(F.coalesce(column(text), F.lit("")), r"\s+")
     before = lambda ws, i: F.array_join(F.slice(ws, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), " ")
@@ -75,8 +76,8 @@ def find_candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
         header = F.regexp_extract(F.array_join(F.slice(ws, i + 1, 5), " "), _HEADER, 0)
         apart = before(ws, i).rlike(_VOUCHED)
         likely = (F.length(w) >= MIN_CHARS) | w.rlike("[=:>@]") | apart
-        whole = F.when(header != "", F.array(found(F.lit(0), text_none, header))).otherwise(none)
-        return F.when(F.length(w) < MIN_NAMED, none).when(F.contains(w, F.lit("-----BEGIN")), whole).when(likely, parts(w, apart)).otherwise(none)
+        opened = F.contains(w, F.lit("-----BEGIN")) & (header != "")
+        return F.when(F.length(w) < MIN_NAMED, none).otherwise(F.concat(F.when(opened, F.array(found(F.lit(-1), text_none, header))).otherwise(none), F.when(likely, parts(w, apart)).otherwise(none)))
 
     beside = lambda ws, i, x: F.struct(i.alias("word_index"), x["part"].alias("part"), x["name"].alias("name"), x["finding"].alias("finding"), before(ws, i).alias("before"), F.coalesce(F.get(ws, i + 1), text_none).alias("after"))
     every = let(split, lambda ws: F.flatten(F.transform(ws, lambda w, i: F.transform(candidates(ws, w, i), lambda x: beside(ws, i, x)))))
