@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from normloom.llm.byte_bpe import _gathered
 from normloom.llm.shared import bounded_batches, column, held_by_worker, reliable
 
 #: Tokens of one event block, and bytes of encoded pieces that a Python worker keeps before it forgets them.
-BLOCK, KEPT_BYTES = 1 << 15, 48 << 20
+BLOCK, KEPT_BYTES = 1 << 15, 64 << 20
 #: Links of a group beyond which its distinct tokens are paired instead of its tokens, and pairs that a task counts before it hands them on.
 WIDE, HELD_PAIRS = 4096, 1 << 21
 #: Rows of the table of link counts up to which it is sent to every executor (16 bytes a row); a larger one is joined.
@@ -74,7 +75,7 @@ class Side:
     """One tokenizer in a worker: the ids of each piece seen so far, as stretches of one pool, and whether they spell it."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], spelt: list[bytes]):
-        self.encode, self.spelt = encode, spelt
+        self.encode, self.spelt, self.sizes = encode, spelt, np.array([len(w) for w in spelt], np.int64)
         self.begin, self.count, self.good, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint16)
 
     def learn(self, pieces: list[str]) -> None:
@@ -82,9 +83,15 @@ class Side:
         for at in range(0, len(pieces), 4096):
             some = pieces[at : at + 4096]
             ids = self.encode(some)
+            flat = list(chain.from_iterable(ids))
             counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-            pools.append(np.fromiter((i for own in ids for i in own), np.uint16, int(counts[-1].sum())))
-            good.append(np.fromiter((b"".join(map(self.spelt.__getitem__, own)) == p.encode() for own, p in zip(ids, some, strict=True)), bool, len(some)))
+            pools.append(np.array(flat, np.uint16))
+            raw = [p.encode() for p in some]
+            ends, own = np.cumsum(counts[-1]), np.r_[0, np.cumsum(self.sizes[pools[-1]])]
+            if b"".join(map(self.spelt.__getitem__, flat)) == b"".join(raw) and (own[ends] == np.cumsum([len(r) for r in raw])).all():
+                good.append(np.ones(len(some), bool))
+            else:
+                good.append(np.array([b"".join(map(self.spelt.__getitem__, i)) == r for i, r in zip(ids, raw, strict=True)]))
         self.pool, self.count, self.good = np.concatenate(pools), np.concatenate(counts), np.concatenate(good)
         self.begin = np.cumsum(self.count) - self.count
 
@@ -102,7 +109,7 @@ class Encoder:
 
     def __init__(self, a: str, b: str):
         self.sides = [Side(*byte_level_side(a)), Side(*piece_side(b))]
-        self.lengths = [np.array([len(w) for w in s.spelt], np.int64) for s in self.sides]
+        self.lengths = [s.sizes for s in self.sides]
         self.number: dict[str, int] = {}
         self.held = 0
 

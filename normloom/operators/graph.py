@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from normloom.functions import text as T
 from normloom.durable import reliable
+from normloom.operators.resolve import match_entities
 
 # Node types, and the allowed (from, to) types of each relationship.
 NODE_TYPES = [
@@ -39,12 +40,13 @@ def allowed_pairs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(r, a, b) for r, pairs in ALLOWED.items() for a, b in pairs], "type string, from_type string, to_type string")
 
 
-def propose(obligations: DataFrame, controls: DataFrame | None = None, assets: DataFrame | None = None, latest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def propose(obligations: DataFrame, controls: DataFrame | None = None, assets: DataFrame | None = None, latest: DataFrame | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of accepted obligations ``(clause_id, anchor_id, instrument, source_version, norm_type, actor array, ordinal)``.
 
     ``controls(clause_id, control_id, name)`` and ``assets(clause_id, asset_id, name, asset_type)`` map clauses;
     ``latest(instrument, source_version)`` is the published regulation, superseded where the version differs. The
-    first proposal of a node stays, but the last of a Regulation or an Obligation.
+    first proposal of a node stays, but the last of a Regulation or an Obligation. An actor that is or resembles one of
+    ``known(node_id, name, ordinal)`` is that node under its known name; nothing is merged without review.
     """
     prop = lambda *pairs: F.create_map(*[x for k, v in pairs for x in (F.lit(k), v.cast("string"))])
     row = lambda df, kind, ident, props, rank: df.select(ident.alias("node_id"), F.lit(kind).alias("type"), props.alias("properties"), F.col("clause_id").alias("provenance_clause_id"), F.struct("ordinal", F.lit(rank)).alias("seen"))
@@ -59,6 +61,10 @@ def propose(obligations: DataFrame, controls: DataFrame | None = None, assets: D
     edges = [edge(obligations, obligation, provision, "DERIVED_FROM")]
     named = obligations.select("clause_id", "ordinal", F.posexplode("actor").alias("place", "name"))
     actor = F.concat(F.lit("actor:"), T.node_name(F.col("name")))
+    if known is not None:
+        matched = match_entities(named.select("name"), known).select("name", "node_id", "matched_name")
+        named = named.join(matched, "name", "left").select("clause_id", "ordinal", "place", F.coalesce("matched_name", "name").alias("name"), F.coalesce("node_id", F.concat(F.lit("actor:"), T.node_name(F.col("name")))).alias("actor_id"))
+        actor = F.col("actor_id")
     nodes.append(row(named, "Actor", actor, prop(("name", F.col("name")), ("role_category", F.lit("unspecified"))), 3))
     edges.append(edge(named, F.concat(F.lit("obligation:"), "clause_id"), actor, "IMPOSES_ON"))
     for mapping, kind, rel, key, extra in ((controls, "Control", "MAPS_TO_CONTROL", "control_id", []), (assets, "Asset", "AFFECTS_ASSET", "asset_id", [("asset_type", F.coalesce("asset_type", F.lit("unspecified")))])):

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from normloom.functions import text as T
+from normloom.functions.contracts import contract
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -43,11 +45,16 @@ def collisions(found: DataFrame) -> DataFrame:
 
 def broken_words(docs: DataFrame, dictionary: DataFrame | None, key: str = "document_id", text: str = "canonical_text") -> DataFrame:
     """``key, broken``: line breaks inside words. With a dictionary (column ``word``) only where the joined word is
-    in it and the left part is not."""
-    breaks = docs.select(key, text, F.explode_outer(T.matches(F.col(text), "[a-z]\n[a-z]", 0)).alias("m"))
-    left = F.regexp_extract(F.substring(F.col(text), F.lit(1), F.col("m.start") + 1), "[a-z]+$", 0)
-    right = F.regexp_extract(F.substring(F.col(text), F.col("m.start") + 3, F.length(text)), "^[a-z]+", 0)
-    parts = breaks.select(key, F.col("m").isNotNull().alias("hit"), left.alias("left"), F.concat(left, right).alias("joined"))
+    in it and the left part is not.
+
+    A text is cut into lines once; each break hands on the letters that end its line and those that begin the next, so
+    both breaks around a line of one letter count.
+    """
+    # Only the last or first run of letters is looked at: what is not a letter before it is skipped in one step.
+    ends = F.transform(F.split(F.col(text), "\n", -1), lambda x: F.struct(F.substring_index(F.regexp_replace(x, "[^a-z]", "\n"), "\n", -1).alias("tail"), F.regexp_extract(x, "^[a-z]*", 0).alias("head")))
+    pairs = T.let(ends, lambda ls: F.filter(F.transform(ls, lambda x, i: F.struct(x["tail"].alias("left"), F.get(ls, i + 1)["head"].alias("right"))), lambda p: (p["left"] != "") & (F.coalesce(p["right"], F.lit("")) != "")))
+    breaks = docs.select(key, F.explode_outer(pairs).alias("p"))
+    parts = breaks.select(key, F.col("p").isNotNull().alias("hit"), F.col("p.left").alias("left"), F.concat("p.left", "p.right").alias("joined"))
     if dictionary is None:
         return parts.groupBy(key).agg(F.count_if("hit").alias("broken"))
     words = dictionary.select(F.lower("word").alias("word")).distinct()
@@ -97,6 +104,12 @@ def decompose(detections: DataFrame) -> DataFrame:
     return detections.where("is_normative_candidate").withColumns({"span_id": F.concat("anchor_id", F.lit(":span-0")), "parent_span_id": F.lit(None).cast("string"), "method": F.lit("deterministic")})
 
 
+#: Decisions that a record carries with it; the log of decisions has them all.
+HISTORY = "array<struct<reviewer_id:string,timestamp:string,action:string,rationale:string>>"
+#: Parts of an obligation object.
+PARTS = ["identity", "source_evidence", "legal_semantics", "references", "governance"]
+
+
 def extract(spans: DataFrame, vocabulary: list[str] = T.ACTORS) -> DataFrame:
     """Obligation objects: ``identity, source_evidence, legal_semantics, references, governance`` beside the span."""
     text = F.col("verbatim_text")
@@ -105,17 +118,23 @@ def extract(spans: DataFrame, vocabulary: list[str] = T.ACTORS) -> DataFrame:
     clause = T.clause_id(F.col("document_id"), F.col("source_version"), F.col("anchor_id"))
     return spans.withColumns({
         "clause_id": clause,
-        "identity": F.struct("document_id", "source_version", "instrument", clause.alias("clause_id"), F.lit("en").alias("language"), F.lit("EU").alias("jurisdiction")),
+        "identity": F.struct("document_id", "source_version", "instrument", clause.alias("clause_id"), F.lit("en").alias("language"), F.lit("EU").alias("jurisdiction"), F.lit("1.0.0").alias("schema_version")),
         "source_evidence": F.struct("anchor_id", "char_start", "char_end", "verbatim_text", F.sha2(text.cast("binary"), 256).alias("evidence_hash")),
         "legal_semantics": F.struct(
             T.norm_type(T.modality(text)).alias("norm_type"), T.actors(text, vocabulary).alias("actor"), T.modality(text).alias("modality"), act.alias("action"), obj.alias("object"), F.lit("EU").alias("scope"),
             none.alias("trigger"), T.deadline(F.concat(act, F.lit(" "), obj)).alias("deadline"), none.alias("frequency"), T.conditions(text).alias("conditions"), T.exceptions(text).alias("exceptions"),
         ),
         "references": F.struct(T.related_articles(text).alias("related_articles"), F.array().cast("array<string>").alias("resolved_target_ids")),
-        "governance": F.struct(F.lit(False).alias("ambiguity_flag"), F.lit(True).alias("inference_flag"), F.lit("pending").alias("review_status"), F.create_map().cast("map<string,double>").alias("field_confidence")),
+        "governance": F.struct(F.lit(False).alias("ambiguity_flag"), F.lit(True).alias("inference_flag"), F.lit("pending").alias("review_status"), F.create_map().cast("map<string,double>").alias("field_confidence"), F.array().cast(HISTORY).alias("revision_history")),
     })
 
 
+def obligation_violations(obligations: DataFrame) -> Column:
+    """Where each record breaks the contract of obligation objects: ``path, message``, in order."""
+    kind = StructType([obligations.schema[p] for p in PARTS])
+    return contract("obligation").violations(F.struct(*PARTS), kind)
+
+
 def validate(obligations: DataFrame, docs: DataFrame, known_anchors: DataFrame | None = None) -> DataFrame:
     """Adds ``checks`` (seven in fixed order), ``overall_status`` and ``review_status`` (escalated on a failure).
 
@@ -132,7 +151,7 @@ def validate(obligations: DataFrame, docs: DataFrame, known_anchors: DataFrame |
         missing = F.coalesce("unresolved", F.lit(0))
     iso = sem["deadline"]["normalized_iso"]
     outcome = {
-        "schema_validity": _passed(F.col("clause_id").rlike("^[^:]+:[^:]+:.+$") & (F.size(sem["actor"]) > 0) & ev["evidence_hash"].rlike("^[a-f0-9]{64}$")),
+        "schema_validity": _passed(F.size(obligation_violations(rows)) == 0),
         "controlled_vocabulary": _passed(sem["modality"].isin(T.EXTRACTED) & sem["norm_type"].isin("obligation", "permission", "prohibition", "definition_only")),
         "evidence_span_fidelity": _passed((F.sha2(ev["verbatim_text"].cast("binary"), 256) == ev["evidence_hash"]) & ev["char_start"].isNotNull() & ev["char_end"].isNotNull() & (replay == ev["verbatim_text"])),
         "date_normalization": F.when(sem["deadline"].isNotNull() & iso.isNull(), "warn").otherwise("pass"),

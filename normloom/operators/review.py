@@ -23,22 +23,26 @@ def state_of(action: Column) -> Column:
     return out
 
 
-def decide(decisions: DataFrame) -> DataFrame:
+def decide(decisions: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """``decisions(key, decided, seq, action, rationale)`` plus ``before``, ``allowed`` and ``after``.
 
     An escalated record cannot be accepted or edited, and every decision needs a rationale; a refused
     decision leaves the state. Allowed decisions alone change it, so the state before is that of
-    the last allowed decision: an escalation holds until a rejection.
+    the last allowed decision: an escalation holds until a rejection. ``initial(key, review_status)`` has the
+    states before any decision, such as those that validation escalated; a record without one is pending.
     """
     w = Window.partitionBy("key").orderBy("decided", "seq").rowsBetween(Window.unboundedPreceding, -1)
     spoken = F.length(F.trim(F.coalesce("rationale", F.lit("")))) > 0
     marked = decisions.withColumn("spoken", spoken)
+    if initial is not None:
+        marked = marked.join(initial.select("key", F.col("review_status").alias("begun")), "key", "left")
+    begun = F.coalesce("begun", F.lit("pending")) if initial is not None else F.lit("pending")
     # Between an escalation and the next rejection accept and edit are refused.
     turn = F.last(F.when(F.col("spoken") & F.col("action").isin("escalate", "reject"), F.col("action")), ignorenulls=True).over(w)
-    allowed = F.col("spoken") & F.col("action").isin(*STATES) & ~(F.col("action").isin("accept", "edit") & (F.coalesce("turn", F.lit("")) == "escalate"))
+    allowed = F.col("spoken") & F.col("action").isin(*STATES) & ~(F.col("action").isin("accept", "edit") & (F.coalesce("turn", F.when(begun == "escalated", "escalate").otherwise("")) == "escalate"))
     marked = marked.withColumn("turn", turn).withColumn("allowed", allowed)
-    before = F.coalesce(F.last(F.when(F.col("allowed"), state_of(F.col("action"))), ignorenulls=True).over(w), F.lit("pending"))
-    return marked.withColumn("before", before).withColumn("after", F.when(F.col("allowed"), state_of(F.col("action"))).otherwise(F.col("before"))).drop("turn", "spoken")
+    before = F.coalesce(F.last(F.when(F.col("allowed"), state_of(F.col("action"))), ignorenulls=True).over(w), begun)
+    return marked.withColumn("before", before).withColumn("after", F.when(F.col("allowed"), state_of(F.col("action"))).otherwise(F.col("before"))).drop("turn", "spoken", "begun")
 
 
 def history(rows: DataFrame, key: str, *order: str) -> DataFrame:

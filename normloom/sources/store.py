@@ -57,21 +57,67 @@ def read_artifacts(spark: SparkSession, path: str, harmless: Callable[[DataFrame
 
 
 class Tables:
-    """Append-only Parquet tables below one folder of a shared store."""
+    """Append-only Parquet tables below one folder of a shared store, under one log of versions.
+
+    Each version is a record that names the folders of rows it adds, of all tables at once; a table is what the
+    log's records name, so rows written without their record do not show. ``rename`` must fail where its target
+    exists, as it does on HDFS and local disks; an object store needs a committer that claims names so.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._known: dict[int, dict] = {}
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.folder}/{name}")
-
-    def read(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.folder}/{name}")
-        except AnalysisException as error:
-            if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                return None
-            raise
+    def _log(self) -> dict[int, dict]:
+        """The record of each version: the folders it adds and the names it claims. Versions do not change, so only new ones are read."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        place = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/log")
+        files = place.getFileSystem(conf)
+        for status in files.listStatus(place) if files.exists(place) else []:
+            name = status.getPath().getName()
+            if name.startswith("_") or not name.endswith(".json") or int(name[:-5]) in self._known:
+                continue
+            stream = files.open(status.getPath())
+            record = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            stream.close()
+            self._known[record["version"]] = record
+        return self._known
+
+    def version(self) -> int:
+        return max(self._log(), default=0)
+
+    def append_all(self, adds: dict[str, DataFrame], after: int | None = None, claim: str | None = None) -> int:
+        """Add rows to several tables in one version, which is returned: all of them show, or none.
+
+        With ``after`` it must be the next version, else it is a conflict and the caller decides anew; without, the
+        rows hold whatever else was added, and the loser of a race takes the next number. A name that
+        a version claims is taken by it: another claim of it is a conflict.
+        """
+        attempt = uuid4().hex
+        for name, rows in adds.items():
+            rows.write.parquet(f"{self.folder}/{name}/{attempt}")
+        while True:
+            version = (self.version() if after is None else after) + 1
+            if claim is not None and self.claimed(claim):
+                raise Conflict(f"{claim} is taken")
+            try:
+                self.commit("log", f"{version:012d}", {"version": version, "adds": [f"{name}/{attempt}" for name in adds], "claim": claim})
+                return version
+            except Conflict:
+                if after is not None:
+                    raise
+
+    def claimed(self, claim: str) -> bool:
+        return any(r["claim"] == claim for r in self._log().values())
+
+    def append(self, name: str, rows: DataFrame) -> int:
+        return self.append_all({name: rows})
+
+    def read(self, name: str, version: int | None = None) -> DataFrame | None:
+        """A table as of the latest or a given version; null if nothing was added to it."""
+        log = self._log()
+        paths = [f"{self.folder}/{p}" for v in sorted(log) if version is None or v <= version for p in log[v]["adds"] if p.rpartition("/")[0] == name]
+        return self.spark.read.parquet(*paths) if paths else None
 
     def commit(self, name: str, key: str, record: dict) -> None:
         """Store ``record`` under ``key``, all of it or nothing; a key that is taken is a conflict, whoever took it.
@@ -111,12 +157,13 @@ class Tables:
         """Append to the log of what was done; nothing here changes or removes an entry."""
         self.commit("audit", uuid4().hex, {"actor": actor, "action": action, "target": target, "at": at, "trace_id": trace_id})
 
-    def publish(self, snapshot_id: str, nodes: DataFrame, edges: DataFrame, base: str | None, strict: bool = False) -> None:
+    def publish(self, snapshot_id: str, nodes: DataFrame, edges: DataFrame, base: str | None, strict: bool = False, changeset_id: str | None = None) -> None:
         """Write a snapshot's nodes and edges, then the record that makes it visible.
 
         Each attempt writes to a folder of its own, which only the record names, so a write that breaks off shows nothing and does
         a later one no harm. Of two publishers on one base the second finds the next number taken. Equal
-        edges are kept once; with ``strict`` those without both ends are left out. The base must be the head.
+        edges are kept once; with ``strict`` those without both ends are left out. The base must be the head. The record names
+        the change set too, so that it is published by the same commit.
         """
         shown = self._snapshots()
         head = None if shown is None else shown.agg(F.max_by(F.struct("snapshot_id", "publish_seq"), "publish_seq").alias("h")).first().h
@@ -131,10 +178,10 @@ class Tables:
         for name, rows in (("snap_nodes", nodes), ("snap_edges", once)):
             rows.withColumn("snapshot_id", F.lit(snapshot_id)).write.parquet(f"{self.folder}/{name}/{attempt}")
         seq = head.publish_seq + 1 if head else 1
-        self.commit("snapshots", f"{seq:012d}", {"snapshot_id": snapshot_id, "publish_seq": seq, "superseded_snapshot_id": base, "attempt": attempt})
+        self.commit("snapshots", f"{seq:012d}", {"snapshot_id": snapshot_id, "publish_seq": seq, "superseded_snapshot_id": base, "attempt": attempt, "changeset_id": changeset_id})
 
     def _snapshots(self) -> DataFrame | None:
-        return self.records("snapshots", "snapshot_id string, publish_seq long, superseded_snapshot_id string, attempt string")
+        return self.records("snapshots", "snapshot_id string, publish_seq long, superseded_snapshot_id string, attempt string, changeset_id string")
 
     def snapshots(self) -> DataFrame:
         shown = self._snapshots()
@@ -153,6 +200,12 @@ class Tables:
             raise NotFound(snapshot_id)
         return self.spark.read.parquet(f"{self.folder}/{name}/{found.attempt}")
 
+    def all_snapshots(self, name: str) -> DataFrame | None:
+        """The rows of all published snapshots in one scan, by their ``snapshot_id``."""
+        shown = self._snapshots()
+        paths = [f"{self.folder}/{name}/{r.attempt}" for r in shown.select("attempt").collect()] if shown is not None else []  # one short row a publication
+        return self.spark.read.parquet(*paths) if paths else None
+
 
 def read_dictionary(spark: SparkSession, paths: list[str]) -> DataFrame | None:
     """``word``, in lower case, of the first word list among ``paths`` that exists; null if none does."""

@@ -1,11 +1,13 @@
 import datetime as dt
 import json
+import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from normloom.engine import Engine
-from normloom.operators import evaluate, graph, render, resolve, review
+from normloom.operators import evaluate, graph, parse, render, resolve, review
 from normloom.sources.store import Conflict, Invalid, NotFound, Tables, envelope, read_artifacts, read_dictionary, read_labels, signature, verified
 from normloom.streaming import requests
 
@@ -30,15 +32,32 @@ def test_whole_life_of_a_document(spark, tmp_path):
     assert {r.clause_id: r.review_status for r in engine.review_states().collect()} == {clauses[0]: "accepted", clauses[1]: "escalated"}
     controls = spark.createDataFrame([(clauses[0], "c1", "control")], "clause_id string, control_id string, name string")
     engine.propose("cs1", controls=controls)
-    assert engine.validate_changeset("cs1").where("status = 'fail'").count() == 0
+    assert engine.changeset_state("cs1") == "draft"
+    for refused in (lambda: engine.approve("cs1"), lambda: engine.propose("cs1"), lambda: engine.propose("cs9", clauses=spark.createDataFrame([(clauses[1],)], "clause_id string"))):
+        with pytest.raises(Conflict):
+            refused()
+    assert engine.validate_changeset("cs1").where("status = 'fail'").count() == 0 and engine.changeset_state("cs1") == "validated"
     with pytest.raises(Conflict):
         engine.publish("cs1", "snap_1", None)
     engine.approve("cs1")
+    with pytest.raises(Conflict):
+        engine.publish("cs1", "snap_1", None, "0.9.0")
     engine.publish("cs1", "snap_1", None)
+    assert engine.changeset_state("cs1") == "published" and (engine.changeset_snapshot("cs1"), engine.snapshot_changeset("snap_1")) == ("snap_1", "cs1")
+    for base in (None, "snap_1"):
+        with pytest.raises(Conflict):
+            engine.publish("cs1", "snap_2", base)
+    with pytest.raises(Conflict):
+        engine.validate_changeset("cs1")
+    reports = engine.tables.read("reports")
+    assert reports.count() == reports.select("run", "rule_name").distinct().count() == 6
+    engine.propose("cs2", controls=controls)
+    engine.validate_changeset("cs2")
+    engine.approve("cs2")
     with pytest.raises(Conflict):
-        engine.publish("cs1", "snap_2", None)
-    engine.publish("cs1", "snap_2", "snap_1")
-    assert engine.lineage("snap_2") == ["snap_2", "snap_1"]
+        engine.publish("cs2", "snap_2", None)
+    engine.publish("cs2", "snap_2", "snap_1")
+    assert engine.lineage("snap_2") == ["snap_2", "snap_1"] and {(r.snapshot_id, r.instrument) for r in engine.regulations().collect()} == {("snap_1", "NIS2"), ("snap_2", "NIS2")}
     paths = engine.proof_paths("snap_1", mode="optional").collect()
     assert len(paths) == 1 and paths[0].path_length == 3 and paths[0].review_status == "accepted"
     with pytest.raises(NotFound):
@@ -100,6 +119,36 @@ def test_entities(spark):
     assert got == {" operator ": ("n1", "exact", 1.0), "operatorx": ("n1", "fuzzy", 0.941176), "zzz": (None, "none", 0.0), "": (None, "none", 0.0)}
 
 
+def test_similarity_join_equals_all_pairs(spark):
+    random.seed(8)
+    parts = ["operator", "essential", "entity", "authority", "national", "team", "provider", "maker", "digital", "service", "bank", "cloud", "é", "ltd", "of", "gmbh", "x1", "grid"]
+    name = lambda: " ".join(random.choice(parts) for _ in range(random.randrange(1, 5)))
+    blur = lambda n: "".join(c for c in n if random.random() > 0.15) + random.choice(["", "s", " ag"])
+    known = [(f"n{i}", name() if i % 9 else "".join(random.choice("abcdefgh\n") for _ in range(i % 40)), i) for i in range(150)]
+    names = sorted({blur(random.choice(known)[1]) for _ in range(200)} | {name() for _ in range(100)} | {"", "q", "zzzz", "Operator ", "\u2003bank"})
+    got = {r.name: r for r in resolve.match_entities(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(known, "node_id string, name string, ordinal int")).collect()}
+    form = lambda n: n.strip().lower()
+    for n in names:
+        same = [k for k in known if form(k[1]) == form(n)]
+        ratios = [(SequenceMatcher(None, form(n), form(k[1])).ratio(), -k[2]) for k in known]
+        best = max(ratios)
+        want = (same[0][0], "exact", 1.0) if same else (f"n{-best[1]}", "fuzzy", best[0]) if best[0] >= 0.6 and form(n) else (None, "none", 0.0)
+        assert (got[n].node_id, got[n].match_type, got[n].confidence) == want, n
+
+
+def test_few_pairs_of_a_vocabulary_are_compared(spark):
+    """10,000 names of random syllables by 1,000 known ones."""
+    random.seed(4)
+    syllables = [a + b + c for a in "bcdfghklmnprstvz" for b in "aeiouy" for c in ("", "n", "r", "s", "l")]
+    name = lambda: "".join(random.choice(syllables) for _ in range(random.randrange(3, 9)))
+    known, names = sorted({name() for _ in range(1000)}), sorted({name() for _ in range(10000)})
+    frame = lambda forms: spark.createDataFrame([(f,) for f in forms], "form string")
+    rarity = frame([f for f in known + names]).select(F.explode(F.array_distinct(F.split("form", ""))).alias("char")).groupBy("char").agg(F.count("*").alias("names"))
+    left, right = resolve._numbered(frame(names), rarity), resolve._numbered(frame(known), rarity)
+    for least, share in ((0.9, 0.001), (0.75, 0.05)):
+        assert resolve.similar_pairs(left, right, least).count() < share * len(known) * len(names)
+
+
 def test_set_scores_and_overlap(spark):
     row = spark.range(1).select(evaluate.set_scores(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("c"), F.lit("b"))).alias("s"), evaluate.set_scores(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("e")).first()
     assert tuple(row.s) == (0.5, 0.5, 0.5) and tuple(row.e) == (1.0, 1.0, 1.0)
@@ -163,6 +212,7 @@ def test_successive_batches_are_created_and_counted(spark, tmp_path):
 def test_broken_off_publication_leaves_nothing(spark, tmp_path, monkeypatch):
     engine, _ = accepted_engine(spark, tmp_path)
     engine.propose("cs1")
+    engine.validate_changeset("cs1")
     engine.approve("cs1")
     real = engine.tables.commit
     monkeypatch.setattr(engine.tables, "commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
@@ -177,7 +227,97 @@ def test_broken_off_publication_leaves_nothing(spark, tmp_path, monkeypatch):
         engine.tables.commit("snapshots", f"{1:012d}", {})
     with pytest.raises(Conflict):
         engine.approve("cs1")
-    assert engine.tables.read("reports").count() >= 6 and not [f for f in (tmp_path / "snapshots").iterdir() if f.name.startswith("_")]
+    assert engine.tables.read("reports").count() == 6 and not [f for f in (tmp_path / "snapshots").iterdir() if f.name.startswith("_")]
+
+
+def test_a_status_set_by_validation_blocks_review(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    engine.register_documents(spark.createDataFrame([("NIS2", "v1", TEXT, 1)], RAW))
+    real = parse.extract
+    shift = lambda spans, *a: real(spans, *a).withColumn("source_evidence", F.col("source_evidence").withField("char_start", F.when(F.endswith("anchor_id", F.lit("-1")), 0).otherwise(F.col("source_evidence.char_start"))))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(parse, "extract", shift)
+        engine.parse("run1")
+    states = {r.clause_id: r.review_status for r in engine.review_states().collect()}
+    bad, good = sorted(states)
+    assert (states[bad], states[good]) == ("escalated", "pending")
+    say = lambda *rows: spark.createDataFrame([(k, dt.datetime(2024, 1, 1), n, a, "because") for k, n, a in rows], LOG)
+    with pytest.raises(Conflict):
+        engine.decide(say((bad, 1, "accept")))
+    with pytest.raises(Invalid):
+        engine.decide(say((good, 1, "edit")))
+    with pytest.raises(NotFound):
+        engine.decide(say(("nobody", 1, "accept")))
+    engine.decide(say((bad, 1, "reject")))
+    with pytest.raises(Conflict):  # no longer escalated, but its evidence does not replay
+        engine.decide(say((bad, 2, "accept")))
+    engine.decide(say((good, 1, "accept")))
+    assert {r.clause_id: r.review_status for r in engine.review_states().collect()} == {bad: "rejected", good: "accepted"}
+
+
+def test_colliding_anchors_are_refused_and_runs_are_jobs(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    twice = TEXT + "Article 21\n1. The operator must stop.\n"
+    engine.register_documents(spark.createDataFrame([("NIS2", "v1", TEXT, 1), ("CRA", "v1", twice, 2)], RAW))
+    assert [(r.instrument, r.total) for r in engine.parse("run1").collect()] == [("NIS2", 2)]
+    assert [r.reason for r in engine.refusals().collect()] == ["colliding anchors"]
+    assert engine.parse("run2").isEmpty() and engine.refusals().count() == 1
+    with pytest.raises(Conflict):
+        engine.parse("run2")
+    assert {r.key: r.state for r in engine.job_states().collect()} == {"run1": "completed", "run2": "completed"}
+
+
+def test_one_version_shows_all_tables_or_none(spark, tmp_path, monkeypatch):
+    one, other = Tables(spark, str(tmp_path)), Tables(spark, str(tmp_path))
+    rows = lambda n: spark.range(n).toDF("n")
+    real = one.commit
+    monkeypatch.setattr(one, "commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        one.append_all({"a": rows(3), "b": rows(2)})
+    assert one.read("a") is None and one.read("b") is None and other.version() == 0
+    monkeypatch.setattr(one, "commit", real)
+    assert one.append_all({"a": rows(3), "b": rows(2)}) == 1
+    with pytest.raises(Conflict):
+        other.append_all({"a": rows(1)}, after=0)
+    assert other.append("a", rows(1)) == 2 and one.read("a").count() == 4 and one.read("a", 1).count() == 3 and one.read("b").count() == 2
+    # Whoever comes second at a number takes the next.
+    monkeypatch.setattr(one, "version", lambda: 1)
+    taken = iter([1, 2])
+    monkeypatch.setattr(one, "version", lambda: next(taken))
+    assert one.append("b", rows(5)) == 3 and other.read("b").count() == 7
+    one.append_all({"a": rows(1)}, after=3, claim="x")
+    with pytest.raises(Conflict):
+        other.append_all({"a": rows(1)}, claim="x")
+
+
+def test_two_registrations_of_one_document_create_it_once(spark, tmp_path, monkeypatch):
+    one, other = Engine(spark, str(tmp_path)), Engine(spark, str(tmp_path))
+    raw = spark.createDataFrame([("NIS2", "v1", TEXT, 1)], RAW)
+    real, outcomes = one._registered, []
+
+    def overtaken(batch, held):
+        rows = real(batch, held)
+        if not outcomes:
+            outcomes.extend(r.outcome for r in other.register_documents(raw).collect())
+        return rows
+
+    monkeypatch.setattr(one, "_registered", overtaken)
+    outcomes += [r.outcome for r in one.register_documents(raw).collect()]
+    assert outcomes == ["created", "existing"] and one.tables.read("documents").count() == 1
+
+
+def test_proposals_reuse_known_actors(spark, tmp_path):
+    engine, clauses = accepted_engine(spark, tmp_path)
+    engine.propose("cs1")
+    engine.validate_changeset("cs1")
+    engine.approve("cs1")
+    engine.publish("cs1", "snap_1", None)
+    known = spark.createDataFrame([("actor:op-7", "The Operators", "a")], "node_id string, name string, ordinal string")
+    given = spark.createDataFrame([("d:v:a", "d:v:p", "NIS2", "v", "obligation", ["operator", "zzz"], 1)], "clause_id string, anchor_id string, instrument string, source_version string, norm_type string, actor array<string>, ordinal long")
+    nodes, edges = graph.propose(given, known=known)
+    assert {(r.node_id, r.properties["name"]) for r in nodes.where("type = 'Actor'").collect()} == {("actor:op-7", "The Operators"), ("actor:zzz", "zzz")}
+    assert {r.to_node_id for r in edges.where("type = 'IMPOSES_ON'").collect()} == {"actor:op-7", "actor:zzz"}
+    assert {r.node_id for r in engine.known_actors().collect()} >= {"actor:operator"}
 
 
 def test_edits_make_a_validated_revision(spark, tmp_path):
@@ -200,6 +340,7 @@ def test_export_query_and_evaluate(spark, tmp_path):
     engine, clauses = accepted_engine(spark, tmp_path)
     engine.log_calls(spark.createDataFrame([("extract", "c", "o", clauses[0])], "agent_role string, context string, output string, clause_id string"))
     engine.propose("cs1")
+    engine.validate_changeset("cs1")
     engine.approve("cs1")
     engine.publish("cs1", "snap_1", None)
     rows, manifest = engine.export("snap_1", "cs1", b"k")
@@ -220,6 +361,7 @@ def test_export_query_and_evaluate(spark, tmp_path):
     new = sorted(c for c in (r.clause_id for r in engine.review_states().collect()) if c not in clauses)
     engine.decide(spark.createDataFrame([(c, dt.datetime(2024, 1, 1), i, "accept", "good") for i, c in enumerate(new)], LOG))
     engine.propose("cs2")
+    engine.validate_changeset("cs2")
     engine.approve("cs2")
     engine.publish("cs2", "snap_2", "snap_1")
     history = engine.article_history("snap_2").collect()
