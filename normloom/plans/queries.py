@@ -525,9 +525,9 @@ CHECK_NAMES = ["schema_validity", "controlled_vocabulary", "evidence_span_fideli
 
 
 @query("v2_checks", f"""WITH e AS (SELECT clause_id, cast(regexp_extract(clause_id, '([0-9]+)$', 1) AS INT) AS n FROM ({EXTRACTED}) AS x),
-    c AS (SELECT clause_id, CASE WHEN n = 4 THEN 'fail' ELSE 'pass' END AS schema_validity, CASE WHEN n = 2 THEN 'fail' ELSE 'pass' END AS controlled_vocabulary, CASE WHEN n % 5 = 0 THEN 'fail' ELSE 'pass' END AS evidence_span_fidelity, CASE WHEN n = 3 THEN 'warn' ELSE 'pass' END AS date_normalization,
+    c AS (SELECT clause_id, CASE WHEN n IN (2, 4) THEN 'fail' ELSE 'pass' END AS schema_validity, CASE WHEN n = 2 THEN 'fail' ELSE 'pass' END AS controlled_vocabulary, CASE WHEN n % 5 = 0 THEN 'fail' ELSE 'pass' END AS evidence_span_fidelity, CASE WHEN n = 3 THEN 'warn' ELSE 'pass' END AS date_normalization,
       'pass' AS quantity_normalization, CASE WHEN n = 6 THEN 'fail' ELSE 'pass' END AS reference_validity, CASE WHEN n = 4 THEN 'fail' WHEN n = 1 THEN 'warn' ELSE 'pass' END AS cross_field_consistency, n FROM e)
-    SELECT clause_id, concat_ws('|', {", ".join(CHECK_NAMES)}) AS checks, CASE WHEN n = 4 OR n % 5 = 0 THEN 'fail' WHEN n IN (2, 6) THEN 'needs_review' ELSE 'pass' END AS overall_status,
+    SELECT clause_id, concat_ws('|', {", ".join(CHECK_NAMES)}) AS checks, CASE WHEN n IN (2, 4) OR n % 5 = 0 THEN 'fail' WHEN n = 6 THEN 'needs_review' ELSE 'pass' END AS overall_status,
       md5(concat_ws(chr(10), {", ".join(f"'[' || {c} || '] {c}'" for c in CHECK_NAMES)})) AS panel FROM c""")
 def all_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every check broken for some records: vocabulary, evidence, dates, references, actors."""
