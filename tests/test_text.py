@@ -19,14 +19,14 @@ def canonical(t):
 
 
 def test_canonicalize_matches_python_and_is_idempotent(spark):
-    texts = ["Article 1\r\n1. Text with\r\nCRLF line endings.\n\n\n\nExtra blank lines.\n", "é  \n\n\n\nb\t\r", "", "\n\n", "a  \nb", "x\x1c\ny"]
+    texts = ["Harbour rules\r\n7. Boats moor\r\nat the quay.\n\n\n\n\nNight watch ends.\n", "é  \n\n\n\nb\t\r", "", "\n\n", "a  \nb", "x\x1c\ny"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.canonicalize(F.col("t")).alias("c"), T.canonicalize(T.canonicalize(F.col("t"))).alias("d")).collect()
     for r in rows:
         assert r.c == canonical(r.t) == r.d
 
 
 def test_matches_are_finditer_offsets(spark):
-    for pattern, t in ((T.ARTICLE, "é𝒳 Article\nArticle 21\nx\nArticle 4 (Amendment to Article 1)\n"), (T.PARAGRAPH, "1. a\n2. b é\n10. c")):
+    for pattern, t in ((T.ARTICLE, "é𝒳 Article\nArticle 21\nx\nArticle 8 (Fees, see Article 3)\n"), (T.PARAGRAPH, "1. a\n2. b é\n10. c")):
         got = one(spark, t, T.matches(F.col("t"), pattern))
         want = [(m.start(), m.end(), m[1]) for m in re.finditer("(?m)" + pattern[6:], t)]
         assert [tuple(x) for x in got] == want
@@ -49,7 +49,7 @@ def test_modal_orders_differ(spark):
 
 
 def test_extraction_quality(spark):
-    got = one(spark, "Corrupted �� text run that is long enough for a line", T.extraction_quality(F.col("t")))
+    got = one(spark, "The harbour ledger �� lists every mooring of the past season", T.extraction_quality(F.col("t")))
     assert got.confidence == 0.6 and got.warnings == ["replacement characters"]
     assert "hyphenated line breaks" in one(spark, "The oper-\nator shall comply", T.extraction_quality(F.col("t"))).warnings
 
