@@ -102,7 +102,8 @@ def reference_candidates(mentions: DataFrame, terms: DataFrame) -> DataFrame:
     wanted = mentions.select("mention").where("mention is not null").distinct()
     exact = wanted.join(terms.groupBy(F.col("term").alias("mention")).agg(F.min_by("target_id", "ordinal").alias("target_id")), "mention")
     rest = wanted.join(exact, "mention", "left_anti").select("mention", F.lower("mention").alias("low"))
-    held = terms.select("target_id", "ordinal", F.lower("term").alias("text"))
+    # Of terms equal in lower case only the first can be taken, so each text meets mentions once.
+    held = terms.groupBy(F.lower("term").alias("text")).agg(F.min_by("target_id", "ordinal").alias("target_id"), F.min("ordinal").alias("ordinal"))
     gram = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 2, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(3)))
     long = rest.where("length(low) >= 3").withColumn("gram", F.substring("low", 1, 3)).join(held.withColumn("gram", F.explode(F.array_distinct(gram))), "gram").where(F.contains("text", "low"))
     letter = F.explode(F.array_distinct(F.split("text", "")))

@@ -64,3 +64,14 @@ def test_sliding_windows_take_the_nearest_second(spark, tmp_path):
     spark.createDataFrame([(i, i, t) for i, t in enumerate(times)], "event_id long, user_id long, t string").selectExpr("event_id", "user_id", "cast(t AS timestamp_ntz) AS ts").write.parquet(f"{tmp_path}/events.parquet")
     got = QUERIES["st1_sliding_windows"](spark, str(tmp_path)).selectExpr("client", "cast(window_start AS string) AS w").groupBy("client").agg(F.max("w").alias("w")).collect()
     assert {r.client: r.w for r in got} == {0: "2024-01-01 03:00:00", 1: "2024-01-01 00:00:00", 2: "2024-01-01 00:00:00", 3: "2024-01-01 03:00:00"}
+
+
+def test_copies_of_a_term_meet_a_mention_once(spark):
+    from normloom.operators import resolve
+
+    terms = spark.range(20000).selectExpr("if(id % 2 = 0, 'LARGE Brass', 'large brass') AS term", "cast(id + 5 AS string) AS target_id", "id + 5 AS ordinal")
+    mentions = spark.createDataFrame([("ge BR",), ("la",), ("LARGE Brass",)], "mention string")
+    got = resolve.reference_candidates(mentions, terms)
+    assert {r.mention: (r.target_id, r.confidence) for r in got.collect()} == {"ge BR": ("5", 0.6), "la": ("5", 0.6), "LARGE Brass": ("5", 1.0)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("Generate explode")[1].split("Range")[0]
