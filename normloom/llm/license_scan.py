@@ -1,20 +1,23 @@
 """License scans by diagonal voting: rolling word grams are joined to template positions and vote for offsets.
 
-Every run of two and of four adjacent words of a text is hashed and joined to the positions of the same run in
+Every run of two and of four adjacent words of a text with a hit is hashed and joined to the positions of the same run in
 the templates: pairs for short phrases, runs of four for the texts and notices of licenses. A hit votes for the diagonal
 ``word position - template position``; a template that stands somewhere gathers its votes on one diagonal, and one with words
 inserted or left out on neighbouring ones, which are merged. A merged span is verified word by word: a template word
-counts if the text has it at its place on one of the span's diagonals.
+counts if the text has it at its place on one of the span's diagonals. No text is shuffled for that, and no vote: texts with a
+hit are sent once, as numbers of the words that templates have, and all else happens where those numbers are.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normloom.llm.shared import SEPARATORS, column, let, packed, unpacked, words
+from normloom.llm.shared import SEPARATORS, column, let, words
 
 # Base phrases and labels, then phrases that license notices share, then texts and notices of licenses.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -67,48 +70,90 @@ def templates() -> list[tuple[str, bool, int, list[str]]]:
 
 
 def _positions(spark) -> DataFrame:
-    """``template, label, base, length, width, at, gram``: a row for each gram of each template."""
-    rows = [(k, label, base, len(parts), width, at, parts[at : at + width]) for k, (label, base, width, parts) in enumerate(templates()) for at in range(len(parts) - width + 1)]
-    made = spark.createDataFrame(rows, "template int, label string, base boolean, length int, width int, at int, words array<string>")
-    gram = lambda width: F.xxhash64(*[F.get("words", F.lit(k)) for k in range(width)])
+    """``template, width, at, gram``: a row for each gram of each template."""
+    rows = [(k, width, at, parts[at : at + width]) for k, (_, _, width, parts) in enumerate(templates()) for at in range(len(parts) - width + 1)]
+    made = spark.createDataFrame(rows, "template int, width int, at int, words array<string>")
+    gram = lambda width: F.xxhash64(*[F.hash(F.get("words", F.lit(k))) for k in range(width)])
     return made.withColumn("gram", F.when(F.col("width") == SHORT, gram(SHORT)).otherwise(gram(LONG))).drop("words")
 
 
-def _grams(parts: Column) -> Column:
-    """At each word the hashes of the runs of SHORT and of LONG words from there; null where too few follow."""
-    run = lambda w, i, width: F.xxhash64(w, *[F.get(parts, i + k) for k in range(1, width)])
-    whole = lambda i, width: i + width <= F.size(parts)
-    return F.transform(parts, lambda w, i: F.array(F.when(whole(i, SHORT), run(w, i, SHORT)), F.when(whole(i, LONG), run(w, i, LONG))))
+def _of_template(values: Sequence, template: Column) -> Column:
+    """The one of ``values``, which has one for each template, that belongs to ``template``."""
+    return F.get(F.array(*map(F.lit, values)), template)
 
 
-def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Merged spans, not yet verified: ``key, mark, template, label, base, length, first, last, diagonals, places``.
+def _is_hit(parts: Column) -> Column:
+    """Whether a run of SHORT or of LONG words stands in a template that has such grams. Words hold no spaces, so a run is known by its words with spaces between."""
+    runs = {width: {" ".join(ws[k : k + width]) for _, _, gram, ws in templates() if gram == width for k in range(len(ws) - width + 1)} for width in (SHORT, LONG)}
+    heads = {" ".join(r.split(" ")[:SHORT]) for r in runs[LONG]}
+    firsts = {r.split(" ")[0] for r in runs[SHORT] | heads}
+    one_of = lambda value, known: value.isin(sorted(known))
 
-    ``mark`` is a hash of the text, so that rows of one key but different texts stay apart while
-    wholly repeated rows share their spans. ``places`` lists where the whole template stands
-    without a gap (sorted word positions); ``first`` and ``last`` bound the voting words.
+    def at(w: Column, i: Column) -> Column:
+        run = lambda width: F.concat_ws(" ", w, *[F.get(parts, i + k) for k in range(1, width)])
+        return one_of(w, firsts) & (one_of(run(SHORT), runs[SHORT]) | (one_of(run(SHORT), heads) & one_of(run(LONG), runs[LONG])))
+
+    return F.array_contains(F.transform(parts, at), True)
+
+
+def _numbers(parts: Column) -> Column:
+    """A number for each word that templates have (no two have the same), null for other words."""
+    known = sorted({w for *_, ws in templates() for w in ws})
+    return F.transform(parts, lambda w: F.when(w.isin(known), F.hash(w)))
+
+
+def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``ident, numbers`` of each text with a hit; wholly repeated rows stand once."""
+    texts = docs.select(_ident(key, text).alias("ident"), words(column(text)).alias("words"))
+    # Exploding an array of one or none instead of a filter keeps the optimizer from splitting the text once for each use.
+    return texts.select("ident", F.explode(F.when(_is_hit(F.col("words")), F.array(_numbers(F.col("words"))))).alias("numbers")).dropDuplicates(["ident"])
+
+
+def _ident(key: str, text: str) -> Column:
+    """Key and a hash of the text, so that rows of one key but different texts stay apart. A struct is never null, also of a null key."""
+    return F.struct(column(key).alias("key"), F.xxhash64(column(text)).alias("mark"))
+
+
+def _hits(numbers: Column) -> Column:
+    """``at_word, gram`` of the runs of SHORT and of LONG words that templates have."""
+
+    def at(n: Column, i: Column) -> Column:
+        run = [n, *[F.get(numbers, i + k) for k in range(1, LONG)]]
+        known = lambda width: reduce(lambda a, b: a & b, [x.isNotNull() for x in run[:width]])
+        return F.array(*[F.when(known(width), F.struct(i.alias("at_word"), F.xxhash64(*run[:width]).alias("gram"))) for width in (SHORT, LONG)])
+
+    return F.filter(F.flatten(F.transform(numbers, at)), lambda h: h.isNotNull())
+
+
+def find_spans(numbered: DataFrame) -> DataFrame:
+    """Merged spans, not yet verified: ``ident, template, label, base, length, first, last, diagonals, places``.
+
+    ``places`` lists where the whole template stands without a gap (sorted word positions);
+    ``first`` and ``last`` bound the voting words.
     """
-    texts = docs.select(column(key).alias("key"), F.xxhash64(column(text)).alias("mark"), words(column(text)).alias("words"))
-    rolled = texts.select("key", "mark", F.posexplode(_grams(F.col("words"))).alias("at_word", "grams")).select("key", "mark", "at_word", F.explode("grams").alias("gram")).where("gram is not null")
+    rolled = numbered.select("ident", F.explode(_hits(F.col("numbers"))).alias("hit")).select("ident", "hit.*")
     # The templates are a constant of this module, so their table may be broadcast.
-    hits = rolled.join(F.broadcast(_positions(docs.sparkSession)), "gram")
-    votes = hits.groupBy("key", "mark", "template", "label", "base", "length", "width", (F.col("at_word") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
-    span = "partition by key, mark, template order by diagonal"
+    places = rolled.join(F.broadcast(_positions(numbered.sparkSession)), "gram")
+    labels, bases, widths, lengths = zip(*[(label, base, width, len(ws)) for label, base, width, ws in templates()], strict=True)
+    of = lambda values: _of_template(values, F.col("template"))
+    votes = places.groupBy("ident", "template", (F.col("at_word") - F.col("at")).alias("diagonal")).agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count("at").alias("n"))
+    span = "partition by ident, template order by diagonal"
     chained = votes.selectExpr("*", f"diagonal - lag(diagonal, 1, -1000000) over ({span}) > {NEAR} as opens").selectExpr("*", f"sum(int(opens)) over ({span}) as span")
-    return chained.groupBy("key", "mark", "template", "label", "base", "length", "span").agg(
-        F.min(F.col("diagonal") + F.array_min("ats")).alias("first"),
-        F.max(F.col("diagonal") + F.array_max("ats") + F.col("width")).alias("last"),
+    merged = chained.groupBy("ident", "template", "span").agg(
+        F.min(F.col("diagonal") + F.col("low")).alias("first"),
+        F.max(F.col("diagonal") + F.col("high")).alias("last"),
         F.array_sort(F.collect_list("diagonal")).alias("diagonals"),
-        F.array_sort(F.collect_list(F.when(F.size("ats") == F.col("length") - F.col("width") + 1, F.col("diagonal")))).alias("places"),
+        F.array_sort(F.collect_list(F.when(F.col("n") == of(lengths) - of(widths) + 1, F.col("diagonal")))).alias("places"),
     )
+    return merged.withColumns({"last": F.col("last") + of(widths), "label": of(labels), "base": of(bases), "length": of(lengths)})
 
 
-def _verified(spans: Column, parts: Column) -> Column:
-    """``label, coverage`` of each span: the share of template words that the text has at their place on one of the span's diagonals."""
-    known = F.array(*[F.array(*map(F.lit, ws)) for _, _, _, ws in templates()])
+def _verified(spans: Column, numbers: Column) -> Column:
+    """``label, coverage`` of each span: the share of template words that the text, given as ``_numbers``, has at their place on one of the span's diagonals."""
+    known = F.array(*[F.array(*[F.hash(F.lit(w)) for w in ws]) for *_, ws in templates()])
 
     def one(s: Column) -> Column:
-        there = lambda w, j: F.exists(s["diagonals"], lambda d: F.when(d + j >= 0, F.get(parts, d + j)) == w)
+        there = lambda w, j: F.exists(s["diagonals"], lambda d: F.when(d + j >= 0, F.get(numbers, d + j)) == w)
         equal = let(F.get(known, s["template"]), lambda ws: F.size(F.filter(F.transform(ws, lambda w, j: there(w, j)), lambda x: x)))
         return F.struct(s["label"].alias("label"), (equal / s["length"]).alias("coverage"))
 
@@ -125,25 +170,23 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     results, and an empty table an empty one. Added columns replace input columns of the same names.
     """
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    spans = find_spans(docs, key, text)
+    numbered = _numbered(docs, key, text)
     whole = F.col("base") & (F.size("places") > 0)
-    found = spans.groupBy("key", "mark").agg(
+    found = find_spans(numbered).groupBy("ident").agg(
         F.sum(F.when(whole, F.size("places")).otherwise(0)).alias("n_base"),
         F.min(F.when(whole, F.array_min("places"))).cast("long").alias("first_word"),
         F.max(F.when(whole, F.array_max("places"))).cast("long").alias("last_word"),
         F.array_sort(F.collect_set(F.when(whole, F.col("label")))).alias("base_labels"),
         F.collect_list(F.struct("template", "label", "length", "diagonals")).alias("spans"),
     )
-    found = found.withColumnsRenamed({"key": "found_key", "mark": "found_mark"})
-    rows = packed(docs, key=column(key), mark=F.xxhash64(column(text)), text=column(text), n_words=F.size(words(column(text))).cast("long"))
-    joined = rows.join(found, [rows.mark == found.found_mark, rows.key.eqNullSafe(found.found_key)], "left")
-    none = F.array().cast("array<struct<label:string,coverage:double>>")
-    checked = F.when(F.col("spans").isNotNull(), let(words(F.col("text")), lambda ws: _verified(F.col("spans"), ws))).otherwise(none)
-    # Exploding an array of one keeps the optimizer from checking the spans once for each use.
-    made = joined.select("row", "n_words", "n_base", "first_word", "last_word", F.coalesce("base_labels", F.array().cast("array<string>")).alias("base"), F.explode(F.array(checked)).alias("checked"))
-    more = F.transform(F.filter("checked", lambda s: s["coverage"] >= COVERED), lambda s: s["label"])
-    out = made.select(
-        "row", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("base", more)), ",").alias("labels"), F.coalesce(F.array_max(F.col("checked.coverage")), F.lit(0.0)).alias("score"),
+    # Both sides come from one shuffle of the numbers. Exploding an array of one keeps the optimizer from checking the spans once for each use.
+    found = found.join(numbered, "ident").select("*", F.explode(F.array(_verified(F.col("spans"), F.col("numbers")))).alias("checked")).drop("numbers", "spans")
+    # Plain columns and not one struct: what a caller drops afterwards is not shuffled then.
+    kept = {f"in_{k}": c for k, c in enumerate(c for c in docs.columns if c.lower() not in added)}
+    rows = docs.select(*[column(c).alias(n) for n, c in kept.items()], _ident(key, text).alias("ident"), F.size(words(column(text))).cast("long").alias("n_words"))
+    base, checked = F.coalesce("base_labels", F.array().cast("array<string>")), F.coalesce("checked", F.array().cast("array<struct<label:string,coverage:double>>"))
+    more = F.transform(F.filter(checked, lambda s: s["coverage"] >= COVERED), lambda s: s["label"])
+    return rows.join(found, "ident", "left").select(
+        *[F.col(n).alias(c) for n, c in kept.items()], "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.array_join(base, ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"), F.coalesce(F.array_max(checked["coverage"]), F.lit(0.0)).alias("score"),
     )
-    return unpacked(out, docs.columns, added)

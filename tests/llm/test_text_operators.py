@@ -236,6 +236,44 @@ def test_neighbouring_diagonals_merge(spark):
     assert [r.labels for r in rows if r.doc_id] == ["mit", "mit"] and all(r.base_labels == "" and 0.8 <= r.score <= 1 for r in rows if r.doc_id)
 
 
+def shuffled_bytes(spark, frame):
+    """Bytes of all rows that a run of ``frame`` sends from task to task, before compression."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        frame.collect()
+        plans, total = [frame._jdf.queryExecution().executedPlan()], 0
+        while plans:
+            plan = plans.pop()
+            plans += [plan.children().apply(k) for k in range(plan.children().size())]
+            total += plan.metrics().apply("dataSize").value() if plan.nodeName() == "Exchange" else 0
+        return total
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.mark.parametrize(("phrase", "most"), [("", 0.05), ("Licensed under the Apache License, Version 2.0", 1.0)])
+def test_op10_shuffles_no_texts(spark, tmp_path, phrase, most):
+    texts = [f"{phrase} {n} " + "Wörter zwischen Himmel und Erde of no kind at all " * 50 for n in range(400)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sent = shuffled_bytes(spark, queries.op10_license_scan(spark, str(tmp_path)))
+    assert 0 < sent < most * sum(len(t.encode()) for t in texts)
+
+
+def test_op10_repeated_rows_and_broken_phrases(spark):
+    texts = ["mit license", "general public general public license public license", "public license mit", "general public"]
+    docs = [(k, t) for k, t in enumerate(texts) for _ in range(k + 1)] + [(None, "an mit license"), (None, "apache license"), (None, "none"), (None, None), (0, "apache")]
+    rows = license_scan.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    got = [(r.doc_id, r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows]
+    assert sorted((g[1:] for g in got if g[0] is None), key=str) == [(0, None, None, ""), (0, None, None, ""), (1, 0, 0, "apache"), (1, 1, 1, "mit")]
+    assert sorted((g for g in got if g[0] is not None), key=lambda g: (g[0], -g[1])) == [(0, 1, 0, 0, "mit"), (0, 0, None, None, ""), *[(1, 1, 2, 2, "gpl")] * 2, *[(2, 0, None, None, "")] * 3, *[(3, 0, None, None, "")] * 4]
+
+
+def test_op10_numbers_tell_template_words_apart(spark):
+    known = sorted({w for *_, ws in license_scan.templates() for w in ws})
+    row = spark.createDataFrame([([*known, "zzz"],)], "ws array<string>").select(license_scan._numbers(F.col("ws")).alias("n")).first()
+    assert row.n[-1] is None and None not in row.n[:-1] and len(set(row.n[:-1])) == len(known)
+
+
 def test_shared_words(spark):
     texts = ["", "a", "--A b!", "É é ñ", "..", "x  y"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(shared.words(F.col("t")).alias("w")).collect()
